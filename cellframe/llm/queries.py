@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, media, mixing, sstable
+from cellframe.llm import bpe, media, mixing, neighbours, pii, quality, sstable, substrings, suffixes
 from cellframe.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,31 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "language", "source_leaf", "n_tokens", "copies", "prefix_tokens")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, count="n_entities").select("doc_id", "n_entities", "text")
+
+
 def op8_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = sstable.token_store(docs, public_tokenizers.path(WORD_BPE), END_ID)
@@ -55,6 +80,11 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_suffixes": op2_suffixes,
+    "op3_quality": op3_quality,
+    "op4_neighbours": op4_neighbours,
+    "op5_substrings": op5_substrings,
+    "op6_pii": op6_pii,
     "op8_token_sstable": op8_token_sstable,
     "op9_bpe": op9_bpe,
     "op10_webp": op10_webp,
