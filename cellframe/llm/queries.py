@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, media, mixing, neighbours, pii, quality, sstable, substrings, suffixes
+from cellframe.llm import bpe, jaccard, media, mixing, neighbours, pii, quality, sstable, substrings, suffixes
 from cellframe.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(docs, count="n_entities").select("doc_id", "n_entities", "text")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, part=90))
+
+
 def op8_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = sstable.token_store(docs, public_tokenizers.path(WORD_BPE), END_ID)
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neighbours": op4_neighbours,
     "op5_substrings": op5_substrings,
     "op6_pii": op6_pii,
+    "op7_jaccard": op7_jaccard,
     "op8_token_sstable": op8_token_sstable,
     "op9_bpe": op9_bpe,
     "op10_webp": op10_webp,

@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows per Arrow batch: texts may be long, so a batch holds few of them.
-BATCH_ROWS = 500
+#: Bytes per Arrow batch: a batch of long texts holds few of them, one of numbers many.
+BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of this session to ``rows`` rows; lower settings stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches of this session by their bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
