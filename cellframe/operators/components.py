@@ -31,26 +31,66 @@ def runs(cells: DataFrame, keys=KEYS) -> DataFrame:
     return out.drop("_i").withColumn("run", F.col("row").cast("long") * (1 << 31) + F.col("c0"))
 
 
+STRIP = 128
+
+
+def label_strips(found: DataFrame, keys=KEYS) -> DataFrame:
+    """Runs with the least run of their part of a component inside a strip of STRIP rows.
+
+    A strip's runs are a bounded group; they are joined in Python by union and find."""
+    import pandas as pd
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "c0"]).reset_index(drop=True)
+        parent = list(range(len(pdf)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        row, c0, c1 = (pdf[c].tolist() for c in ("row", "c0", "c1"))
+        above = 0
+        for i in range(len(pdf)):
+            while above < i and (row[above] < row[i] - 1 or (row[above] == row[i] - 1 and c1[above] < c0[i])):
+                above += 1
+            j = above
+            while j < i and row[j] == row[i] - 1 and c0[j] <= c1[i]:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+                j += 1
+        pdf["part"] = [pdf["run"].iat[root(i)] for i in range(len(pdf))]
+        return pdf
+
+    from pyspark.sql import types as T
+
+    with_strip = found.withColumn("strip", F.floor(F.col("row") / STRIP).cast("int"))
+    schema = T.StructType([*with_strip.schema.fields, T.StructField("part", T.LongType())])
+    return with_strip.groupBy(*keys, "strip").applyInPandas(join, schema)
+
+
 def label_runs(found: DataFrame, keys=KEYS, most_rounds: int = 64) -> DataFrame:
     """Runs with the least run that touching runs lead to.
 
-    Runs of one row and the next meet by equality of rows. Labels go to neighbours and then to
-    the label's own label, so long thin patches take few rounds; each round is cut off.
+    Parts of components inside strips of rows are joined first; only parts that meet at the
+    border of two strips go on. Their labels go to neighbours and then to the label's own
+    label, so long patches take few rounds; each round is cut off.
     """
     ensure_checkpoints(found)
-    found = found.checkpoint()
-    above = found.select(*keys, (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("run").alias("above"))
-    touch = found.join(above, [*keys, "row"]).filter("c0 <= a1 and a0 <= c1").select(*keys, F.col("run").alias("a"), F.col("above").alias("b"))
+    found = label_strips(found, keys).checkpoint()
+    edge = found.filter(F.col("row") % STRIP == STRIP - 1).select(*keys, (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("part").alias("b"))
+    touch = found.join(edge, [*keys, "row"]).filter("c0 <= a1 and a0 <= c1").select(*keys, F.col("part").alias("a"), "b").distinct()
     both = touch.union(touch.select(*keys, "b", "a")).checkpoint()
-    labels = found.select(*keys, "run", F.col("run").alias("label"))
+    labels = both.select(*keys, F.col("a").alias("part"), F.col("a").alias("label")).distinct()
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("run", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("run")).agg(F.min("label").alias("_near"))
-        stepped = labels.join(near, [*keys, "run"], "left").withColumn("_new", F.least("label", "_near"))
-        root = labels.select(*keys, F.col("run").alias("_new"), F.col("label").alias("_far"))
-        jumped = stepped.join(root, [*keys, "_new"], "left").select(*keys, "run", F.col("label").alias("_old"), F.least("_new", "_far").alias("label")).checkpoint()
+        near = both.join(labels.withColumnRenamed("part", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("part")).agg(F.min("label").alias("_near"))
+        stepped = labels.join(near, [*keys, "part"], "left").withColumn("_new", F.least("label", "_near"))
+        root = labels.select(*keys, F.col("part").alias("_new"), F.col("label").alias("_far"))
+        jumped = stepped.join(root, [*keys, "_new"], "left").select(*keys, "part", F.col("label").alias("_old"), F.least("_new", "_far").alias("label")).checkpoint()
         labels = jumped.drop("_old")
         if jumped.filter("label != _old").isEmpty():
-            return found.join(labels, [*keys, "run"])
+            return found.join(labels, [*keys, "part"], "left").withColumn("label", F.coalesce("label", "part")).drop("part", "strip")
     raise ValueError("components still change")
 
 

@@ -326,4 +326,4 @@ def sample_preview(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {G_EVENTS} SELECT row, col, v FROM g WHERE row BETWEEN 2 AND 7 AND col BETWEEN 12 AND 41")
 def window_read(spark: SparkSession, d: str) -> DataFrame:
-    return regrid.window_read(g_events(spark, d), 60.0, -18.0, 100.0, -10.0, 3.0, 0.0, 0.0, margin=1).filter("row >= 2 and row <= 7 and col >= 12 and col <= 41").select("row", "col", "v")
+    return regrid.window_read(g_events(spark, d), 39.0, -21.0, 123.0, -9.0, 3.0, 0.0, 0.0, margin=1).select("row", "col", "v")
