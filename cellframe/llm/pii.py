@@ -129,11 +129,12 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.when(luhn_sum(canon) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(spelled)
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    # later derivations of a name have more syllables, and so more room
     name = F.lit("")
     for (sex, letters), names in GIVEN.items():
         given = F.element_at(F.array(*map(F.lit, names)), noise(seed, F.lit(0)) % len(names) + 1)
         syllables = F.array(*map(F.lit, SYLLABLES[letters]))
-        family = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.element_at(syllables, noise(seed, i) % len(SYLLABLES[letters]) + 1)), "")  # noqa: B023
+        family = F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: F.element_at(syllables, noise(seed, i) % len(SYLLABLES[letters]) + 1)), "")  # noqa: B023
         whole = F.when(canon.contains(" "), F.concat_ws(" ", F.lower(given), family)).otherwise(family)
         name = F.when((F.substring_index(canon, ":", 1) == sex) & (script == letters), F.concat_ws(":", F.lit(sex), whole)).otherwise(name)
     return F.when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "person", name).otherwise(spelled)
