@@ -202,9 +202,8 @@ def repeated(
     strings = packed.groupBy("h", "f").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.count("*").alias("times"), F.min(place).alias("first"))
     strings = written(strings.select("h", "f", "s", "n", "times", "first.*"), "strings")
     crowded = written(strings.groupBy("h").count().filter(F.col("count") > CROWDED).select("h"), "crowded")
-    calm = strings.join(crowded, "h", "left_anti")
-    if spark.conf.get("spark.sql.shuffle.partitions"):
-        calm = calm.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    calm = strings.join(crowded, "h", "left_anti").repartition(partitions, "h").sortWithinPartitions("h")
     flags = calm.select("h", "f", "s", "n", "times", "doc_id", "row", "start").mapInArrow(buckets(compare), "h long, f long, at int, len int")
     if not crowded.isEmpty():
         flags = flags.unionByName(window_by_window(strings.join(crowded, "h", "left_semi"), kind, spare_first))
