@@ -9,9 +9,8 @@ signature, so sufficiently similar sets share one. A pair of parts that holds no
 nothing: ``SLACK`` partitions more than needed make it superfluous, and a set with more such
 partitions than that is dealt out once again, with other hashes.
 
-Copies are one set. Sets that share a signature are compared with the least of them; those that
-this does not join to one group, with each other across groups. So all links that matter for
-the groups are tested, and few pairs within a group.
+Copies are one set. Sets that share a signature are compared with the least of them, and not
+all with each other: see find_links().
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.llm import tokens
@@ -190,33 +189,85 @@ def packed_sets(rule: Rule):
     return of
 
 
-def similar(rule: Rule):
-    """From (a, b, x, y) to (a, b) of sets that are similar enough."""
+def against_pivot(rule: Rule):
+    """From (a, b, wide, x, y) to (a, b, linked, size, differ, first, most): whether sets link and,
+    where the pivot a has other partners, the elements in which b differs from it.
+
+    Let D(s) be what s differs in from the pivot. If t does not link with the pivot but with s,
+    then D(s) and D(t) share more than part / (100 + part) of D(s), and D(t) has no more
+    elements outside D(s) than t's size allows differences. So, in any one order of elements,
+    the ``first`` of D(s) and the ``most`` of D(t) share one.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(5)]
+            for wide, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-                least, most = sorted((len(p), len(q)))
-                if least * 100 < rule.part * most:
-                    keep.append(False)
-                    continue
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * both >= rule.part * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                differ = np.setxor1d(p, q, assume_unique=True)
+                union = (len(p) + len(q) + len(differ)) // 2
+                linked = 100 * (union - len(differ)) >= rule.part * union
+                n = len(differ)
+                first = n - n * rule.part // (100 + rule.part)
+                most = 0 if linked else min(n, rule.differences(len(q)) + 1)
+                for c, v in zip(out, (linked, len(q), differ.view(np.int64) if wide else None, first, most), strict=True):
+                    c.append(v)
+            types = (pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "differ", "first", "most"])
 
     return of
 
 
-def tested(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Those pairs (a, b) of rows that link."""
+def star(groups: DataFrame) -> DataFrame:
+    """Pairs of the least member of each group (sig, rep) with the others: (a, b, wide), where
+    ``wide`` says that a has two partners or more."""
+    pivots = groups.groupBy("sig").agg(F.min("rep").alias("a"))
+    pairs = groups.join(pivots, "sig").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    many = pairs.groupBy("a").agg((F.count("*") > 1).alias("wide"))
+    return pairs.join(many, "a").select("a", "b", "wide")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """against_pivot() of pairs (a, b, wide)."""
+    with_a = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
+    with_both = with_a.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "wide", "x", "y")
+    return written(with_both.mapInArrow(against_pivot(rule), "a long, b long, linked boolean, size long, differ array<long>, first int, most int"), "compared")
+
+
+def find_links(rows: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) among sets that share a group (sig, rep), enough to have their components.
+
+    Each group is compared with its least member alone. Two others of it that both link with
+    that one are joined already. If one doesn't, and they link with each other, they share
+    elements in which they differ from it, and by against_pivot() one among the rarest of
+    these: such pairs are compared too. Copies with changes of their own differ in elements of
+    their own, so this forms few pairs, where all pairs of a group would be many.
+    """
+    pairs = written(star(groups), "pairs")
     involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = docs.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "doc_id", "raw")
+    texts = rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "doc_id", "raw")
     sets = written(texts.mapInArrow(packed_sets(rule), "row long, shingles binary"), "sets")
-    with_a = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
-    with_both = with_a.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return written(with_both.mapInArrow(similar(rule), "a long, b long"), "links")
+    found = compared(pairs, sets, rule)
+    links = found.filter("linked").select("a", "b")
+    asking = found.filter("most > 0 and differ is not null").select("a").distinct()
+    each = found.filter("differ is not null").join(asking, "a", "left_semi").select("a", "b", "size", "first", "most", F.size("differ").alias("n"), F.explode("differ").alias("e"))
+    times = each.groupBy("a", "e").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("a", "b").orderBy("times", "e")
+    ranked = each.join(times, ["a", "e"]).withColumn("place", F.row_number().over(rarest)).filter((F.col("times") > 1) & (F.col("place") <= F.greatest("first", "most")))
+    ranked = written(ranked.select("a", "e", "b", "size", "n", "place", "first", "most"), "differences")
+    probe = ranked.filter("place <= most").select("a", "e", F.col("b").alias("t"), F.col("size").alias("nt"), F.col("n").alias("dt"), F.col("place").alias("pt"))
+    index = ranked.filter("place <= first").select("a", "e", F.col("b").alias("s"), F.col("size").alias("ns"), F.col("n").alias("ds"), F.col("place").alias("ps"))
+    near = (F.col("s") != F.col("t")) & (F.least("ns", "nt") * 100 >= F.greatest("ns", "nt") * rule.part)
+    # sets that link share so many of their differences that, after the first shared one, there
+    # are enough places left for the others
+    may_differ = F.floor((F.col("ns") + F.col("nt")) * (100 - rule.part) / (100 + rule.part))
+    left = 1 + F.least(F.col("ds") - F.col("ps"), F.col("dt") - F.col("pt"))
+    near &= 2 * left >= F.col("ds") + F.col("dt") - may_differ
+    more = probe.join(index, ["a", "e"]).filter(near).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct().withColumn("wide", F.lit(False))
+    more = written(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "wide"), "more-pairs")
+    if not more.isEmpty():
+        links = links.union(compared(more, sets, rule).filter("linked").select("a", "b"))
+    return links
 
 
 def classes(docs: DataFrame, rule: Rule, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -257,20 +308,7 @@ def by_row(rows: DataFrame, rule: Rule) -> DataFrame:
     by_rep = by_rep.join(to_rep.select(F.col("row").alias("pivot"), F.col("rep").alias("first")), "pivot")
     by_rep = by_rep.filter("rep != first")
     members = written(by_rep.select("sig", "rep").union(by_rep.select("sig", "first")).distinct(), "members")
-    pivots = members.groupBy("sig").agg(F.min("rep").alias("a"))
-    pairs = members.join(pivots, "sig").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    links = tested(rows, pairs, rule)
-    label = components(links)
-    grouped = members.join(label, F.col("rep") == F.col("v"), "left").select("sig", "rep", F.coalesce("label", "rep").alias("label"))
-    open_sigs = grouped.groupBy("sig").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("many")).filter("one != other and many > 2").select("sig")
-    rest = written(grouped.join(open_sigs, "sig"), "open")
-    if not rest.isEmpty():
-        left, right = rest.select("sig", F.col("rep").alias("a"), F.col("label").alias("la")), rest.select("sig", F.col("rep").alias("b"), F.col("label").alias("lb"))
-        across = left.join(right, "sig").filter("la != lb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = tested(rows, written(across, "pairs-across"), rule)
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+    label = components(find_links(rows, members, rule))
     whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, "least", F.coalesce("label", "rep").alias("label"))
     component = whole.groupBy("label").agg(F.min("least").alias("component_id"))
     of_set = whole.join(component, "label").select(*same, "component_id")
