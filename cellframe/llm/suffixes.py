@@ -26,10 +26,20 @@ BLOCK = 20
 SHARDS = 4
 
 
-def dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks of keys from 1 on (of pairs: ranks below 2**31 each)."""
-    key = keys[0] if len(keys) == 1 else keys[0] << 32 | keys[1]
-    order = np.argsort(key, kind="stable")
+#: Bits of a rank or place in packed sort keys; larger numbers are sorted another way.
+BITS = 21
+
+
+def order_of(rank: np.ndarray) -> np.ndarray:
+    """Places in order of ranks, equal ones in order of place: one sort of packed keys."""
+    key = rank << 32 | np.arange(len(rank))
+    key.sort()
+    return key & 0xFFFFFFFF
+
+
+def dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys from 1 on."""
+    order = np.argsort(key)
     new = np.ones(len(key), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     out = np.empty(len(key), np.int64)
@@ -37,6 +47,20 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def dense_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks."""
+    if len(first) >= 1 << BITS:
+        return dense(first << 32 | second)
+    key = (first << BITS | second) << BITS | np.arange(len(first))
+    key.sort()
+    pair, order = key >> BITS, key & (1 << BITS) - 1
+    new = np.ones(len(key), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 class Shard:
     """Strings with their suffixes in order and the block before each.
 
@@ -51,7 +75,7 @@ class Shard:
         empty = at >= np.repeat(lengths, size)
         at = at + np.repeat(first, size)
         real = at[~empty]
-        real = real[np.argsort(rank[real], kind="stable")]
+        real = real[order_of(rank[real])]
         self.at = np.concatenate([at[empty], real])
         self.empties = int(empty.sum())
         begin = np.repeat(first, size)
@@ -71,7 +95,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
         for s, shard in enumerate(shards):
             block[z == s] = shard.blocks
         inner = np.flatnonzero(block)
-        inner = inner[np.argsort(block[inner], kind="stable")]
+        inner = inner[order_of(block[inner])]
         b, g = block[inner], group[inner]
         new = np.ones(len(inner), bool)
         new[1:] = (b[1:] != b[:-1]) | (g[1:] != g[:-1])
@@ -107,8 +131,8 @@ def repeated_intervals(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     while deep < lengths.max():
         if 2 * deep >= BLOCK > deep:
             tail = eight if BLOCK - deep <= 8 else rank
-            block = dense(rank, after(tail, BLOCK - (8 if tail is eight else deep)))
-        rank, deep = dense(rank, after(rank, deep)), 2 * deep
+            block = dense_pairs(rank, after(tail, BLOCK - (8 if tail is eight else deep)))
+        rank, deep = dense_pairs(rank, after(rank, deep)), 2 * deep
     order = np.array_split(np.arange(len(texts)), min(SHARDS, len(texts)))
     at, group = merge([Shard(joined, first[o], lengths[o], block, rank) for o in order], LENGTH // BLOCK)
     string = np.repeat(np.arange(len(texts)), space)[at]
