@@ -151,6 +151,6 @@ def site_rollup(layers: DataFrame) -> DataFrame:
 
 def inventory_summary(products: DataFrame, levels: list[str]) -> DataFrame:
     """Files by level, matched granules and bytes, by site."""
-    counts = products.groupBy("site").pivot("level", levels).agg(F.count("*"))
+    counts = products.groupBy("site").pivot("level", levels).agg(F.count(F.lit(1)))
     sums = products.groupBy("site").agg(F.countDistinct(F.when(F.col("matched"), F.col("granule"))).alias("matched_granules"), F.sum("bytes").alias("bytes"))
     return counts.na.fill(0).join(sums, "site")

@@ -64,9 +64,9 @@ def _map(spark: SparkSession, d: str) -> DataFrame:
     return stats.map_reduce(s, ["site", "brow", "bcol"])
 
 
-@query(MAP + "SELECT site, brow, bcol, round(p, 4) AS p, y, scenes FROM m")
+@query(MAP + "SELECT site, brow, bcol, round(p, 8) AS p, y, scenes FROM m")
 def map_reduce(spark: SparkSession, d: str) -> DataFrame:
-    return _map(spark, d).withColumn("p", r("p", 4))
+    return _map(spark, d).withColumn("p", r("p", 8))
 
 
 @query(MAP + "SELECT site, round(avg(p - y), 4) AS bias, round(corr(p, y), 6) AS corr, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(sqrt(greatest(avg((p - y) * (p - y)) - avg(p - y) * avg(p - y), 0)), 4) AS rmse_debiased, round(avg(scenes), 6) AS mean_scenes FROM m GROUP BY site")
