@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm.shared import cut
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """v, label: each linked number with the least number that links lead to.
 
-    ``links`` is (a, b). A round takes the least label among a number's neighbours and then
-    that label's own label, so that a chain of n links takes about log n rounds. Each round is
-    cut off in the shared folder.
+    ``links`` is (a, b). A round moves each number into that one of itself and its neighbours
+    which comes first in an order of the round's own, a hash; links between what is left are
+    the next round's. Whatever the links' shape and the numbers' order, a round leaves in
+    expectation a fixed part of the numbers at most, so rounds grow with the logarithm of the
+    largest component and all of them together with the links. The number that is last in the
+    order never stays, so they end without a cap. Then labels go back from the last round to
+    the first. Each round is cut off in the shared folder.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "v"))
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("least"))
-        stepped = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("old"), F.least("label", "least").alias("new"))
-        root = labels.select(F.col("v").alias("root"), F.col("label").alias("far"))
-        jumped = stepped.join(root, F.col("new") == F.col("root"), "left").select("v", "old", F.coalesce(F.least("new", "far"), "new").alias("label"))
-        jumped = cut(jumped)
-        if jumped.filter("label != old").isEmpty():
-            return jumped.select("v", "label")
-        labels = jumped.select("v", "label")
-    raise ValueError(f"labels still change after {most_rounds} rounds")
+    left = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        into = cut(first_in_reach(left, len(rounds)))
+        rounds.append(into)
+        moved = left.join(into.select(F.col("v").alias("a"), F.col("into").alias("x")), "a")
+        moved = moved.join(into.select(F.col("v").alias("b"), F.col("into").alias("y")), "b")
+        left = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    end = rounds.pop()
+    while rounds:
+        later = end.select(F.col("v").alias("into"), F.col("into").alias("end"))
+        end = cut(rounds.pop().join(later, "into", "left").select("v", F.coalesce("end", "into").alias("into")))
+    least = end.groupBy("into").agg(F.min("v").alias("label"))
+    return cut(end.join(least, "into").select("v", "label"))
+
+
+def first_in_reach(links: DataFrame, turn: int) -> DataFrame:
+    """v, into: the first of each number and its neighbours, in the order of round ``turn``."""
+
+    def place(number: str) -> Column:
+        # a one-to-one map of 64 bits, so there are no ties
+        return F.xxhash64(F.lit(turn), number)
+
+    both = links.select("a", "b").union(links.select("b", "a"))
+    near = both.groupBy("a").agg(F.min(place("b")).alias("first"), F.min_by("b", place("b")).alias("into"))
+    return near.select(F.col("a").alias("v"), F.when(place("a") < F.col("first"), F.col("a")).otherwise(F.col("into")).alias("into"))

@@ -141,6 +141,16 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_chains_in_any_order(spark):
+    """Least numbers at both ends meet in the middle, which is far from either."""
+    ids = list(range(2, 400))
+    random.Random(7).shuffle(ids)
+    chains = [[0, *ids, 1], random.Random(8).sample(range(1000, 1300), 300)]
+    links = spark.createDataFrame([x for c in chains for x in itertools.pairwise(c)], "a long, b long")
+    got = {r.v: r.label for r in groups.components(links).collect()}
+    assert got == {v: min(c) for c in chains for v in c}
+
+
 ODD = ["", "  ", "ΑΣ ΣΑΣ. İstanbul", "a<|endoftext|>b <|startoftext|>", "it's WE'LL 'Sx", "日本語 テスト ０１２ ½", "x\x1cy \x1d z\x85w", "é ́a", "ﬀ ß ẞ Ǆ", "\U0001f600 🤷🏽‍♀️", "a\x00b", "x" * 3000]
 
 
