@@ -285,16 +285,20 @@ def classes(docs: DataFrame, rule: Rule, text: str = "text", key: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, rule: Rule, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of classes(): the one of the least doc_id, of equal
-    ones the first. Rows with an empty set all stay. Other columns stay as they are."""
+    """``docs`` with one row of each component of classes(), though components may have one
+    component_id: the row of the least doc_id, of equal ones the first. Rows with an empty set all stay. Other columns stay as they are."""
     found = by_row(numbered(docs, text, key), rule)
-    first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     stay = first.select("first.row").union(found.filter("n_shingles = 0").select("row"))
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, F.col("_row") == F.col("row"), "left_semi").drop("_row")
 
 
 def by_row(rows: DataFrame, rule: Rule) -> DataFrame:
-    """row, doc_id, n_shingles, component_id of (row, doc_id, raw)."""
+    """row, doc_id, n_shingles, component_id, label of (row, doc_id, raw).
+
+    Components may have one component_id, as null or repeated doc_ids do; the label, a row
+    number, is each component's own. It is null where the set is empty.
+    """
     spark = rows.sparkSession
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -311,5 +315,5 @@ def by_row(rows: DataFrame, rule: Rule) -> DataFrame:
     label = components(find_links(rows, members, rule))
     whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, "least", F.coalesce("label", "rep").alias("label"))
     component = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = whole.join(component, "label").select(*same, "component_id")
-    return sets.join(of_set, same, "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_set = whole.join(component, "label").select(*same, "component_id", "label")
+    return sets.join(of_set, same, "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label")

@@ -135,6 +135,15 @@ def test_jaccard_classes(spark, docs, empty, rule):
     assert jaccard.classes(empty, rule).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """Components with one component_id are still apart: each keeps a row."""
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 60, 1000) for _ in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (9, a), (8, c)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Rule(5, 80)).collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter(rows[:4])
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.v: r.label for r in groups.components(links).collect()}
