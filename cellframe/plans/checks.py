@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.catalog import query
+from cellframe.functions import values
 from cellframe.operators import audit, blocks, cleaning
 from cellframe.plans.fixtures import CHANNELS, G_EVENTS, SHAPE, channels, g_events, read, shaped
 
@@ -115,10 +116,18 @@ def metadata_corrections(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT brow, bcol, CASE WHEN mean IS NULL THEN 0 ELSE 1 + CAST(floor(mean) AS INTEGER) END AS code FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY code > 0 ORDER BY brow, bcol) AS n, count(*) OVER (PARTITION BY code > 0) AS k FROM c)
 SELECT brow, bcol, code, true AS fine FROM n WHERE CASE WHEN code > 0 THEN n = 1 OR n = k OR n = ceil(k / 2) OR n = ceil(k / 4) ELSE n = 1 END""")
 def sampled_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """An audit by samples: five blocks of a layer, worked out again."""
-    b = blocks.block_mean(shaped(g_events(spark, d)), 5)
+    """An audit by samples: five blocks of a layer, worked out again from their cells.
+
+    What is stored is the block product's code; the other side is a plain mean of the cells
+    that goes through quantise() with steps of 1, so that the two differ by rounding alone.
+    """
+    cells = g_events(spark, d)
+    b = blocks.block_mean(shaped(cells), 5)
     codes = b.select("layer", "brow", "bcol", F.when(F.col("mean").isNull(), 0).otherwise(1 + F.floor("mean")).cast("int").alias("code"))
-    return audit.recomputed_blocks(codes, codes).select("brow", "bcol", "code", "fine")
+    means = cells.groupBy("layer", F.floor(F.col("row") / 5).alias("brow"), F.floor(F.col("col") / 5).alias("bcol")).agg(F.avg("v").alias("mean"))
+    lo, hi, bits = F.lit(0.0), F.lit(65534.0), 16
+    again = means.select("layer", "brow", "bcol", values.quantise(F.col("mean"), lo, hi, bits).alias("code"))
+    return audit.recomputed_blocks(codes, again).select("brow", "bcol", "code", "fine")
 
 
 @query("SELECT c_custkey % 8 AS site, count(*) AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1")

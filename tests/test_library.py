@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cellframe.functions import names
-from cellframe.operators import matching
+from cellframe.operators import blocks, matching
+from cellframe.plans import checks, fixtures
 from cellframe.sources import rasters, texts
 
 
@@ -20,6 +21,23 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_gbt_loso_leaves_out_each_site(spark):
+    got = __spark_entry__.queries()["gbt_loso"](spark, SMALL)
+    sites = {r.site for r in fixtures.samples(spark, SMALL).select("site").distinct().collect()}
+    assert len(sites) > 2
+    assert sorted(r.site for r in got.select("site").collect()) == sorted(sites)
+
+
+def test_sampled_blocks_finds_wrong_codes(spark, monkeypatch):
+    assert {r.fine for r in checks.sampled_blocks(spark, SMALL).collect()} == {True}
+    right = blocks.block_mean
+    monkeypatch.setattr(blocks, "block_mean", lambda *a: right(*a).withColumn("mean", F.col("mean") + 5))
+    assert {r.fine for r in checks.sampled_blocks(spark, SMALL).collect() if r.code > 0} == {False}
+
+
 def test_survey_names(spark):
     df = spark.createDataFrame([("X_QSI_sd_3M_ab_20200101_20200102.tif",), ("X_QSI_sd_10M_ab_20200101_20200102.tif",), ("short",), (None,)], "n string")
     got = [r.p for r in df.select(names.survey_name(F.col("n")).alias("p")).collect()]
