@@ -2,33 +2,35 @@
 
 Sets whose similarity is at least the threshold differ in few elements, relative to their
 sizes. Sizes are cut into bands such that similar sets lie in one band or in neighbouring
-ones; within two neighbouring bands at most k elements differ. Elements are dealt into n
-partitions of three parts each, with 2 n > k: some partition then holds at most one difference,
-and in it two of the three parts are equal. Each pair of parts of each partition is a
-signature, so sufficiently similar sets share one. A pair of parts that holds no element says
-nothing: ``SLACK`` partitions more than needed make it superfluous, and a set with more such
-partitions than that is dealt out once again, with other hashes.
-
-Copies are one set. Sets that share a signature are compared with the least of them, and not
-all with each other: see find_links().
+ones; within two neighbouring bands at most k elements differ. The domain of elements is dealt
+into partitions of two parts each, more than k / 2 of them: some partition then holds at most one
+difference, and one of its two parts is equal. Each part of each partition is a signature, so
+sufficiently similar sets share one. A part without elements says nothing: the partitions are
+so many more than needed as empty parts are to be expected (``slack``), and a set with more of
+these than that is dealt out once again, with other hashes.
+
+Copies are one set, signed once. Sets that share a signature are compared with the least of
+them (the pivot), and not all with each other: see find_links().
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.llm import tokens
 from cellframe.llm.groups import components
-from cellframe.llm.shared import small_batches, written
-from cellframe.llm.superkmers import numbered
+from cellframe.llm.shared import Scratch, free_name, small_batches, whole_text
 
-SLACK, LEVELS = 2, 6
+LEVELS = 6
+#: Rows of a pivot that go to one task together when something is joined to a pivot.
+PER_SALT = 2048
 U = np.uint64
 
 
@@ -53,6 +55,16 @@ class Rule:
         """Elements in which similar sets differ at most if the smaller has up to ``high``."""
         return (100 - self.part) * (high + high * 100 // self.part) // (100 + self.part)
 
+    def slack(self, low: int, k: int) -> int:
+        """Partitions beyond those needed, for sets of ``low`` elements or more."""
+        need = (k + 2) // 2
+        empty = 2 * need * np.exp(-low / (2 * need))
+        return 0 if k < 8 else 2 + int(np.ceil(1.3 * empty))
+
+    def shared(self, size: int) -> int:
+        """Elements that a set of ``size`` has in common with any set that it links with."""
+        return -(-size * self.part // 100)
+
 
 def sets_of(rule: Rule, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of some texts in order, and the offsets of each text's."""
@@ -61,7 +73,7 @@ def sets_of(rule: Rule, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     each = np.where(many >= rule.words, many - rule.words + 1, np.minimum(many, 1))
     text = np.repeat(np.arange(len(many)), each)
     start = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each) + at[text]
-    shingle = tokens.Prefix(t, tokens.BASES[1]).of(start, np.minimum(start + rule.words, at[text + 1]))
+    shingle = tokens.runs_of(t, start, np.minimum(rule.words, at[text + 1] - start), rule.words)
     order = np.lexsort((shingle, text))
     text, shingle = text[order], shingle[order]
     new = np.ones(len(text), bool)
@@ -71,203 +83,296 @@ def sets_of(rule: Rule, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 
 
 def describe(rule: Rule):
-    """From (row, doc_id, raw) to (row, doc_id, n, s1, s2): size of the set and two hashes of it."""
+    """From (row, raw) to (row, n, d1, d2): size of the set and a digest of it in two numbers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, raw, offsets in tokens.chunks(b.column(2)):
+            for first, raw, offsets in tokens.chunks(b.column(1)):
                 shingle, at = sets_of(rule, raw, offsets)
-                sums = []
-                for turn in (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)):
-                    total = np.zeros(len(shingle) + 1, U)
-                    np.cumsum(tokens.mix(shingle ^ turn), out=total[1:])
-                    sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
-                rows = slice(first, first + len(at) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[rows]), pa.array(np.asarray(b.column(1))[rows]), pa.array(np.diff(at).astype(np.int64)), *sums], names=["row", "doc_id", "n", "s1", "s2"])
+                digest = b"".join(hashlib.blake2b(shingle[x:y].tobytes(), digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                d = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(d)), pa.array(np.diff(at).astype(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["row", "n", "d1", "d2"])
 
     return of
 
 
 def deal(rule: Rule, shingle: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of some sets: set and signature."""
+    """Signatures of some distinct sets: set and signature.
+
+    Distinct sets of a band in which nothing may differ can't link and get none.
+    """
     size = np.diff(at)
     bands = rule.bands(int(size.max(initial=1)))
     lows = np.array([x[0] for x in bands])
-    highs = np.array([x[1] for x in bands] + [0])
+    ks = np.array([rule.differences(x[1]) for x in bands])
+    slacks = np.array([rule.slack(low, int(k)) for low, k in zip(lows, ks, strict=True)])
     band = np.searchsorted(lows, size, "right") - 1
     out_set, out_sig = [], []
     for back in (0, 1):
         who = np.flatnonzero((size > 0) & (band - back >= 0))
-        instance = band[who] - back
-        k = np.array([rule.differences(int(h)) for h in highs])[instance]
+        who = who[ks[band[who] - back] > 0]
         for level in range(LEVELS):
             if not len(who):
                 break
-            slack = np.where(k < 8, 0, SLACK)
-            n = np.where(k > 0, (k + 2) // 2 + slack, 1)
-            parts = n * 3
-            base = np.cumsum(parts) - parts
+            instance = band[who] - back
+            slack = slacks[instance]
+            n = (ks[instance] + 2) // 2 + slack
+            base = np.cumsum(2 * n) - 2 * n
             many = size[who]
             member = np.repeat(np.arange(len(who)), many)
             element = shingle[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at[who], many)]
             turn = tokens.mix((instance * 64 + level + 1).astype(U))
             h = tokens.mix(element ^ turn[member])
-            cell = base[member] + (h % n[member].astype(U)).astype(np.int64) * 3 + ((h >> U(40)) % U(3)).astype(np.int64)
-            total = np.zeros(int(parts.sum()), U)
+            cell = base[member] + (h % n[member].astype(U)).astype(np.int64) * 2 + (h >> U(63)).astype(np.int64)
+            total = np.zeros(int(2 * n.sum()), U)
             np.add.at(total, cell, tokens.mix(h + U(1)))
-            count = np.bincount(cell, minlength=len(total))
-            total, count = total.reshape(-1, 3), count.reshape(-1, 3)
-            owner = np.repeat(np.arange(len(who)), n)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            exact = k[owner] == 0  # nothing may differ: all parts are one signature
-            tag = tokens.mix(turn[owner] + (place * 4).astype(U))
-            blank = np.zeros(len(owner), bool)
-            for left, right in ((0, 1), (0, 2), (1, 2)):
-                sig = tokens.mix(total[:, left] * U(3) + total[:, right] * U(5) + tag + U(left + right))
-                some = (count[:, left] + count[:, right] > 0) & ~exact
-                if level == LEVELS - 1:
-                    some = ~exact
-                blank |= ~some & ~exact
-                out_set.append(who[owner[some]])
-                out_sig.append(sig[some])
-            if exact.any():
-                out_set.append(who[owner[exact]])
-                out_sig.append(tokens.mix(total[exact].sum(1) + tag[exact] + U(3)))
-            again = np.bincount(owner[blank], minlength=len(who)) > slack
-            who, instance, k = who[again], instance[again], k[again]
+            filled = np.bincount(cell, minlength=len(total)) > 0
+            owner = np.repeat(np.arange(len(who)), 2 * n)
+            place = np.arange(len(owner)) - base[owner]
+            sig = tokens.mix(total + tokens.mix(turn[owner] + (place * 2).astype(U)))
+            spoilt = ~filled[::2] | ~filled[1::2]
+            again = np.bincount(owner[::2][spoilt], minlength=len(who)) > slack
+            if level == LEVELS - 1:
+                filled[:] = True
+            out_set.append(who[owner[filled]])
+            out_sig.append(sig[filled])
+            who = who[again]
     return np.concatenate(out_set or [np.zeros(0, np.int64)]), np.concatenate(out_sig or [np.zeros(0, U)])
 
 
 def signatures(rule: Rule):
-    """From (row, doc_id, raw) to (sig, row)."""
+    """From (row, raw) to (sig, row)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = np.asarray(b.column(0))
-            for first, raw, offsets in tokens.chunks(b.column(2)):
+            for first, raw, offsets in tokens.chunks(b.column(1)):
                 who, sig = deal(rule, *sets_of(rule, raw, offsets))
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(row[first + who])], names=["sig", "row"])
 
     return of
 
 
-def shared_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (sig, row) in order to (sig, row, pivot) of signatures that two rows or more have."""
-    carry_sig, carry_row, pivot, told = np.zeros(0, np.int64), np.zeros(0, np.int64), None, False
+def pivot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (sig, row) in order to (a, b, wide): the least row of each signature with the others.
+
+    ``wide``: the signature may have more than two rows. Rows are read as a stream; of a
+    signature that goes on in the next batch, its first row is carried.
+    """
+    last, pivot = None, None
     for b in batches:
-        sig = np.concatenate([carry_sig, np.asarray(b.column(0))])
-        row = np.concatenate([carry_row, np.asarray(b.column(1))])
+        sig, row = np.asarray(b.column(0)), np.asarray(b.column(1))
         if not len(sig):
             continue
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
+        goes_on = last is not None and sig[0] == last
         begin = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         first = row[begin]
-        if pivot is not None and len(carry_sig):
-            first[0] = pivot  # the group went on from the batch before, whose last row is carried
+        if goes_on:
+            first[0] = pivot
         many = np.bincount(group)
-        show = many[group] > 1
-        if told and len(carry_sig):
-            show[0] = False
-        yield pa.RecordBatch.from_arrays([pa.array(sig[show]), pa.array(row[show]), pa.array(first[group[show]])], names=["sig", "row", "pivot"])
-        told = bool(many[-1] > 1)
-        carry_sig, carry_row, pivot = sig[-1:], row[-1:], first[-1]
+        many[-1] += 2  # more may follow
+        if goes_on:
+            many[0] += 2
+        a = first[group]
+        show = a != row
+        yield pa.RecordBatch.from_arrays([pa.array(a[show]), pa.array(row[show]), pa.array(many[group[show]] > 2)], names=["a", "b", "wide"])
+        last, pivot = sig[-1], first[-1]
 
 
 def packed_sets(rule: Rule):
-    """From (row, doc_id, raw) to (row, shingles): sorted 64-bit hashes."""
+    """From (row, raw) to (row, shingles): sorted 64-bit hashes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row = np.asarray(b.column(0))
-            for first, raw, offsets in tokens.chunks(b.column(2)):
+            for first, raw, offsets in tokens.chunks(b.column(1)):
                 shingle, at = sets_of(rule, raw, offsets)
                 data = [shingle[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row[first : first + len(data)]), pa.array(data, pa.binary())], names=["row", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(data)), pa.array(data, pa.binary())], names=["row", "shingles"])
 
     return of
 
 
 def against_pivot(rule: Rule):
-    """From (a, b, wide, x, y) to (a, b, linked, size, differ, first, most): whether sets link and,
-    where the pivot a has other partners, the elements in which b differs from it.
-
-    Let D(s) be what s differs in from the pivot. If t does not link with the pivot but with s,
-    then D(s) and D(t) share more than part / (100 + part) of D(s), and D(t) has no more
-    elements outside D(s) than t's size allows differences. So, in any one order of elements,
-    the ``first`` of D(s) and the ``most`` of D(t) share one.
+    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, outside).
+
+    For ``wide`` pairs, ``differ`` is what b differs in from the pivot a, given unless b is far
+    from it; ``outside`` what b has beyond a, as far as a search needs it, given unless b is near.
+    Distance here is one minus similarity, which obeys the triangle inequality. Let T be the
+    largest distance of a link. Links of a set within 2 T of a lie within 3 T: both have
+    ``differ``. Two sets beyond 2 T both have ``outside``. A set that has so much of a that a
+    link may lie within a alone gets both.
     """
+    over, part = 100, rule.part
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for wide, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-                differ = np.setxor1d(p, q, assume_unique=True)
-                union = (len(p) + len(q) + len(differ)) // 2
-                linked = 100 * (union - len(differ)) >= rule.part * union
-                n = len(differ)
-                first = n - n * rule.part // (100 + rule.part)
-                most = 0 if linked else min(n, rule.differences(len(q)) + 1)
-                for c, v in zip(out, (linked, len(q), differ.view(np.int64) if wide else None, first, most), strict=True):
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                union = len(p) + len(q) - common
+                differ = outside = None
+                if wide:
+                    apart = over * (union - common)
+                    need = rule.shared(len(q)) - common
+                    if apart <= 3 * (over - part) * union or need <= 0:
+                        differ = np.setxor1d(p, q, assume_unique=True).view(np.int64)
+                    if apart > 2 * (over - part) * union:
+                        beyond = np.setdiff1d(q, p, assume_unique=True)
+                        outside = beyond[: len(beyond) - max(need, 1) + 1].view(np.int64)
+                for c, v in zip(out, (over * common >= part * union, len(q), common, differ, outside), strict=True):
                     c.append(v)
-            types = (pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "differ", "first", "most"])
+            types = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "common", "differ", "outside"])
 
     return of
 
 
-def star(groups: DataFrame) -> DataFrame:
-    """Pairs of the least member of each group (sig, rep) with the others: (a, b, wide), where
-    ``wide`` says that a has two partners or more."""
-    pivots = groups.groupBy("sig").agg(F.min("rep").alias("a"))
-    pairs = groups.join(pivots, "sig").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    many = pairs.groupBy("a").agg((F.count("*") > 1).alias("wide"))
-    return pairs.join(many, "a").select("a", "b", "wide")
+def with_pivot(rows: DataFrame, of_pivot: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with the one row that each pivot ``a`` has in ``of_pivot``. A pivot with
+    many rows, by ``counts`` (a, times), is met in several tasks: its one row is repeated for
+    each PER_SALT of them."""
+    salts = (F.col("times") / PER_SALT).cast("long")
+    dealt = rows.join(counts.filter(F.col("times") >= PER_SALT).select("a", salts.alias("salts")), "a", "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
+    spread = of_pivot.join(counts.select("a", salts.alias("salts")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
+    return dealt.join(spread, ["a", "salt"]).drop("salt")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """against_pivot() of pairs (a, b, wide)."""
-    with_a = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
-    with_both = with_a.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "wide", "x", "y")
-    return written(with_both.mapInArrow(against_pivot(rule), "a long, b long, linked boolean, size long, differ array<long>, first int, most int"), "compared")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("times"))
+    with_b = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    with_both = with_pivot(with_b, sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), counts)
+    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>"
+    return with_both.select("a", "b", "wide", "x", "y").mapInArrow(against_pivot(rule), schema)
+
+
+def recentre(rule: Rule):
+    """From (a, b, size, differ, centre) to (a, b, size, w, away).
+
+    ``away`` is what b differs in from the pivot's centre, the set that has what most of the
+    sets around the pivot have. Two sets whose w add up to 0 or less link, since they can't
+    differ in more than both differ from the centre. If w add up to more, they link if and only
+    if they share enough of what they are away in: 2 (100 + part) times its size is at least
+    the sum.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away, w = [], []
+            for size, differ, centre in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                d = np.setxor1d(np.array(differ, np.int64), np.array(centre or [], np.int64), assume_unique=True)
+                away.append(d)
+                w.append((100 + rule.part) * len(d) - (100 - rule.part) * size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(w, pa.int64()), pa.array(away, pa.list_(pa.int64()))], names=["a", "b", "size", "w", "away"])
+
+    return of
+
+
+def apart(each: DataFrame, *also: Column) -> DataFrame:
+    """(a, e, times) of the elements by which sets of different labels around a pivot could meet.
+
+    Counts, least and greatest labels are summed up before anything is dealt out.
+    """
+    sums = each.groupBy("a", "e").agg(F.count("*").alias("times"), F.min("label").alias("low"), F.max("label").alias("high"), *also)
+    met = sums.filter("times > 1 and low != high")
+    return met.filter("asks") if also else met
+
+
+def size_fits(rule: Rule) -> Column:
+    return F.least("s_size", "t_size") * 100 >= F.greatest("s_size", "t_size") * rule.part
 
 
-def find_links(rows: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) among sets that share a group (sig, rep), enough to have their components.
+def near_pairs(centred: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of sets around one pivot, not yet under one label, that may link by what
+    they both are away in from its centre. ``centred`` is recentre() with ``label`` and ``least``.
 
-    Each group is compared with its least member alone. Two others of it that both link with
-    that one are joined already. If one doesn't, and they link with each other, they share
-    elements in which they differ from it, and by against_pivot() one among the rarest of
-    these: such pairs are compared too. Copies with changes of their own differ in elements of
-    their own, so this forms few pairs, where all pairs of a group would be many.
+    Elements are ordered rarest first. Sets that link share so many that one of them is among
+    the first few of each: how few depends on the other's w, so a set shows, to each class of w
+    (its number of binary digits) that stands around the pivot, as many as that class asks for.
+    """
+    two = 2 * (100 + rule.part)
+    digits = F.when(F.col("w") <= 0, F.lit(0)).otherwise(F.length(F.bin("w")))
+    sets = centred.withColumns({"kind": digits, "asks": F.col("w") + F.col("least") > 0, "n": F.size("away")})
+    around = sets.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("any_asks"), F.collect_set("kind").alias("kinds"))
+    counts = sets.groupBy("a").agg(F.count("*").alias("times"))
+    sets = with_pivot(sets, around.filter("any_asks and low != high").select("a", "kinds"), counts)
+    each = sets.select("a", "b", "label", "asks", F.explode("away").alias("e"))
+    met = apart(each, F.bool_or("asks").alias("asks")).select("a", "e", "times")
+    each = sets.select("a", "b", "label", "asks", "size", "w", "least", "n", "kind", "kinds", F.explode("away").alias("e")).join(met, ["a", "e"])
+    by = Window.partitionBy("a", "b")
+    each = each.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("times", "e")))
+    each = each.withColumn("partner", F.explode("kinds"))
+    low = F.when(F.col("partner") == 0, F.col("least")).otherwise(F.expr("shiftleft(1L, partner - 1)"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("w") + low) / two))
+    each = each.filter(F.col("place") <= F.col("n") - need + 1)
+    t = each.filter("asks").select("a", "e", "kind", "partner", *(F.col(c).alias(f"t_{c}") for c in ("b", "label", "size", "w", "n", "place")))
+    s = each.select("a", "e", F.col("partner").alias("kind"), F.col("kind").alias("partner"), *(F.col(c).alias(f"s_{c}") for c in ("b", "label", "size", "w", "n", "place")))
+    left = 1 + F.least(F.col("s_n") - F.col("s_place"), F.col("t_n") - F.col("t_place"))
+    fits = (F.col("s_label") != F.col("t_label")) & size_fits(rule) & (left * two >= F.col("s_w") + F.col("t_w"))
+    return t.join(s, ["a", "e", "kind", "partner"]).filter(fits).select(F.least("s_b", "t_b").alias("a"), F.greatest("s_b", "t_b").alias("b"))
+
+
+def far_pairs(far: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of sets far from one pivot, not yet under one label, that may link: they
+    share an element outside the pivot among the first few, in order of hash."""
+    each = far.select("a", "b", "label", "size", "common", F.size("outside").alias("shown"), F.posexplode("outside").alias("place", "e"))
+    each = each.join(apart(each).select("a", "e"), ["a", "e"])
+    t, s = (each.select("a", "e", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "label", "size", "common", "place"))) for x in "ts")
+    # what is left to share outside the pivot, and what must be shared there
+    beyond = lambda x: F.col(f"{x}_size") - F.col(f"{x}_common") - F.col(f"{x}_place")
+    share = (F.col("s_size") + F.col("t_size")) * rule.part
+    enough = (F.least(beyond("s"), beyond("t")) + F.least("s_common", "t_common")) * (100 + rule.part) >= share
+    fits = (F.col("s_b") < F.col("t_b")) & (F.col("s_label") != F.col("t_label")) & size_fits(rule) & enough
+    return t.join(s, ["a", "e"]).filter(fits).select(F.col("s_b").alias("a"), F.col("t_b").alias("b"))
+
+
+def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """v, label of the linked sets, from the pairs (a, b, wide) of pivots with the others.
+
+    Each pair is compared. Two sets around one pivot that both link with it need no more. What
+    else may link is found around the pivot's centre, where the many copies of one text that
+    each have a few changes of their own are each away by their own changes alone: most
+    of them are known to link by their distances from it, and the others meet only by
+    changes that they share (near_pairs). Sets far from the pivot, that share little with it,
+    meet by what they have beyond it (far_pairs). Only pairs under different labels are asked for.
     """
-    pairs = written(star(groups), "pairs")
     involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "doc_id", "raw")
-    sets = written(texts.mapInArrow(packed_sets(rule), "row long, shingles binary"), "sets")
-    found = compared(pairs, sets, rule)
+    sets = scratch.write(rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "raw").mapInArrow(packed_sets(rule), "row long, shingles binary"), "packed")
+    found = scratch.write(compared(pairs, sets, rule), "found")
     links = found.filter("linked").select("a", "b")
-    asking = found.filter("most > 0 and differ is not null").select("a").distinct()
-    each = found.filter("differ is not null").join(asking, "a", "left_semi").select("a", "b", "size", "first", "most", F.size("differ").alias("n"), F.explode("differ").alias("e"))
-    times = each.groupBy("a", "e").agg(F.count("*").alias("times"))
-    rarest = Window.partitionBy("a", "b").orderBy("times", "e")
-    ranked = each.join(times, ["a", "e"]).withColumn("place", F.row_number().over(rarest)).filter((F.col("times") > 1) & (F.col("place") <= F.greatest("first", "most")))
-    ranked = written(ranked.select("a", "e", "b", "size", "n", "place", "first", "most"), "differences")
-    probe = ranked.filter("place <= most").select("a", "e", F.col("b").alias("t"), F.col("size").alias("nt"), F.col("n").alias("dt"), F.col("place").alias("pt"))
-    index = ranked.filter("place <= first").select("a", "e", F.col("b").alias("s"), F.col("size").alias("ns"), F.col("n").alias("ds"), F.col("place").alias("ps"))
-    near = (F.col("s") != F.col("t")) & (F.least("ns", "nt") * 100 >= F.greatest("ns", "nt") * rule.part)
-    # sets that link share so many of their differences that, after the first shared one, there
-    # are enough places left for the others
-    may_differ = F.floor((F.col("ns") + F.col("nt")) * (100 - rule.part) / (100 + rule.part))
-    left = 1 + F.least(F.col("ds") - F.col("ps"), F.col("dt") - F.col("pt"))
-    near &= 2 * left >= F.col("ds") + F.col("dt") - may_differ
-    more = probe.join(index, ["a", "e"]).filter(near).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct().withColumn("wide", F.lit(False))
-    more = written(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "wide"), "more-pairs")
+    close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
+    near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times")
+    toggled = near.select("a", "times", F.explode("differ").alias("e")).groupBy("a", "e", "times").agg(F.count("*").alias("n")).filter("2 * n > times")
+    centre = close.join(toggled.groupBy("a").agg(F.collect_list("e").alias("centre")), "a", "left").select("a", "centre")
+    centred = with_pivot(near.drop("times"), centre, close).select("a", "b", "size", "differ", "centre")
+    centred = scratch.write(centred.mapInArrow(recentre(rule), "a long, b long, size long, w long, away array<long>"), "centred")
+    middle = centred.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m")).select("a", F.col("m.w").alias("least"), F.col("m.b").alias("middle"))
+    placed = with_pivot(centred, middle, close)
+    links = links.union(placed.filter((F.col("w") + F.col("least") <= 0) & (F.col("b") != F.col("middle"))).select("middle", "b"))
+    label = components(links)
+    of = label.select(F.col("v").alias("b"), "label")
+    placed = placed.join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    lonely = found.filter("outside is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
+    far = found.filter("outside is not null").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    more = near_pairs(placed, rule).union(far_pairs(far, rule)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = scratch.write(more.withColumn("wide", F.lit(False)), "more")
     if not more.isEmpty():
-        links = links.union(compared(more, sets, rule).filter("linked").select("a", "b"))
-    return links
+        late = scratch.write(compared(more, sets, rule).filter("linked").select("a", "b"), "late")
+        label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
+        scratch.drop("late")
+    scratch.drop("packed", "found", "centred", "more")
+    return label
+
+
+def numbered(docs: DataFrame, text: str, columns: list[Column], scratch: Scratch) -> DataFrame:
+    """row, raw and ``columns``, written once: a row keeps its number whoever reads it again."""
+    small_batches(docs.sparkSession)
+    return scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), whole_text(text).cast("binary").alias("raw"), *columns), "rows")
 
 
 def classes(docs: DataFrame, rule: Rule, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -276,44 +381,50 @@ def classes(docs: DataFrame, rule: Rule, text: str = "text", key: str = "doc_id"
     Words are stretches without the bytes 0x20 and 0x09 to 0x0D, with A-Z in lower case. Null
     and blank texts have an empty set, link with nothing and are their own component; texts of
     fewer words than a shingle have one shingle of all their words. Equal rows link with each
-    other. A null doc_id counts as the least of all and stays null as a component. Columns
-    other than key and text aren't read.
+    other, as do rows that repeat a doc_id with near texts. A null doc_id counts as the least of
+    all and stays null as a component. Texts of any length are read whole. An empty table gives
+    an empty result. Columns other than key and text aren't read, whatever their names.
     """
-    none = F.lit(-(1 << 63))
-    out = by_row(numbered(docs, text, key), rule)
-    return out.select(F.nullif("doc_id", none).alias("doc_id"), "n_shingles", F.nullif("component_id", none).alias("component_id"))
+    scratch = Scratch(docs.sparkSession)
+    rows = numbered(docs, text, [F.col(key).cast("long").alias("doc_id")], scratch)
+    found = by_row(rows.select("row", "raw"), rule, scratch)
+    all_rows = rows.select("row", "doc_id").join(found, "row")
+    # null first: a component that holds one has it as its least
+    least = all_rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least")).filter("label is not null")
+    least = least.select("label", F.col("least.doc_id").alias("component_id"), F.lit(True).alias("has"))
+    out = all_rows.join(least, "label", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of classes(), though components may have one
-    component_id: the row of the least doc_id, of equal ones the first. Rows with an empty set all stay. Other columns stay as they are."""
-    found = by_row(numbered(docs, text, key), rule)
-    first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    stay = first.select("first.row").union(found.filter("n_shingles = 0").select("row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, F.col("_row") == F.col("row"), "left_semi").drop("_row")
-
-
-def by_row(rows: DataFrame, rule: Rule) -> DataFrame:
-    """row, doc_id, n_shingles, component_id, label of (row, doc_id, raw).
-
-    Components may have one component_id, as null or repeated doc_ids do; the label, a row
-    number, is each component's own. It is null where the set is empty.
-    """
+    component_id: the row of the least doc_id (null first), of equal ones the first. Rows with an
+    empty set all stay. Other columns stay as they are, whatever their names."""
+    scratch = Scratch(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    row = free_name("row", docs)
+    kept = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = by_row(kept.select(F.col(row).alias("row"), whole_text(text).cast("binary").alias("raw")), rule, scratch)
+    ids = kept.select(F.col(row).alias("row"), F.col(key).cast("long").alias("id")).join(found, "row")
+    first = ids.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias(row)).union(ids.filter("n_shingles = 0").select("row"))
+    return kept.join(stay, row, "left_semi").select(*docs.columns)
+
+
+def by_row(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """row, n_shingles, label of (row, raw): a number of each component, null where the set is
+    empty. ``rows`` is read from files more than once and so must have lasting numbers."""
     spark = rows.sparkSession
-    small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = written(rows.mapInArrow(describe(rule), "row long, doc_id long, n long, s1 long, s2 long"), "set-hashes")
-    same = ["n", "s1", "s2"]
-    reps = written(sets.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "representatives")
-    dealt = rows.mapInArrow(signatures(rule), "sig long, row long").repartition(partitions, "sig").sortWithinPartitions("sig", "row")
-    shared = written(dealt.mapInArrow(shared_signatures, "sig long, row long, pivot long"), "shared-signatures")
-    to_rep = sets.join(reps, same).select("row", "rep")
-    by_rep = shared.join(to_rep, "row").select("sig", "rep", "pivot")
-    by_rep = by_rep.join(to_rep.select(F.col("row").alias("pivot"), F.col("rep").alias("first")), "pivot")
-    by_rep = by_rep.filter("rep != first")
-    members = written(by_rep.select("sig", "rep").union(by_rep.select("sig", "first")).distinct(), "members")
-    label = components(find_links(rows, members, rule))
-    whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, "least", F.coalesce("label", "rep").alias("label"))
-    component = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = whole.join(component, "label").select(*same, "component_id", "label")
-    return sets.join(of_set, same, "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+    sets = scratch.write(rows.mapInArrow(describe(rule), "row long, n long, d1 long, d2 long"), "set-digests")
+    same = ["n", "d1", "d2"]
+    reps = scratch.write(sets.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "representatives")
+    once = rows.join(reps.select(F.col("rep").alias("row")).hint("shuffle_hash"), "row", "left_semi").select("row", "raw")
+    dealt = once.mapInArrow(signatures(rule), "sig long, row long").repartition(partitions, "sig").sortWithinPartitions("sig", "row")
+    pairs = dealt.mapInArrow(pivot_pairs, "a long, b long, wide boolean").groupBy("a", "b").agg(F.bool_or("wide").alias("wide"))
+    pairs = scratch.write(pairs, "pairs")
+    scratch.drop()
+    label = find_links(rows, pairs, rule, scratch)
+    scratch.drop("pairs")
+    whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, F.coalesce("label", "rep").alias("label"))
+    return sets.join(whole, same, "left").select("row", F.col("n").alias("n_shingles"), "label")

@@ -51,12 +51,41 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder: written once, read as often as needed, and
+    deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read from there; what follows starts at its files."""
+        path = self.paths[name] = shared_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables, and lets Spark delete the shuffles that led to them."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read from there: smaller than a
     checkpoint where columns repeat."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+def free_name(wanted: str, df: DataFrame) -> str:
+    """A column name like ``wanted`` that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
