@@ -29,8 +29,8 @@ from cellframe.llm.groups import components
 from cellframe.llm.shared import Scratch, free_name, small_batches, whole_text
 
 LEVELS = 6
-#: Rows of a pivot that go to one task together when something is joined to a pivot.
-PER_SALT = 2048
+#: Pairs of a pivot for each copy of its set, and copies of what is short.
+PER_SALT, SALTS = 2048, 8
 U = np.uint64
 
 
@@ -231,22 +231,26 @@ def against_pivot(rule: Rule):
     return of
 
 
-def with_pivot(rows: DataFrame, of_pivot: DataFrame, counts: DataFrame) -> DataFrame:
-    """``rows`` joined with the one row that each pivot ``a`` has in ``of_pivot``. A pivot with
-    many rows, by ``counts`` (a, times), is met in several tasks: its one row is repeated for
-    each PER_SALT of them."""
-    salts = (F.col("times") / PER_SALT).cast("long")
-    dealt = rows.join(counts.filter(F.col("times") >= PER_SALT).select("a", salts.alias("salts")), "a", "left")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
-    spread = of_pivot.join(counts.select("a", salts.alias("salts")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
+def salted(rows: DataFrame, of_pivot: DataFrame) -> DataFrame:
+    """``rows`` (a, b, ...) joined with the short row that each pivot ``a`` has in ``of_pivot``,
+    which is repeated so that the rows of one pivot meet it in SALTS tasks."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    spread = of_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(spread, ["a", "salt"]).drop("salt")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """against_pivot() of pairs (a, b, wide)."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("times"))
+    """against_pivot() of pairs (a, b, wide).
+
+    A pivot with many pairs is met in several tasks: its set is repeated for each PER_SALT of them.
+    """
+    salts = pairs.groupBy("a").agg((F.count("*") / PER_SALT).cast("long").alias("salts"))
     with_b = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    with_both = with_pivot(with_b, sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), counts)
+    with_b = with_b.join(salts.filter("salts > 0"), "a", "left")
+    with_b = with_b.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
+    spread = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")).join(salts, "a")
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
+    with_both = with_b.join(spread, ["a", "salt"])
     schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>"
     return with_both.select("a", "b", "wide", "x", "y").mapInArrow(against_pivot(rule), schema)
 
@@ -287,9 +291,10 @@ def size_fits(rule: Rule) -> Column:
     return F.least("s_size", "t_size") * 100 >= F.greatest("s_size", "t_size") * rule.part
 
 
-def near_pairs(centred: DataFrame, rule: Rule) -> DataFrame:
+def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets around one pivot, not yet under one label, that may link by what
-    they both are away in from its centre. ``centred`` is recentre() with ``label`` and ``least``.
+    they both are away in from its centre. ``centred`` is recentre() with ``label`` and ``least``,
+    the least w around the pivot.
 
     Elements are ordered rarest first. Sets that link share so many that one of them is among
     the first few of each: how few depends on the other's w, so a set shows, to each class of w
@@ -297,19 +302,18 @@ def near_pairs(centred: DataFrame, rule: Rule) -> DataFrame:
     """
     two = 2 * (100 + rule.part)
     digits = F.when(F.col("w") <= 0, F.lit(0)).otherwise(F.length(F.bin("w")))
-    sets = centred.withColumns({"kind": digits, "asks": F.col("w") + F.col("least") > 0, "n": F.size("away")})
+    sets = centred.withColumns({"kind": digits, "asks": F.col("w") + F.col("least") > 0})
     around = sets.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("any_asks"), F.collect_set("kind").alias("kinds"))
-    counts = sets.groupBy("a").agg(F.count("*").alias("times"))
-    sets = with_pivot(sets, around.filter("any_asks and low != high").select("a", "kinds"), counts)
-    each = sets.select("a", "b", "label", "asks", F.explode("away").alias("e"))
-    met = apart(each, F.bool_or("asks").alias("asks")).select("a", "e", "times")
-    each = sets.select("a", "b", "label", "asks", "size", "w", "least", "n", "kind", "kinds", F.explode("away").alias("e")).join(met, ["a", "e"])
+    sets = scratch.write(salted(sets, around.filter("any_asks and low != high").select("a", "kinds")), "around")
+    met = apart(sets.select("a", "label", "asks", F.explode("away").alias("e")), F.bool_or("asks").alias("asks")).select("a", "e", "times")
+    each = sets.select("a", "b", "label", "asks", "size", "w", "least", F.size("away").alias("n"), "kind", "kinds", F.explode("away").alias("e")).join(met, ["a", "e"])
     by = Window.partitionBy("a", "b")
     each = each.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("times", "e")))
     each = each.withColumn("partner", F.explode("kinds"))
     low = F.when(F.col("partner") == 0, F.col("least")).otherwise(F.expr("shiftleft(1L, partner - 1)"))
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + low) / two))
     each = each.filter(F.col("place") <= F.col("n") - need + 1)
+    each = scratch.write(each.select("a", "e", "kind", "partner", "asks", "b", "label", "size", "w", "n", "place"), "shown")
     t = each.filter("asks").select("a", "e", "kind", "partner", *(F.col(c).alias(f"t_{c}") for c in ("b", "label", "size", "w", "n", "place")))
     s = each.select("a", "e", F.col("partner").alias("kind"), F.col("kind").alias("partner"), *(F.col(c).alias(f"s_{c}") for c in ("b", "label", "size", "w", "n", "place")))
     left = 1 + F.least(F.col("s_n") - F.col("s_place"), F.col("t_n") - F.col("t_place"))
@@ -349,23 +353,24 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times")
     toggled = near.select("a", "times", F.explode("differ").alias("e")).groupBy("a", "e", "times").agg(F.count("*").alias("n")).filter("2 * n > times")
     centre = close.join(toggled.groupBy("a").agg(F.collect_list("e").alias("centre")), "a", "left").select("a", "centre")
-    centred = with_pivot(near.drop("times"), centre, close).select("a", "b", "size", "differ", "centre")
+    centred = salted(near.drop("times"), centre).select("a", "b", "size", "differ", "centre")
     centred = scratch.write(centred.mapInArrow(recentre(rule), "a long, b long, size long, w long, away array<long>"), "centred")
-    middle = centred.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m")).select("a", F.col("m.w").alias("least"), F.col("m.b").alias("middle"))
-    placed = with_pivot(centred, middle, close)
-    links = links.union(placed.filter((F.col("w") + F.col("least") <= 0) & (F.col("b") != F.col("middle"))).select("middle", "b"))
-    label = components(links)
+    middle = scratch.write(centred.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m")).select("a", F.col("m.w").alias("least"), F.col("m.b").alias("middle")), "middle")
+    by_centre = salted(centred.select("a", "b", "w"), middle).filter((F.col("w") + F.col("least") <= 0) & (F.col("b") != F.col("middle")))
+    label = components(links.union(by_centre.select("middle", "b")))
     of = label.select(F.col("v").alias("b"), "label")
-    placed = placed.join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    placed = salted(centred, middle.select("a", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
     lonely = found.filter("outside is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
     far = found.filter("outside is not null").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    more = near_pairs(placed, rule).union(far_pairs(far, rule)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs").union(scratch.write(far_pairs(far, rule), "far-pairs"))
+    more = more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.write(more.withColumn("wide", F.lit(False)), "more")
     if not more.isEmpty():
         late = scratch.write(compared(more, sets, rule).filter("linked").select("a", "b"), "late")
-        label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
+        if not late.isEmpty():
+            label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
         scratch.drop("late")
-    scratch.drop("packed", "found", "centred", "more")
+    scratch.drop("packed", "found", "centred", "middle", "around", "shown", "near-pairs", "far-pairs", "more")
     return label
 
 
