@@ -195,21 +195,40 @@ def packed_sets(rule: Rule):
     return of
 
 
+def sketch_of(elements: np.ndarray) -> np.ndarray:
+    """256 bits: whether the number of elements in each of 256 cells is odd. Two sets differ in
+    at least as many elements as their sketches do in bits."""
+    odd = np.bincount((elements >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches_fit(rule: Rule) -> Column:
+    """Whether the sketches of s and t allow a link."""
+    return gap() * (100 + rule.part) <= (F.col("s_size") + F.col("t_size")) * (100 - rule.part)
+
+
+def gap() -> Column:
+    out = F.lit(0)
+    for i in range(4):
+        out += F.bit_count(F.col("s_sketch")[i].bitwiseXOR(F.col("t_sketch")[i]))
+    return out
+
+
 def against_pivot(rule: Rule):
-    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, outside).
+    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, outside, sketch).
 
     For ``wide`` pairs, ``differ`` is what b differs in from the pivot a, given unless b is far
     from it; ``outside`` what b has beyond a, as far as a search needs it, given unless b is near.
     Distance here is one minus similarity, which obeys the triangle inequality. Let T be the
     largest distance of a link. Links of a set within 2 T of a lie within 3 T: both have
     ``differ``. Two sets beyond 2 T both have ``outside``. A set that has so much of a that a
-    link may lie within a alone gets both.
+    link may lie within a alone gets both. ``sketch`` is that of sketch_of() for b.
     """
     over, part = 100, rule.part
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for wide, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 p, q = np.frombuffer(x, U), np.frombuffer(y, U)
                 common = len(np.intersect1d(p, q, assume_unique=True))
@@ -223,10 +242,10 @@ def against_pivot(rule: Rule):
                     if apart > 2 * (over - part) * union:
                         beyond = np.setdiff1d(q, p, assume_unique=True)
                         outside = beyond[: len(beyond) - max(need, 1) + 1].view(np.int64)
-                for c, v in zip(out, (over * common >= part * union, len(q), common, differ, outside), strict=True):
+                for c, v in zip(out, (over * common >= part * union, len(q), common, differ, outside, sketch_of(q) if wide else None), strict=True):
                     c.append(v)
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "common", "differ", "outside"])
+            types = (pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "common", "differ", "outside", "sketch"])
 
     return of
 
@@ -251,12 +270,12 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     spread = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")).join(salts, "a")
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
     with_both = with_b.join(spread, ["a", "salt"])
-    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>"
+    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>, sketch array<long>"
     return with_both.select("a", "b", "wide", "x", "y").mapInArrow(against_pivot(rule), schema)
 
 
 def recentre(rule: Rule):
-    """From (a, b, size, differ, centre) to (a, b, size, w, away).
+    """From (a, b, size, differ, centre, sketch) to (a, b, size, w, away, sketch).
 
     ``away`` is what b differs in from the pivot's centre, the set that has what most of the
     sets around the pivot have. Two sets whose w add up to 0 or less link, since they can't
@@ -272,7 +291,7 @@ def recentre(rule: Rule):
                 d = np.setxor1d(np.array(differ, np.int64), np.array(centre or [], np.int64), assume_unique=True)
                 away.append(d)
                 w.append((100 + rule.part) * len(d) - (100 - rule.part) * size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(w, pa.int64()), pa.array(away, pa.list_(pa.int64()))], names=["a", "b", "size", "w", "away"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(w, pa.int64()), pa.array(away, pa.list_(pa.int64())), batch.column(5)], names=["a", "b", "size", "w", "away", "sketch"])
 
     return of
 
@@ -291,6 +310,12 @@ def size_fits(rule: Rule) -> Column:
     return F.least("s_size", "t_size") * 100 >= F.greatest("s_size", "t_size") * rule.part
 
 
+def met_pairs(met: DataFrame) -> DataFrame:
+    """(a, b), their labels ``one`` and ``other``, and ``gap`` of pairs s and t."""
+    pair = [F.least("s_b", "t_b").alias("a"), F.greatest("s_b", "t_b").alias("b")]
+    return met.select(*pair, F.least("s_label", "t_label").alias("one"), F.greatest("s_label", "t_label").alias("other"), gap().alias("gap"))
+
+
 def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets around one pivot, not yet under one label, that may link by what
     they both are away in from its centre. ``centred`` is recentre() with ``label`` and ``least``,
@@ -306,33 +331,33 @@ def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     around = sets.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("any_asks"), F.collect_set("kind").alias("kinds"))
     sets = scratch.write(salted(sets, around.filter("any_asks and low != high").select("a", "kinds")), "around")
     met = apart(sets.select("a", "label", "asks", F.explode("away").alias("e")), F.bool_or("asks").alias("asks")).select("a", "e", "times")
-    each = sets.select("a", "b", "label", "asks", "size", "w", "least", F.size("away").alias("n"), "kind", "kinds", F.explode("away").alias("e")).join(met, ["a", "e"])
+    each = sets.select("a", "b", "label", "asks", "size", "w", "least", F.size("away").alias("n"), "kind", "kinds", "sketch", F.explode("away").alias("e")).join(met, ["a", "e"])
     by = Window.partitionBy("a", "b")
     each = each.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("times", "e")))
     each = each.withColumn("partner", F.explode("kinds"))
     low = F.when(F.col("partner") == 0, F.col("least")).otherwise(F.expr("shiftleft(1L, partner - 1)"))
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + low) / two))
     each = each.filter(F.col("place") <= F.col("n") - need + 1)
-    each = scratch.write(each.select("a", "e", "kind", "partner", "asks", "b", "label", "size", "w", "n", "place"), "shown")
-    t = each.filter("asks").select("a", "e", "kind", "partner", *(F.col(c).alias(f"t_{c}") for c in ("b", "label", "size", "w", "n", "place")))
-    s = each.select("a", "e", F.col("partner").alias("kind"), F.col("kind").alias("partner"), *(F.col(c).alias(f"s_{c}") for c in ("b", "label", "size", "w", "n", "place")))
+    each = scratch.write(each.select("a", "e", "kind", "partner", "asks", "b", "label", "size", "w", "n", "place", "sketch"), "shown")
+    t = each.filter("asks").select("a", "e", "kind", "partner", *(F.col(c).alias(f"t_{c}") for c in ("b", "label", "size", "w", "n", "place", "sketch")))
+    s = each.select("a", "e", F.col("partner").alias("kind"), F.col("kind").alias("partner"), *(F.col(c).alias(f"s_{c}") for c in ("b", "label", "size", "w", "n", "place", "sketch")))
     left = 1 + F.least(F.col("s_n") - F.col("s_place"), F.col("t_n") - F.col("t_place"))
-    fits = (F.col("s_label") != F.col("t_label")) & size_fits(rule) & (left * two >= F.col("s_w") + F.col("t_w"))
-    return t.join(s, ["a", "e", "kind", "partner"]).filter(fits).select(F.least("s_b", "t_b").alias("a"), F.greatest("s_b", "t_b").alias("b"))
+    fits = (F.col("s_label") != F.col("t_label")) & size_fits(rule) & (left * two >= F.col("s_w") + F.col("t_w")) & sketches_fit(rule)
+    return met_pairs(t.join(s, ["a", "e", "kind", "partner"]).filter(fits))
 
 
 def far_pairs(far: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of sets far from one pivot, not yet under one label, that may link: they
     share an element outside the pivot among the first few, in order of hash."""
-    each = far.select("a", "b", "label", "size", "common", F.size("outside").alias("shown"), F.posexplode("outside").alias("place", "e"))
+    each = far.select("a", "b", "label", "size", "common", "sketch", F.posexplode("outside").alias("place", "e"))
     each = each.join(apart(each).select("a", "e"), ["a", "e"])
-    t, s = (each.select("a", "e", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "label", "size", "common", "place"))) for x in "ts")
+    t, s = (each.select("a", "e", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "label", "size", "common", "place", "sketch"))) for x in "ts")
     # what is left to share outside the pivot, and what must be shared there
     beyond = lambda x: F.col(f"{x}_size") - F.col(f"{x}_common") - F.col(f"{x}_place")
     share = (F.col("s_size") + F.col("t_size")) * rule.part
     enough = (F.least(beyond("s"), beyond("t")) + F.least("s_common", "t_common")) * (100 + rule.part) >= share
-    fits = (F.col("s_b") < F.col("t_b")) & (F.col("s_label") != F.col("t_label")) & size_fits(rule) & enough
-    return t.join(s, ["a", "e"]).filter(fits).select(F.col("s_b").alias("a"), F.col("t_b").alias("b"))
+    fits = (F.col("s_b") < F.col("t_b")) & (F.col("s_label") != F.col("t_label")) & size_fits(rule) & enough & sketches_fit(rule)
+    return met_pairs(t.join(s, ["a", "e"]).filter(fits))
 
 
 def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -350,11 +375,11 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     found = scratch.write(compared(pairs, sets, rule), "found")
     links = found.filter("linked").select("a", "b")
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
-    near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times")
+    near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times", "sketch")
     toggled = near.select("a", "times", F.explode("differ").alias("e")).groupBy("a", "e", "times").agg(F.count("*").alias("n")).filter("2 * n > times")
     centre = close.join(toggled.groupBy("a").agg(F.collect_list("e").alias("centre")), "a", "left").select("a", "centre")
-    centred = salted(near.drop("times"), centre).select("a", "b", "size", "differ", "centre")
-    centred = scratch.write(centred.mapInArrow(recentre(rule), "a long, b long, size long, w long, away array<long>"), "centred")
+    centred = salted(near.drop("times"), centre).select("a", "b", "size", "differ", "centre", "sketch")
+    centred = scratch.write(centred.mapInArrow(recentre(rule), "a long, b long, size long, w long, away array<long>, sketch array<long>"), "centred")
     middle = scratch.write(centred.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m")).select("a", F.col("m.w").alias("least"), F.col("m.b").alias("middle")), "middle")
     by_centre = salted(centred.select("a", "b", "w"), middle).filter((F.col("w") + F.col("least") <= 0) & (F.col("b") != F.col("middle")))
     label = components(links.union(by_centre.select("middle", "b")))
@@ -362,15 +387,26 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     placed = salted(centred, middle.select("a", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
     lonely = found.filter("outside is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
     far = found.filter("outside is not null").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs").union(scratch.write(far_pairs(far, rule), "far-pairs"))
-    more = more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = near_pairs(placed, rule, scratch).union(far_pairs(far, rule)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.write(more.withColumn("wide", F.lit(False)), "more")
-    if not more.isEmpty():
-        late = scratch.write(compared(more, sets, rule).filter("linked").select("a", "b"), "late")
-        if not late.isEmpty():
-            label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
-        scratch.drop("late")
-    scratch.drop("packed", "found", "centred", "middle", "around", "shown", "near-pairs", "far-pairs", "more")
+    # of two labels the likeliest pair first; most of the others are then under one label
+    best = scratch.write(more.groupBy("one", "other").agg(F.min(F.struct("gap", "a", "b", "wide")).alias("p")).select("p.a", "p.b", "p.wide"), "best")
+    rest = more
+    for step in ("best", "rest"):
+        if best.isEmpty():
+            break
+        late = scratch.write(compared(best, sets, rule).filter("linked").select("a", "b"), f"links-{step}")
+        label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
+        scratch.drop(f"links-{step}")
+        if step == "best":
+            rest = more.select("a", "b", "wide").join(best.select("a", "b"), ["a", "b"], "left_anti")
+            for end in ("a", "b"):
+                rest = rest.join(label.select(F.col("v").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+            rest = rest.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+            best = scratch.write(rest.select("a", "b", "wide"), "rest")
+            scratch.drop("best")
+    scratch.drop(*scratch.paths.keys() & {"best", "rest"})
+    scratch.drop("packed", "found", "centred", "middle", "around", "shown", "more")
     return label
 
 
