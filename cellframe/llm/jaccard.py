@@ -202,16 +202,8 @@ def sketch_of(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def sketches_fit(rule: Rule) -> Column:
-    """Whether the sketches of s and t allow a link."""
-    return gap() * (100 + rule.part) <= (F.col("s_size") + F.col("t_size")) * (100 - rule.part)
-
-
-def gap() -> Column:
-    out = F.lit(0)
-    for i in range(4):
-        out += F.bit_count(F.col("s_sketch")[i].bitwiseXOR(F.col("t_sketch")[i]))
-    return out
+#: Bits in which the sketches of s and t differ.
+GAP = " + ".join(f"bit_count(s_sketch[{i}] ^ t_sketch[{i}])" for i in range(4))
 
 
 def against_pivot(rule: Rule):
@@ -310,10 +302,12 @@ def size_fits(rule: Rule) -> Column:
     return F.least("s_size", "t_size") * 100 >= F.greatest("s_size", "t_size") * rule.part
 
 
-def met_pairs(met: DataFrame) -> DataFrame:
-    """(a, b), their labels ``one`` and ``other``, and ``gap`` of pairs s and t."""
+def met_pairs(met: DataFrame, fits: Column, rule: Rule) -> DataFrame:
+    """(a, b), their labels ``one`` and ``other``, and ``gap``, the bits in which their sketches
+    differ, of pairs s and t that fit; sketches that differ too much don't."""
+    small = F.expr(f"({GAP}) * {100 + rule.part} <= (s_size + t_size) * {100 - rule.part}")
     pair = [F.least("s_b", "t_b").alias("a"), F.greatest("s_b", "t_b").alias("b")]
-    return met.select(*pair, F.least("s_label", "t_label").alias("one"), F.greatest("s_label", "t_label").alias("other"), gap().alias("gap"))
+    return met.filter(fits & small).select(*pair, F.least("s_label", "t_label").alias("one"), F.greatest("s_label", "t_label").alias("other"), F.expr(GAP).alias("gap"))
 
 
 def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -342,22 +336,22 @@ def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     t = each.filter("asks").select("a", "e", "kind", "partner", *(F.col(c).alias(f"t_{c}") for c in ("b", "label", "size", "w", "n", "place", "sketch")))
     s = each.select("a", "e", F.col("partner").alias("kind"), F.col("kind").alias("partner"), *(F.col(c).alias(f"s_{c}") for c in ("b", "label", "size", "w", "n", "place", "sketch")))
     left = 1 + F.least(F.col("s_n") - F.col("s_place"), F.col("t_n") - F.col("t_place"))
-    fits = (F.col("s_label") != F.col("t_label")) & size_fits(rule) & (left * two >= F.col("s_w") + F.col("t_w")) & sketches_fit(rule)
-    return met_pairs(t.join(s, ["a", "e", "kind", "partner"]).filter(fits))
+    fits = (F.col("s_label") != F.col("t_label")) & size_fits(rule) & (left * two >= F.col("s_w") + F.col("t_w"))
+    return met_pairs(t.join(s, ["a", "e", "kind", "partner"]), fits, rule)
 
 
-def far_pairs(far: DataFrame, rule: Rule) -> DataFrame:
+def far_pairs(far: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets far from one pivot, not yet under one label, that may link: they
     share an element outside the pivot among the first few, in order of hash."""
     each = far.select("a", "b", "label", "size", "common", "sketch", F.posexplode("outside").alias("place", "e"))
-    each = each.join(apart(each).select("a", "e"), ["a", "e"])
+    each = scratch.write(each.join(apart(each).select("a", "e"), ["a", "e"]), "beyond")
     t, s = (each.select("a", "e", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "label", "size", "common", "place", "sketch"))) for x in "ts")
     # what is left to share outside the pivot, and what must be shared there
     beyond = lambda x: F.col(f"{x}_size") - F.col(f"{x}_common") - F.col(f"{x}_place")
     share = (F.col("s_size") + F.col("t_size")) * rule.part
     enough = (F.least(beyond("s"), beyond("t")) + F.least("s_common", "t_common")) * (100 + rule.part) >= share
-    fits = (F.col("s_b") < F.col("t_b")) & (F.col("s_label") != F.col("t_label")) & size_fits(rule) & enough & sketches_fit(rule)
-    return met_pairs(t.join(s, ["a", "e"]).filter(fits))
+    fits = (F.col("s_b") < F.col("t_b")) & (F.col("s_label") != F.col("t_label")) & size_fits(rule) & enough
+    return met_pairs(t.join(s, ["a", "e"]), fits, rule)
 
 
 def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -387,7 +381,8 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     placed = salted(centred, middle.select("a", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
     lonely = found.filter("outside is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
     far = found.filter("outside is not null").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    more = near_pairs(placed, rule, scratch).union(far_pairs(far, rule)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs").union(scratch.write(far_pairs(far, rule, scratch), "far-pairs"))
+    more = more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.write(more.withColumn("wide", F.lit(False)), "more")
     # of two labels the likeliest pair first; most of the others are then under one label
     best = scratch.write(more.groupBy("one", "other").agg(F.min(F.struct("gap", "a", "b", "wide")).alias("p")).select("p.a", "p.b", "p.wide"), "best")
@@ -406,7 +401,7 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
             best = scratch.write(rest.select("a", "b", "wide"), "rest")
             scratch.drop("best")
     scratch.drop(*scratch.paths.keys() & {"best", "rest"})
-    scratch.drop("packed", "found", "centred", "middle", "around", "shown", "more")
+    scratch.drop("packed", "found", "centred", "middle", "around", "shown", "beyond", "near-pairs", "far-pairs", "more")
     return label
 
 
