@@ -73,7 +73,7 @@ def sets_of(rule: Rule, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     each = np.where(many >= rule.words, many - rule.words + 1, np.minimum(many, 1))
     text = np.repeat(np.arange(len(many)), each)
     start = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each) + at[text]
-    shingle = tokens.runs_of(t, start, np.minimum(rule.words, at[text + 1] - start), rule.words)
+    shingle = tokens.runs_of(t, start, np.minimum(rule.words, at[text + 1] - start))
     order = np.lexsort((shingle, text))
     text, shingle = text[order], shingle[order]
     new = np.ones(len(text), bool)

@@ -5,8 +5,8 @@ tree level by level: the children of a node share its budget by weight, none bey
 subtree can give (its tokens times the allowed epochs). What a child cannot take goes to its
 siblings; only what the whole subtree cannot take is left to the ancestor's other children,
 since a node's own budget was bounded by its subtree in the same way. A leaf's budget of some
-whole epochs and a rest is then taken from seeded permutations of its documents: whole
-epochs, and of the next epoch a prefix by tokens.
+whole epochs and a rest is then taken from seeded permutations of its documents, one for each
+epoch: whole epochs, and of the next epoch a prefix by tokens.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.llm.shared import whole_text
+from cellframe.llm.shared import cut, whole_text, written
 
 LEVELS = ("domain", "language", "source_leaf")
 #: Hex digits of an order hash that say its bucket: only one bucket a leaf is ever sorted.
@@ -86,62 +86,61 @@ def mix(
     weights: dict[str, dict[str, float]] | None = None,
 ) -> DataFrame:
     """``docs`` with ``domain``, ``language``, ``source_leaf``, ``n_tokens``, ``copies`` (whole
-    epochs) and ``prefix_tokens`` (tokens taken in the last, partial epoch: all of a document
-    inside the prefix, the start of the one that crosses its end, 0 beyond).
-
-    The budget is ``budget_share`` of all tokens. Null language, source or text count as empty;
-    an empty text has 0 tokens and goes with the prefix if it stands inside it. Equal documents
-    count each for itself; rows with one doc_id and text tie and are taken in any order. An
-    empty table gives an empty result. A column that has one of the new names is replaced.
-
-    Only sums go through a shuffle: tokens by leaf and by bucket of the order hash. Rows are
-    sorted in the one bucket of each leaf in which its prefix ends.
+    epochs), ``prefix_tokens`` (tokens taken in the last, partial epoch: all of a document
+    inside the prefix, the start of the one that crosses its end, 0 beyond) and ``taken``.
+
+    The budget is ``budget_share`` of all tokens. Each epoch of a leaf has an order of its own,
+    since its number is in the seed. Null language, source or text count as empty; an empty text
+    has 0 tokens and is taken if it stands inside the prefix; a leaf without tokens gets
+    nothing. Equal documents count each for itself; rows with one doc_id and text tie and are
+    taken in any order. Long texts are counted whole. An empty table gives an empty result. A
+    column that has one of the new names is replaced; no other name clashes.
+
+    The documents are scanned once and written with their leaves. Only sums go through a
+    shuffle: tokens by leaf and by bucket of the order hash. Rows are sorted in the one bucket
+    of each leaf in which its prefix ends.
     """
     weights = WEIGHTS if weights is None else weights
-    text = whole_text()
-    new = [*LEVELS, "n_tokens", "copies", "prefix_tokens"]
+    new = [*LEVELS, "n_tokens", "copies", "prefix_tokens", "taken"]
     kept = [c for c in docs.columns if c.lower() not in new]
-    rows = docs.select(
-        *[F.col(c) for c in kept],
-        source_domain(whole_text("source"), domains).alias("domain"),
-        whole_text("lang").alias("language"),
-        whole_text("source").alias("source_leaf"),
-        token_count(text).alias("n_tokens"),
-    )
-    full_epochs = F.col("leaf_budget").cast("double") / F.greatest(F.col("tokens"), F.lit(1))
-    lean = docs.select(
-        source_domain(whole_text("source"), domains).alias("domain"),
-        whole_text("lang").alias("language"),
-        whole_text("source").alias("source_leaf"),
-        token_count(text).alias("n_tokens"),
-        F.col("doc_id"),
+    rows = written(
+        docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"),
+            F.col("doc_id").cast("string").alias("id"),
+            source_domain(whole_text("source"), domains).alias("domain"),
+            whole_text("lang").alias("language"),
+            whole_text("source").alias("source_leaf"),
+            token_count(whole_text()).alias("n_tokens"),
+        ),
+        "leaves",
     )
-    order = order_hash(seed, F.col("doc_id"))
-    bucket = F.substring(order, 1, BUCKET_DIGITS)
-    sums = lean.groupBy(*LEVELS, bucket.alias("bucket")).agg(F.sum("n_tokens").alias("tokens_in"))
-    leaves = sums.groupBy(*LEVELS).agg(F.sum("tokens_in").alias("tokens"))
+    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     shared = allocate(leaves, float(int(total * budget_share)), epochs, weights)
+    full_epochs = F.col("leaf_budget").cast("double") / F.greatest(F.col("tokens"), F.lit(1))
     shared = shared.withColumn("copies", F.when(F.col("tokens") > 0, F.floor(full_epochs)).otherwise(F.lit(0)).cast("int"))
-    shared = shared.withColumn("prefix", F.col("leaf_budget") - F.col("copies") * F.col("tokens"))
+    shared = cut(shared.select(*LEVELS, "copies", (F.col("leaf_budget") - F.col("copies") * F.col("tokens")).alias("prefix")))
+    order = order_hash(seed, F.col("id"), F.col("copies"))
+    bucket = F.substring(order, 1, BUCKET_DIGITS)
+    sums = rows.select(*LEVELS, "id", "n_tokens").join(shared, list(LEVELS)).groupBy(*LEVELS, "prefix", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("tokens_in"))
     running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = sums.join(shared, list(LEVELS)).withColumn("ahead", F.coalesce(F.sum("tokens_in").over(running), F.lit(0)))
+    edges = sums.withColumn("ahead", F.coalesce(F.sum("tokens_in").over(running), F.lit(0)))
     edge = F.max_by(F.struct("bucket", "ahead"), F.when(F.col("ahead") < F.col("prefix"), F.col("bucket")))
-    leaf = edges.groupBy(*LEVELS, "copies", "prefix").agg(edge.alias("edge"))
-    placed = rows.join(leaf, list(LEVELS)).withColumn("_order", order)
-    placed = placed.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    at_edge = F.col("_bucket") == F.col("edge.bucket")
-    inside = placed.filter(~F.coalesce(at_edge, F.lit(False))).withColumn(
-        "prefix_tokens", F.when(F.col("_bucket") < F.col("edge.bucket"), F.col("n_tokens")).otherwise(F.lit(0)).cast("long")
-    )
-    along = Window.partitionBy(*LEVELS).orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    leaf = shared.join(edges.groupBy(*LEVELS).agg(edge.alias("edge")), list(LEVELS))
+    placed = rows.join(leaf, list(LEVELS)).withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
+    at_edge = F.coalesce(F.col("bucket") == F.col("edge.bucket"), F.lit(False))
+    before = F.coalesce(F.col("bucket") < F.col("edge.bucket"), F.lit(False))
+    inside = placed.filter(~at_edge).withColumns({"prefix_tokens": F.when(before, F.col("n_tokens")).otherwise(F.lit(0)).cast("long"), "taken": before})
+    along = Window.partitionBy(*LEVELS).orderBy("order", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("edge.ahead") + F.coalesce(F.sum("n_tokens").over(along), F.lit(0))
-    crossing = placed.filter(at_edge).withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("prefix") - ahead)).cast("long"))
-    return inside.unionByName(crossing).select(*kept, *new)
+    crossing = placed.filter(at_edge).withColumn("ahead", ahead)
+    crossing = crossing.withColumns({"prefix_tokens": F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("prefix") - F.col("ahead"))).cast("long"), "taken": F.col("ahead") < F.col("prefix")})
+    out = inside.unionByName(crossing, allowMissingColumns=True).withColumn("taken", F.col("taken") | (F.col("copies") > 0))
+    return out.select("doc.*", *new)
 
 
-def order_hash(seed: int, doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":epoch")))
+def order_hash(seed: int, doc_id: Column, epoch: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id, F.lit("")), F.lit(":"), epoch.cast("string")))
 
 
 #: Production weights by level: shares among siblings.
@@ -170,12 +169,12 @@ s{depth} AS (SELECT {cols}, CASE WHEN is_full THEN room ELSE floor((from_above -
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS source_leaf,
   list_extract([{names}], 1 + coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,6}})$', 1), '') AS INTEGER), 0) % {len(domains)}) AS domain,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
-  md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':epoch') AS ord FROM documents),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 leaves AS (SELECT domain, language, source_leaf, sum(n_tokens) AS tokens FROM d GROUP BY ALL),{",".join(steps)},
 b AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(from_above / tokens) AS INTEGER) ELSE 0 END AS copies FROM leaves JOIN s2 USING (domain, language, source_leaf)),
 o AS (SELECT d.*, b.copies, from_above - b.copies * tokens AS prefix,
-  coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, source_leaf ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, source_leaf
+    ORDER BY md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copies), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN b USING (domain, language, source_leaf))
 SELECT doc_id, domain, language, source_leaf, n_tokens, copies, CAST(greatest(0, least(n_tokens, prefix - ahead)) AS BIGINT) AS prefix_tokens FROM o
 """

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm import superkmers, tokens
+from cellframe.llm.shared import Scratch
 
 WINDOW, GRAM = 35, 4
 
@@ -50,8 +51,9 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows are two documents and so copies of each other; texts of fewer words than a window stay;
     a null doc_id stays null. Columns other than key and text aren't read.
     """
-    rows = superkmers.numbered(docs, text, key)
-    gone = superkmers.repeated(rows, superkmers.Kind(WINDOW, GRAM, True), count_windows, spare_first=False)
+    scratch = Scratch(docs.sparkSession)
+    rows = superkmers.numbered(docs, text, key, scratch)
+    gone = superkmers.repeated(rows, superkmers.Kind(WINDOW, GRAM, True), count_windows, spare_first=False, scratch=scratch)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,4 +70,4 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept"])
 
     done = superkmers.with_gone(rows, gone).select("doc_id", "raw", "gone").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept binary")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63)))).withColumn("kept", F.col("kept").cast("string"))
+    return done.withColumn("kept", F.col("kept").cast("string"))

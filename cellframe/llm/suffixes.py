@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm import superkmers
+from cellframe.llm.shared import Scratch
 
 LENGTH, GRAM = 100, 31
 #: Bytes that a round refines by; LENGTH is a multiple of it.
@@ -144,7 +145,7 @@ def repeated_intervals(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
 def later_windows(s: superkmers.Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of each string that occur earlier than the string's own first occurrence."""
     string, window, cls = repeated_intervals(s.text)
-    order = np.lexsort((s.start[string] + window, s.row[string], s.doc[string], cls))
+    order = np.lexsort((s.start[string] + window, s.row[string], s.doc[string], s.known[string], cls))
     late = np.zeros(len(order), bool)
     late[1:] = cls[order[1:]] == cls[order[:-1]]
     string, window = string[order], window[order]
@@ -160,8 +161,9 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     told apart, and ordered, by their rows' places. Null and empty texts have no bytes, texts
     shorter than the string stay. Columns other than key and text aren't read.
     """
-    rows = superkmers.numbered(docs, text, key)
-    gone = superkmers.repeated(rows, superkmers.Kind(LENGTH, GRAM, False), later_windows, spare_first=True)
+    scratch = Scratch(docs.sparkSession)
+    rows = superkmers.numbered(docs, text, key, scratch)
+    gone = superkmers.repeated(rows, superkmers.Kind(LENGTH, GRAM, False), later_windows, spare_first=True, scratch=scratch)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,4 +181,4 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     done = superkmers.with_gone(rows, gone).select("doc_id", "raw", "gone").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    return done

@@ -4,12 +4,15 @@ The minimiser of a window is the least hash of the grams inside it. Consecutive
 minimiser make a run (a super-k-mer), which stands for all of them. Equal windows have equal
 minimisers, so only runs of a minimiser that occurs more than once matter:
 
-* If all runs of a minimiser are the same string (two independent hashes agree), they are
-  copies of each other, window by window, and nothing more has to travel.
-* Otherwise the bucket is contested: each distinct string travels to it once, packed, with the
-  number and the first of its occurrences, and there its windows are compared exactly.
-
-A bucket with very many distinct strings is dealt out further, by single windows.
+* If all runs of a minimiser are the same string, by a digest of 128 bits, they are copies of
+  each other, window by window, and nothing more has to travel.
+* Otherwise the bucket is contested: its strings travel to it, packed, each distinct one is
+  kept once with the number and the first of its occurrences, and there windows are compared
+  as bytes.
+
+A bucket with very many distinct strings is dealt out further, by single windows, so that a
+task holds no unbounded one. Rows are written once with their number, which then is the same
+whoever reads them again.
 """
 
 from __future__ import annotations
@@ -19,17 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.llm import tokens
-from cellframe.llm.shared import small_batches, whole_text, written
+from cellframe.llm.shared import Scratch, small_batches, whole_text
 
 #: Distinct strings of a minimiser above which its windows are dealt out one by one.
 CROWDED = 4000
 #: Bytes of packed strings that a task compares at once; only whole buckets are.
 TOGETHER = 1 << 20
-ROW = "row long, doc_id long"
 
 
 @dataclass(frozen=True)
@@ -51,11 +53,12 @@ class Kind:
 
 
 def runs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (row, doc_id, raw) to (h, f, row, doc_id, start, n, own)."""
+    """From (row, doc_id, raw) to (h, f, g, row, doc_id, start, n, own): minimiser, digest in two
+    halves, whose run it is, its first window and how many it has."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, doc = (np.asarray(b.column(i)) for i in (0, 1))
+            row, doc = np.asarray(b.column(0)), b.column(1)
             for first, raw, offsets in tokens.chunks(b.column(2)):
                 t, at = tokens.words(raw, offsets) if kind.by_word else (raw.astype(tokens.U) + tokens.U(1), offsets)
                 if len(t) < kind.size:
@@ -73,7 +76,11 @@ def runs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 new[1:] = (h[1:] != h[:-1]) | (np.diff(window) != 1) | (text[window[1:]] != text[window[:-1]])
                 begin = np.flatnonzero(new)
                 start, n = window[begin], np.diff(np.append(begin, len(window)))
-                f = tokens.Prefix(t, tokens.BASES[2]).of(start, start + n + kind.size - 1)
+                if kind.by_word:
+                    other, _ = tokens.words(raw, offsets, seed=1)
+                    digest = [tokens.runs_of(t, start, n + kind.size - 1), tokens.runs_of(other, start, n + kind.size - 1, 1)]
+                else:
+                    digest = [tokens.span_hashes(raw, start, start + n + kind.size - 1, seed) for seed in (0, 1)]
                 whose = text[start]
                 # does the minimiser stand twice in a run? Then its windows may repeat within it
                 wide = n + kind.width - 1
@@ -81,27 +88,27 @@ def runs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 inside = np.arange(to[-1]) - np.repeat(to - wide - start, wide)
                 own = np.add.reduceat((grams[inside] == np.repeat(h[begin], wide)).astype(np.int32), to - wide) > 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[begin].view(np.int64)), pa.array(f.view(np.int64)), pa.array(row[first + whose]), pa.array(doc[first + whose]), pa.array((start - at[whose]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)],
-                    names=["h", "f", "row", "doc_id", "start", "n", "own"],
+                    [pa.array(h[begin].view(np.int64)), *(pa.array(x.view(np.int64)) for x in digest), pa.array(row[first + whose]), doc.take(pa.array(first + whose)), pa.array((start - at[whose]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)],
+                    names=["h", "f", "g", "row", "doc_id", "start", "n", "own"],
                 )
 
     return of
 
 
 def extract(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (row, doc_id, raw, wanted) to (h, f, s, row, doc_id, start, n)."""
+    """From (row, doc_id, raw, wanted) to (h, s, row, doc_id, start, n)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for b in batches:
             out: list[list] = [[] for _ in types]
             for row, doc, raw, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if wanted:
                     split = raw.split() if kind.by_word else None
                     for w in wanted:
-                        for c, v in zip(out, (w["h"], w["f"], kind.spell(raw, split, w["start"], w["n"]), row, doc, w["start"], w["n"]), strict=True):
+                        for c, v in zip(out, (w["h"], kind.spell(raw, split, w["start"], w["n"]), row, doc, w["start"], w["n"]), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "f", "s", "row", "doc_id", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "s", "row", "doc_id", "start", "n"])
 
     return of
 
@@ -114,13 +121,14 @@ class Strings:
     text: list[bytes]
     n: np.ndarray
     times: np.ndarray
+    known: np.ndarray
     doc: np.ndarray
     row: np.ndarray
     start: np.ndarray
 
 
 def buckets(compare: Callable[[Strings], tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """From (h, f, s, n, times, doc_id, row, start) in order of h to (h, f, at, len).
+    """From (string, h, s, n, times, known, doc_id, row, start) in order of h to (string, at, len).
 
     ``compare`` gets buckets of two strings and more, or of one that may repeat in itself, and
     says which windows are to go: string, first window, number.
@@ -132,15 +140,13 @@ def buckets(compare: Callable[[Strings], tuple[np.ndarray, np.ndarray, np.ndarra
 
         def go(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if rows:
-                h, f, s, n, times, doc, row, start = zip(*rows, strict=True)
-                ints = [np.array(x, np.int64) for x in (h, n, times, doc, row, start)]
-                which, at, many = compare(Strings(ints[0], list(s), *ints[1:]))
-                f = np.array(f, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ints[0][which]), pa.array(f[which]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))], names=["h", "f", "at", "len"])
+                string, h, s, *rest = zip(*rows, strict=True)
+                which, at, many = compare(Strings(np.array(h), list(s), *(np.array(x, np.int64) for x in rest)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(string)[which]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))], names=["string", "at", "len"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= TOGETHER and r[0] != kept[-1][0]:
+                if size >= TOGETHER and r[1] != kept[-1][1]:
                     yield from go(kept)
                     kept, size = [], 0
                 kept.append(r)
@@ -161,10 +167,15 @@ def stretches(flag: np.ndarray, string: np.ndarray, window: np.ndarray) -> tuple
     return string[begin], window[begin], np.diff(np.append(begin, len(string)))
 
 
-def numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """row, doc_id, raw: rows are told apart by their place, so that equal ones are two."""
-    key_col = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    return docs.select(F.monotonically_increasing_id().alias("row"), key_col.alias("doc_id"), whole_text(text).cast("binary").alias("raw"))
+def numbered(docs: DataFrame, text: str, key: str, scratch: Scratch) -> DataFrame:
+    """row, doc_id, raw, written once: rows are told apart by their number, so that equal ones are two."""
+    small_batches(docs.sparkSession)
+    return scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("raw")), "rows")
+
+
+def place() -> Column:
+    """Order of occurrences: a null doc_id is least."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start")
 
 
 def repeated(
@@ -172,46 +183,49 @@ def repeated(
     kind: Kind,
     compare: Callable[[Strings], tuple[np.ndarray, np.ndarray, np.ndarray]],
     spare_first: bool,
+    scratch: Scratch,
 ) -> DataFrame:
     """Windows to remove, as (row, at, len): first window and number of windows.
 
-    ``docs`` is (row, doc_id, raw). ``spare_first``: of equal windows the first stays, in order
+    ``docs`` is numbered(). ``spare_first``: of equal windows the first stays, in order
     of doc_id, row and place; otherwise none does.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    found = docs.mapInArrow(runs(kind), "h long, f long, row long, doc_id long, start int, n int, own boolean")
+    found = docs.mapInArrow(runs(kind), "h long, f long, g long, row long, doc_id long, start int, n int, own boolean")
     by_h = Window.partitionBy("h")
-    differ = F.min("f").over(by_h) != F.max("f").over(by_h)
+    differ = (F.min("f").over(by_h) != F.max("f").over(by_h)) | (F.min("g").over(by_h) != F.max("g").over(by_h))
     found = found.select("*", F.count("*").over(by_h).alias("times"), (differ | F.bool_or("own").over(by_h)).alias("contested"))
     found = found.filter("times > 1 or contested")
-    found = written(found.select("h", "f", "row", "doc_id", "start", "n", "contested"), "runs")
+    found = scratch.write(found.select("h", "row", "doc_id", "start", "n", "contested"), "runs")
+    scratch.drop()
 
-    place = F.struct("doc_id", "row", "start")
     plain = found.filter("not contested")
     if spare_first:
         # partial minima first: copies may be many
-        first = plain.groupBy("h").agg(F.min(place).alias("first"))
-        plain = plain.join(first, "h").filter(F.col("first") != place)
+        first = plain.groupBy("h").agg(F.min(place()).alias("first"))
+        plain = plain.join(first, "h").filter(~F.col("first").eqNullSafe(place()))
     gone = plain.select("row", F.col("start").alias("at"), F.col("n").alias("len"))
 
     contested = found.filter("contested")
-    wanted = contested.groupBy("row").agg(F.collect_list(F.struct("h", "f", "start", "n")).alias("wanted"))
-    with_wanted = docs.join(wanted.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "raw", "wanted")
-    packed = with_wanted.mapInArrow(extract(kind), "h long, f long, s binary, row long, doc_id long, start int, n int")
-    strings = packed.groupBy("h", "f").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.count("*").alias("times"), F.min(place).alias("first"))
-    strings = written(strings.select("h", "f", "s", "n", "times", "first.*"), "strings")
-    crowded = written(strings.groupBy("h").count().filter(F.col("count") > CROWDED).select("h"), "crowded")
+    wanted = contested.groupBy("row").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
+    with_wanted = docs.join(wanted.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "raw", "wanted").filter("wanted is not null")
+    packed = with_wanted.mapInArrow(extract(kind), "h long, s binary, row long, doc_id long, start int, n int")
+    packed = scratch.write(packed, "packed")
+    strings = packed.groupBy("h", "s").agg(F.first("n").alias("n"), F.count("*").alias("times"), F.min(place()).alias("first"))
+    strings = scratch.write(strings.select(F.monotonically_increasing_id().alias("string"), "h", "s", "n", "times", "first"), "strings")
+    seen = scratch.write(packed.join(strings.select("string", "h", "s", "times", "first"), ["h", "s"]).select("string", "times", "first", "row", "doc_id", "start", "n"), "seen")
+    scratch.drop("packed")
+    crowded = scratch.write(strings.groupBy("h").count().filter(F.col("count") > CROWDED).select("h"), "crowded")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat = ["string", "h", "s", "n", "times", F.col("first.known").cast("long").alias("known"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), "first.row", "first.start"]
     calm = strings.join(crowded, "h", "left_anti").repartition(partitions, "h").sortWithinPartitions("h")
-    flags = calm.select("h", "f", "s", "n", "times", "doc_id", "row", "start").mapInArrow(buckets(compare), "h long, f long, at int, len int")
+    flags = calm.select(*flat).mapInArrow(buckets(compare), "string long, at int, len int")
     if not crowded.isEmpty():
-        flags = flags.unionByName(window_by_window(strings.join(crowded, "h", "left_semi"), kind, spare_first))
-    flags = flags.groupBy("h", "f").agg(F.collect_list(F.struct("at", "len")).alias("flags"))
-    seen = contested.join(strings.select("h", "f", "times", F.struct("doc_id", "row", "start").alias("first")), ["h", "f"])
-    whole = (F.col("first") != place) if spare_first else (F.col("times") > 1)
+        flags = flags.unionByName(window_by_window(strings.join(crowded, "h", "left_semi").select(*flat), kind, spare_first))
+    flags = flags.groupBy("string").agg(F.collect_list(F.struct("at", "len")).alias("flags"))
+    whole = ~F.col("first").eqNullSafe(place()) if spare_first else (F.col("times") > 1)
     gone = gone.unionByName(seen.filter(whole).select("row", F.col("start").alias("at"), F.col("n").alias("len")))
-    part = seen.filter(~whole).join(flags, ["h", "f"]).select("row", "start", F.explode("flags").alias("x"))
+    part = seen.filter(~whole).join(flags, "string").select("row", "start", F.explode("flags").alias("x"))
     return gone.unionByName(part.select("row", (F.col("start") + F.col("x.at")).alias("at"), F.col("x.len").alias("len")))
 
 
@@ -220,23 +234,23 @@ def window_by_window(strings: DataFrame, kind: Kind, spare_first: bool) -> DataF
     to its own group, in which windows are compared as bytes."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         for b in batches:
             out: list[list] = [[] for _ in types]
-            for h, f, s, n, times, doc, row, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for string, _, s, n, times, known, doc, row, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 split = s.split() if kind.by_word else None
                 for i in range(n):
-                    for c, v in zip(out, (h, f, kind.spell(s, split, i, 1), i, times, doc, row, start + i), strict=True):
+                    for c, v in zip(out, (string, kind.spell(s, split, i, 1), i, times, known, doc, row, start + i), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "f", "w", "at", "times", "doc_id", "row", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["string", "w", "at", "times", "known", "doc_id", "row", "start"])
 
-    each = strings.select("h", "f", "s", "n", "times", "doc_id", "row", "start").mapInArrow(one, "h long, f long, w binary, at int, times long, doc_id long, row long, start int")
-    place = F.struct("doc_id", "row", "start")
-    groups = each.groupBy("w").agg(F.sum("times").alias("all"), F.min(place).alias("first"))
+    each = strings.mapInArrow(one, "string long, w binary, at int, times long, known long, doc_id long, row long, start int")
+    spot = F.struct("known", "doc_id", "row", "start")
+    groups = each.groupBy("w").agg(F.sum("times").alias("all"), F.min(spot).alias("first"))
     each = each.join(groups.filter("all > 1"), "w")
     if spare_first:
-        each = each.filter(F.col("first") != place)
-    return each.select("h", "f", "at", F.lit(1).alias("len"))
+        each = each.filter(F.col("first") != spot)
+    return each.select("string", "at", F.lit(1).alias("len"))
 
 
 def with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -58,26 +58,26 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = to
 
 
-def runs_of(x: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
-    """Hashes of runs of up to ``most`` numbers: a mixed step for each of them, so that no sum
-    of products decides."""
-    out = mix(size.astype(U) + U(BASES[0]))
-    for i in range(most):
-        on = size > i
-        if on.all():
-            out = mix((out ^ x[start + i]) * U(BASES[1]) + U(BASES[2]))
-        else:
-            out[on] = mix((out[on] ^ x[start[on] + i]) * U(BASES[1]) + U(BASES[2]))
+def runs_of(x: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of runs of numbers: a mixed step for each of them, so that no sum of products
+    decides. Two seeds give two independent halves of a digest."""
+    out = mix(size.astype(U) + U(BASES[seed]))
+    left = np.arange(len(start))
+    i = 0
+    while len(left):
+        left = left[size[left] > i]
+        out[left] = mix((out[left] ^ x[start[left] + i]) * U(BASES[1 - seed]) + U(BASES[2]))
+        i += 1
     return out
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of spans of bytes, eight bytes at a step."""
     padded = np.zeros(len(raw) + 8, np.uint8)
     padded[: len(raw)] = raw
     eight = np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded.data, 0, (1,))
     size = end - start
-    out = mix(size.astype(U) + U(BASES[0]))
+    out = mix(size.astype(U) + U(BASES[seed]))
     left = np.arange(len(start))
     at = 0
     while len(left):
@@ -85,17 +85,17 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         x = eight[start[left] + at]
         short = rest < 8
         x[short] &= (U(1) << (rest[short] * 8).astype(U)) - U(1)
-        out[left] = mix((out[left] ^ x) * U(BASES[1]) + U(BASES[2]))
+        out[left] = mix((out[left] ^ x) * U(BASES[1 - seed]) + U(BASES[2]))
         at += 8
         left = left[rest > 8]
     return out
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some texts that lie one after another, and the offsets of each
     text's words. A word is a run without bytes 0x20 and 0x09 to 0x0D; none crosses texts."""
     start, end, at, raw = word_spans(raw, offsets, lower)
-    return span_hashes(raw, start, end), at
+    return span_hashes(raw, start, end, seed), at
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -97,6 +97,63 @@ def test_repeated_intervals_are_classes_of_equal_windows():
     assert len(string) == sum(len(s) - 99 for s in strings)
 
 
+def thue_morse(n, a="a", b="b"):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    """Words of 1,024 letters that hash alike by any polynomial modulo 2**64 are different words."""
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    rng = random.Random(9)
+    tail = words(rng, 34, 10**6)
+    rows = [(0, f"{one} {tail}"), (1, f"{other} {tail}"), (2, f"{one} x y"), (3, f"{other} x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in substrings.remove_repeated(df).collect()) == brute_words(rows)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeated(df).collect())
+    assert got == brute_bytes(rows)
+    rule = jaccard.Rule(3, 90)
+    assert sorted(tuple(r) for r in jaccard.classes(df, rule).collect()) == brute_classes(rows, rule)
+
+
+def test_null_and_extreme_ids_stay_apart(spark):
+    """A null doc_id is least; the least long is an id like any other; other columns don't clash."""
+    rng = random.Random(12)
+    text = words(rng, 60, 1000)
+    rows = [(None, text), (-(1 << 63), text), (5, "")]
+    clash = ["row", "raw", "h", "s", "gone", "start", "n", "label", "known", "first", "string"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in clash})
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.remove_repeated(df).collect()}
+    assert got == {None: (len(text), 0), -(1 << 63): (len(text), len(text)), 5: (0, 0)}
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeated(df).collect()} == {None: 60, -(1 << 63): 60, 5: 0}
+    rule = jaccard.Rule(5, 80)
+    assert {r.doc_id: r.component_id for r in jaccard.classes(df, rule).collect()} == {None: None, -(1 << 63): None, 5: 5}
+    kept = jaccard.keep_one(df, rule)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {None, 5}
+
+
+def test_jaccard_families(spark):
+    """Families of near copies that overlap, about centres that no document is."""
+    for seed, rule in ((0, jaccard.Rule(3, 90)), (1, jaccard.Rule(5, 80))):
+        rng = random.Random(seed)
+        rows, ids, before = [], rng.sample(range(5000), 200), []
+        for family in range(4):
+            base = words(rng, (60, 150, 300, 20)[family], 1000).split()
+            if family % 2:
+                base = before[: len(before) // 2] + base
+            before = base
+            for _ in range(50):
+                copy = list(base)
+                for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9, 14])):
+                    copy[rng.randrange(len(copy))] = f"n{rng.randrange(rng.choice([5, 10**6]))}"
+                rows.append((ids.pop(), " ".join(copy)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(tuple(r) for r in jaccard.classes(df, rule).collect()) == brute_classes(rows, rule)
+
+
 def brute_classes(rows, rule):
     lower = {i: i + 32 for i in range(65, 91)}
     sets = {}
@@ -314,6 +371,19 @@ def test_mixture_takes_its_budget(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixture_clashes_and_epochs(docs):
+    """Names that the operator uses inside stay the user's; each epoch has an order of its own."""
+    clash = ["prefix", "edge", "bucket", "ahead", "order", "id", "doc", "tokens", "weight", "room"]
+    out = mixing.mix(docs.withColumns({c: F.lit("x") for c in clash}), budget_share=0.5)
+    assert {out.select(c).distinct().first()[0] for c in clash} == {"x"}
+    assert len({mixing_order(docs, epoch) for epoch in range(3)}) == 3
+
+
+def mixing_order(docs, epoch):
+    order = mixing.order_hash(17, F.col("doc_id").cast("string"), F.lit(epoch))
+    return tuple(r.doc_id for r in docs.orderBy(order).select("doc_id").collect())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
