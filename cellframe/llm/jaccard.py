@@ -459,7 +459,6 @@ def by_row(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     dealt = once.mapInArrow(signatures(rule), "sig long, row long").repartition(partitions, "sig").sortWithinPartitions("sig", "row")
     pairs = dealt.mapInArrow(pivot_pairs, "a long, b long, wide boolean").groupBy("a", "b").agg(F.bool_or("wide").alias("wide"))
     pairs = scratch.write(pairs, "pairs")
-    scratch.drop()
     label = find_links(rows, pairs, rule, scratch)
     scratch.drop("pairs")
     whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, F.coalesce("label", "rep").alias("label"))

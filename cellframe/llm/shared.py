@@ -63,15 +63,16 @@ class Scratch:
         """``df`` written as Parquet and read from there; what follows starts at its files."""
         path = self.paths[name] = shared_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
+        # shuffles of the finished job are deleted when the driver's JVM finds them unused
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables, and lets Spark delete the shuffles that led to them."""
+        """Deletes tables."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -197,7 +197,6 @@ def repeated(
     found = found.select("*", F.count("*").over(by_h).alias("times"), (differ | F.bool_or("own").over(by_h)).alias("contested"))
     found = found.filter("times > 1 or contested")
     found = scratch.write(found.select("h", "row", "doc_id", "start", "n", "contested"), "runs")
-    scratch.drop()
 
     plain = found.filter("not contested")
     if spare_first:
