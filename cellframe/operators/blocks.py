@@ -57,12 +57,13 @@ def upsample(blocks: DataFrame, k: int, value: str = "mean") -> DataFrame:
     return cols.withColumnRenamed(value, "v").drop("brow", "bcol")
 
 
-def overlaps(cells: DataFrame, scale: float, offset_row: float, offset_col: float, height: int, width: int) -> DataFrame:
+def overlaps(cells: DataFrame, scale: float, offset_row: float, offset_col: float, height: int | Column, width: int | Column) -> DataFrame:
     """Each cell with the target cells it overlaps and the shares of its area, for a target whose
-    cells are ``scale`` source cells wide and begin at the offsets (in source cells)."""
+    cells are ``scale`` source cells wide and begin at the offsets (in source cells). Its height and
+    width are numbers, or columns of ``cells``."""
     r0, c0 = F.col("row") - F.lit(offset_row), F.col("col") - F.lit(offset_col)
-    span = lambda a, most: F.expr("sequence(0, 0)") if most < 1 else F.sequence(F.greatest(F.floor(a / scale), F.lit(0)), F.least(F.ceil((a + 1) / scale) - 1, F.lit(most - 1)))
-    touching = cells.filter((r0 + 1 > 0) & (r0 < height * scale) & (c0 + 1 > 0) & (c0 < width * scale) & F.col("v").isNotNull())
+    span = lambda a, most: F.expr("sequence(0, 0)") if isinstance(most, int) and most < 1 else F.sequence(F.greatest(F.floor(a / scale), F.lit(0)), F.least(F.ceil((a + 1) / scale) - 1, F.lit(most) - 1))
+    touching = cells.filter((r0 + 1 > 0) & (r0 < F.lit(height) * scale) & (c0 + 1 > 0) & (c0 < F.lit(width) * scale) & F.col("v").isNotNull())
     out = touching.withColumns({"_r": r0, "_c": c0}).withColumn("trow", F.explode(span(F.col("_r"), height))).withColumn("tcol", F.explode(span(F.col("_c"), width)))
     cut = lambda a, t: F.least(a + 1, (t + 1) * scale) - F.greatest(a, t * scale)
     return out.withColumn("w", cut(F.col("_r"), F.col("trow")) * cut(F.col("_c"), F.col("tcol"))).filter("w > 0").drop("_r", "_c")

@@ -84,10 +84,15 @@ def nearest_date(targets: DataFrame, candidates: DataFrame, site: str = "site")
 
 
 def near_surveys(surveys: DataFrame, visits: DataFrame) -> DataFrame:
-    """Visits (site, day) within, and at most 3 and 7 days from, each survey (site, survey, begin, end)."""
+    """Visits (site, day) within, and at most 3 and 7 days from, each survey (site, survey, begin, end).
+
+    A survey is spread over its own days and 7 on either side, which meet the visits by equal
+    site and day: no survey meets all days of its site.
+    """
     counted = visits.groupBy("site", "day").agg(F.count("*").alias("times"))
-    off = F.when(F.col("day") < F.col("begin"), F.datediff("begin", "day")).when(F.col("day") > F.col("end"), F.datediff("day", "end")).otherwise(0)
-    pairs = surveys.join(counted, "site", "left").withColumn("_off", F.when(F.col("day").isNotNull(), off))
+    days = surveys.withColumn("day", F.explode(F.sequence(F.date_sub("begin", 7), F.date_add("end", 7))))
+    off = F.greatest(F.datediff("begin", "day"), F.datediff("day", "end"), F.lit(0))
+    pairs = days.join(counted, ["site", "day"], "left").withColumn("_off", off)
     upto = lambda n: F.coalesce(F.sum(F.when(F.col("_off") <= n, F.col("times"))), F.lit(0)).cast("long")
     return pairs.groupBy("site", "survey").agg(upto(0).alias("within"), upto(3).alias("within_3"), upto(7).alias("within_7"))
 

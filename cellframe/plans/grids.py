@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellframe.catalog import query
 from cellframe.functions import geometry, values
 from cellframe.model import rounded as r
+from cellframe.model import shape_of
 from cellframe.operators import blocks, cleaning, compare, components, regrid, stats, stencils
 from cellframe.plans.fixtures import CHANNELS, G_COMPLEX, G_EMB, G_EVENTS, G_ORDERS, SHAPE, channels, dense, g_complex, g_emb, g_events, g_orders, shaped
 
@@ -242,7 +243,7 @@ RESAMPLE = f"WITH {G_EVENTS}, {SHAPE}, t AS (SELECT row AS trow, col AS tcol, co
 @query(RESAMPLE + "SELECT trow, tcol, g.v FROM i LEFT JOIN g ON i.nr = g.row AND i.nc = g.col")
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
     g = g_events(spark, d)
-    return regrid.resample(_targets(g), g, dense(g).select("layer", "height", "width").distinct()).select("trow", "tcol", "v")
+    return regrid.resample(_targets(g), g, shape_of(g)).select("trow", "tcol", "v")
 
 
 @query(RESAMPLE + """, c AS (SELECT trow, tcol, height, width, least(greatest(x, 0), width - 1) AS cx, least(greatest(y, 0), height - 1) AS cy FROM i),
@@ -252,30 +253,37 @@ ELSE coalesce(a.v, 0) * (1 - tx) * (1 - ty) + coalesce(b.v, 0) * tx * (1 - ty) +
 FROM f LEFT JOIN g a ON a.row = y0 AND a.col = x0 LEFT JOIN g b ON b.row = y0 AND b.col = x1 LEFT JOIN g p ON p.row = y1 AND p.col = x0 LEFT JOIN g q ON q.row = y1 AND q.col = x1""")
 def resample_bilinear(spark: SparkSession, d: str) -> DataFrame:
     g = g_events(spark, d)
-    out = regrid.resample(_targets(g), g, dense(g).select("layer", "height", "width").distinct(), "bilinear")
+    out = regrid.resample(_targets(g), g, shape_of(g), "bilinear")
     return out.select("trow", "tcol", r("v").alias("v"))
 
 
-OVERLAP = f"""WITH {G_EVENTS}, t AS (SELECT unnest(range(0, 4)) AS trow), u AS (SELECT unnest(range(0, 40)) AS tcol),
+OVERLAP = f"""WITH {G_EVENTS}, t AS (SELECT unnest(range(0, (SELECT CAST(ceil((max(row) + 0.5) / 2.4) AS BIGINT) FROM g))) AS trow),
+u AS (SELECT unnest(range(0, (SELECT CAST(ceil((max(col) + 0.75) / 2.4) AS BIGINT) FROM g))) AS tcol),
 w AS (SELECT trow, tcol, v, (least(row - 0.5 + 1, (trow + 1) * 2.4) - greatest(row - 0.5, trow * 2.4)) * (least(col - 0.25 + 1, (tcol + 1) * 2.4) - greatest(col - 0.25, tcol * 2.4)) AS w
 FROM g JOIN t ON row - 0.5 + 1 > trow * 2.4 AND row - 0.5 < (trow + 1) * 2.4 JOIN u ON col - 0.25 + 1 > tcol * 2.4 AND col - 0.25 < (tcol + 1) * 2.4 WHERE v IS NOT NULL) """
 
 
-@query(OVERLAP + "SELECT trow, tcol, round(sum(w * v) / sum(w), 6) AS mean FROM w WHERE w > 0 GROUP BY trow, tcol")
+def covering(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of the layer with a coarser lattice that covers it from (0.5, 0.25) on."""
+    cells = shaped(g_events(spark, d))
+    return blocks.overlaps(cells, 2.4, 0.5, 0.25, F.ceil((F.col("height") - 0.5) / 2.4), F.ceil((F.col("width") - 0.25) / 2.4))
+
+
+@query(OVERLAP + "SELECT trow, tcol, round(sum(w * v) / sum(w), 9) AS mean FROM w WHERE w > 0 GROUP BY trow, tcol")
 def overlap_average(spark: SparkSession, d: str) -> DataFrame:
-    w = blocks.overlaps(g_events(spark, d), 2.4, 0.5, 0.25, 4, 40)
-    return blocks.overlap_average(w).select("trow", "tcol", r("mean").alias("mean"))
+    w = covering(spark, d)
+    return blocks.overlap_average(w).select("trow", "tcol", r("mean", 9).alias("mean"))
 
 
 @query(OVERLAP + ", a AS (SELECT trow, tcol, sum(w * sin(radians(v))) AS sn, sum(w * cos(radians(v))) AS cs, sum(w) AS n FROM w WHERE w > 0 GROUP BY 1, 2) SELECT trow, tcol, round(CASE WHEN sqrt(sn * sn + cs * cs) > n * 1e-12 THEN ((degrees(atan2(sn, cs)) % 360) + 360) % 360 END, 6) AS direction FROM a")
 def overlap_direction(spark: SparkSession, d: str) -> DataFrame:
-    w = blocks.overlaps(g_events(spark, d), 2.4, 0.5, 0.25, 4, 40)
+    w = covering(spark, d)
     return blocks.overlap_direction(w).select("trow", "tcol", r("direction").alias("direction"))
 
 
 @query(OVERLAP + "SELECT trow, tcol, CAST(sum(w * CAST(v >= 50 AS INTEGER)) / sum(w) >= 0.5 AS INTEGER) AS class FROM w WHERE w > 0 GROUP BY 1, 2")
 def overlap_majority(spark: SparkSession, d: str) -> DataFrame:
-    w = blocks.overlaps(g_events(spark, d), 2.4, 0.5, 0.25, 4, 40).withColumn("v", (F.col("v") >= 50).cast("int"))
+    w = covering(spark, d).withColumn("v", (F.col("v") >= 50).cast("int"))
     return blocks.overlap_majority(w).select("trow", "tcol", "class")
 
 

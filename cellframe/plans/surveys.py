@@ -19,12 +19,13 @@ def match_surveys(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_surveys(granules(spark, d), products(spark, d)).withColumn("gap_days", F.col("gap_days").cast("long"))
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey % 8 AS site, CAST(o_orderdate AS DATE) AS target FROM orders), c AS (SELECT DISTINCT l_orderkey % 8 AS site, CAST(l_shipdate AS DATE) AS candidate FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 10 = 0),
-p AS (SELECT t.site, target, candidate, row_number() OVER (PARTITION BY t.site, target ORDER BY abs(target - candidate), candidate) AS n FROM t JOIN c ON t.site = c.site)
-SELECT site, target, candidate FROM p WHERE n = 1""")
+@query("""WITH t AS (SELECT DISTINCT o_custkey % 8 AS site, CAST(o_orderdate AS DATE) AS target FROM orders), c AS (SELECT DISTINCT l_orderkey % 8 AS site, CAST(l_shipdate AS DATE) AS candidate FROM lineitem),
+p AS (SELECT t.site, target, candidate AS before FROM t ASOF LEFT JOIN c ON t.site = c.site AND target >= candidate),
+n AS (SELECT p.site, target, before, candidate AS after FROM p ASOF LEFT JOIN c ON p.site = c.site AND target <= candidate)
+SELECT site, target, CASE WHEN after IS NULL OR target - before <= after - target THEN before ELSE after END AS candidate FROM n""")
 def nearest_date(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "orders").select((F.col("o_custkey") % 8).alias("site"), F.col("o_orderdate").cast("date").alias("target"))
-    c = read(spark, d, "lineitem").filter("l_linenumber = 1 and l_suppkey % 10 = 0").select((F.col("l_orderkey") % 8).alias("site"), F.col("l_shipdate").cast("date").alias("candidate"))
+    c = read(spark, d, "lineitem").select((F.col("l_orderkey") % 8).alias("site"), F.col("l_shipdate").cast("date").alias("candidate"))
     return matching.nearest_date(t, c)
 
 
@@ -51,9 +52,9 @@ def shared_products(spark: SparkSession, d: str) -> DataFrame:
     return matching.shared_products(p)
 
 
-@query("SELECT level, grp AS \"group\", count(DISTINCT scene) AS scenes FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS level, 'G' || (l_orderkey % 300) AS grp, l_orderkey AS scene FROM lineitem WHERE l_linenumber <= 2) GROUP BY 1, 2 HAVING count(DISTINCT scene) > 1")
+@query("SELECT level, grp AS \"group\", count(DISTINCT scene) AS scenes FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS level, 'G' || (l_orderkey % 300) AS grp, l_orderkey AS scene FROM lineitem) GROUP BY 1, 2 HAVING count(DISTINCT scene) > 1")
 def collision_check(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "lineitem").filter("l_linenumber <= 2")
+    p = read(spark, d, "lineitem")
     p = p.select(F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b").alias("level"), F.concat(F.lit("G"), F.col("l_orderkey") % 300).alias("group"), F.col("l_orderkey").alias("scene"))
     return matching.collision_check(p)
 

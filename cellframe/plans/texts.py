@@ -27,7 +27,7 @@ def parse_filename(spark: SparkSession, d: str) -> DataFrame:
     return p.select("o_orderkey", *[F.col(f"p.{c}").alias(c) for c in ("product", "code", "begin", "end")])
 
 
-@query("SELECT l_orderkey || '-' || l_suppkey AS file_id, 'CAMP' || (l_suppkey % 5) || l_orderkey AS token, max(l_linenumber) AS version, 'CAMP' || (l_suppkey % 5) || l_orderkey AS line, 'science/radar/20200211_20200218/CAMP' || (l_suppkey % 5) || l_orderkey AS path FROM lineitem GROUP BY l_orderkey, l_suppkey")
+@query("SELECT l_orderkey || '-' || l_suppkey AS file_id, 'CAMP' || (l_suppkey % 5) || l_orderkey AS token, max(l_linenumber) AS version, 'CAMP' || (l_suppkey % 5) || l_orderkey AS line, 'science/UAVSAR/20200211_20200218/CAMP' || (l_suppkey % 5) || l_orderkey AS path FROM lineitem GROUP BY l_orderkey, l_suppkey")
 def scene_names(spark: SparkSession, d: str) -> DataFrame:
     p = products(spark, d)
     dates = F.array(F.lit("2020-02-11").cast("date"), F.lit("2020-02-18").cast("date"))
@@ -67,7 +67,7 @@ def feature_groups(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN event_id % 2 = 0 THEN 'rad' ELSE 'unknown' END AS units FROM events""")
 def layer_names(spark: SparkSession, d: str) -> DataFrame:
     e, t = read(spark, d, "events"), F.col("event_type")
-    path = F.when(t == "click", "science/survey/SD/20200211/snow_depth").when(t == "view", "science/radar/20200211_20200218/L1/HH/cor").when(t == "purchase", "science/radar/20200211_20200218/L1/HH/amp1").otherwise("index")
+    path = F.when(t == "click", "science/LIDAR/SD/20200211/snow_depth").when(t == "view", "science/UAVSAR/20200211_20200218/L1/HH/cor").when(t == "purchase", "science/UAVSAR/20200211_20200218/L1/HH/amp1").otherwise("index")
     unit = F.when(F.col("event_id") % 3 == 0, "degrees clockwise").when(F.col("event_id") % 3 == 1, "Radians").otherwise("unitless")
     said = F.when(F.col("event_id") % 2 == 0, "Radians").otherwise("turns")
     return e.select("event_id", names.domain(path).alias("domain"), names.display_unit(unit, F.lit("aspect")).alias("unit"), names.quantity(F.lit("unw"), said)["units"].alias("units"))
