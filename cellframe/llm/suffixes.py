@@ -1,12 +1,15 @@
 """Suffix-array dedup: strings of 100 bytes that start earlier too are removed.
 
-Each bucket of strings (see superkmers) is cut into shards. A shard sorts its suffixes and
+Each bucket of strings (see superkmers) is cut into shards. A shard sorts its own suffixes and
 keeps, for each, the block of bytes before it: its Burrows-Wheeler transform over blocks. The
-transforms are merged without comparing suffixes of different shards: an interleave of shards,
+transforms are merged without comparing or sorting suffixes of different shards: an interleave of shards,
 at first arbitrary, is refined round by round. A round reads each shard's transform in the
 order that the interleave says and deals the entries out, stably, by block; then suffixes are
-in order of one block more. Where block or group of the entry before differ, a common prefix
-ends; what is still one group after the last round is a repeated interval.
+in order of one block more. Where block or group of the entry before differ for the first time,
+the common prefix of two neighbours ends, at as many blocks as rounds before it. Stretches of
+neighbours with common prefixes of LENGTH or more are the repeated intervals.
+
+Shards have only the alphabet in common: a number for each distinct block of 20 bytes.
 """
 
 from __future__ import annotations
@@ -62,37 +65,54 @@ def dense_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
+def sort_suffixes(rank: np.ndarray, end: np.ndarray, deep: int, longest: int) -> np.ndarray:
+    """Places of a shard's suffixes in order, equal ones in order of place. ``rank`` orders them
+    by their first ``deep`` bytes, ``end`` is where the string of each ends."""
+    place = np.arange(len(rank))
+    while deep < longest and rank.max(initial=0) < len(rank):
+        after = np.where(place + deep < end, rank[np.minimum(place + deep, len(rank) - 1)], 0)
+        rank, deep = dense_pairs(rank, after), 2 * deep
+    return order_of(rank)
+
+
 class Shard:
     """Strings with their suffixes in order and the block before each.
 
     A string of length n has suffixes 0 .. n-1 and BLOCK empty ones after it, which follow the
     last blocks; the empty ones of all strings come first, in order of strings. ``at`` is the
     place of each suffix in the joined strings, ``blocks`` its preceding block (0: none).
+    ``first`` is where the shard's strings begin there, ``eight`` and ``block`` are numbers of the
+    8 and BLOCK bytes at each place.
     """
 
-    def __init__(self, joined: np.ndarray, first: np.ndarray, lengths: np.ndarray, block: np.ndarray, rank: np.ndarray):
+    def __init__(self, first: np.ndarray, lengths: np.ndarray, eight: np.ndarray, block: np.ndarray):
         size = lengths + BLOCK
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        empty = at >= np.repeat(lengths, size)
-        at = at + np.repeat(first, size)
-        real = at[~empty]
-        real = real[order_of(rank[real])]
-        self.at = np.concatenate([at[empty], real])
-        self.empties = int(empty.sum())
-        begin = np.repeat(first, size)
+        begin = np.cumsum(lengths) - lengths
+        text = np.arange(int(lengths.sum())) - np.repeat(begin - first, lengths)
+        order = sort_suffixes(dense(eight[text]), np.repeat(begin + lengths, lengths), 8, int(lengths.max(initial=0)))
+        gap = np.arange(BLOCK * len(first)) - np.repeat(np.arange(len(first)) * BLOCK - first - lengths, BLOCK)
+        self.at = np.concatenate([gap, text[order]])
+        self.empties = len(gap)
+        start = np.zeros(int((first + size).max(initial=0)), np.int64)
+        start[np.concatenate([gap, text])] = np.concatenate([np.repeat(first, BLOCK), np.repeat(first, lengths)])
         before = self.at - BLOCK
-        start = np.zeros(len(joined) + 1, np.int64)
-        start[at] = begin
         self.blocks = np.where(before >= start[self.at], block[np.maximum(before, 0)], 0)
 
 
 def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all suffixes in order of their first ``rounds`` blocks, and groups of equal ones."""
+    """Places of all suffixes in order of their first ``rounds`` blocks, and of each the blocks
+    that it has in common with the one before it, at most ``rounds``.
+
+    Suffixes that agree in their first blocks keep one stretch of the interleave while they are
+    told apart within it, so a common prefix that has ended stays as it is.
+    """
     fixed = np.repeat(np.arange(len(shards)), [s.empties for s in shards]).astype(np.uint8)
     z = np.concatenate([fixed, np.repeat(np.arange(len(shards)), [len(s.at) - s.empties for s in shards]).astype(np.uint8)])
-    group = np.concatenate([np.zeros(len(fixed), np.int64), np.ones(len(z) - len(fixed), np.int64)]) * 0
+    group = np.zeros(len(z), np.int64)
+    common = np.full(len(z), rounds)
+    common[:1] = 0
     block = np.empty(len(z), np.int64)
-    for _ in range(rounds):
+    for done in range(rounds):
         for s, shard in enumerate(shards):
             block[z == s] = shard.blocks
         inner = np.flatnonzero(block)
@@ -102,10 +122,12 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (b[1:] != b[:-1]) | (g[1:] != g[:-1])
         z = np.concatenate([fixed, z[inner]])
         group = np.concatenate([np.zeros(len(fixed), np.int64), np.cumsum(new)])
+        ends = len(fixed) + np.flatnonzero(new)
+        common[ends] = np.minimum(common[ends], done)
     at = np.empty(len(z), np.int64)
     for s, shard in enumerate(shards):
         at[z == s] = shard.at
-    return at, group
+    return at, common
 
 
 def repeated_intervals(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,32 +136,21 @@ def repeated_intervals(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     space = lengths + BLOCK
     first = np.cumsum(space) - space
     total = int(space.sum())
-    joined = np.zeros(total + 8, np.uint64)
+    joined = np.zeros(total + BLOCK + 8, np.uint64)
     # bytes of UTF-8 plus 1, so that 0 is free for what follows the end
     joined[:total] = np.frombuffer((b"\xff" * BLOCK).join([*texts, b""]), np.uint8).astype(np.uint64) + 1 & 255
-    end = np.repeat(first + lengths, space)
-    place = np.arange(total)
-
-    def after(rank: np.ndarray, k: int) -> np.ndarray:
-        return np.where(place + k < end, rank[np.minimum(place + k, total - 1)], 0)
-
-    packed = np.zeros(total, np.uint64)
+    packed = np.zeros(total + BLOCK, np.uint64)
     for i in range(8):
-        packed |= joined[i : total + i] << np.uint64(56 - 8 * i)
+        packed |= joined[i : total + BLOCK + i] << np.uint64(56 - 8 * i)
     eight = dense(packed)
-    rank, deep = eight, 8
-    block = None
-    while deep < lengths.max():
-        if 2 * deep >= BLOCK > deep:
-            tail = eight if BLOCK - deep <= 8 else rank
-            block = dense_pairs(rank, after(tail, BLOCK - (8 if tail is eight else deep)))
-        rank, deep = dense_pairs(rank, after(rank, deep)), 2 * deep
+    # 8, 8 and 4 more bytes, the last as the end of another 8; 20 free places follow each string
+    block = dense_pairs(dense_pairs(eight[:total], eight[8 : total + 8]), eight[12 : total + 12])
     order = np.array_split(np.arange(len(texts)), min(SHARDS, len(texts)))
-    at, group = merge([Shard(joined, first[o], lengths[o], block, rank) for o in order], LENGTH // BLOCK)
+    at, common = merge([Shard(first[o], lengths[o], eight, block) for o in order], LENGTH // BLOCK)
     string = np.repeat(np.arange(len(texts)), space)[at]
     window = at - first[string]
     whole = window + LENGTH <= lengths[string]
-    return string[whole], window[whole], group[whole]
+    return string[whole], window[whole], np.cumsum(common < LENGTH // BLOCK)[whole]
 
 
 def later_windows(s: superkmers.Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,6 +30,8 @@ from cellframe.llm.shared import Scratch, small_batches, whole_text
 
 #: Distinct strings of a minimiser above which its windows are dealt out one by one.
 CROWDED = 4000
+#: Windows of a run at most; a longer one goes on as another run of its minimiser.
+LONGEST = 4096
 #: Bytes of packed strings that a task compares at once; only whole buckets are.
 TOGETHER = 1 << 20
 
@@ -74,6 +76,8 @@ def runs(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 h = least[window]
                 new = np.ones(len(window), bool)
                 new[1:] = (h[1:] != h[:-1]) | (np.diff(window) != 1) | (text[window[1:]] != text[window[:-1]])
+                i = np.arange(len(window))
+                new |= (i - np.maximum.accumulate(np.where(new, i, 0))) % LONGEST == 0
                 begin = np.flatnonzero(new)
                 start, n = window[begin], np.diff(np.append(begin, len(window)))
                 if kind.by_word:
