@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,10 +64,18 @@ class Scratch:
         """``df`` written as Parquet and read from there; what follows starts at its files."""
         path = self.paths[name] = shared_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(path)
-        # shuffles of the finished job are deleted when the driver's JVM finds them unused
-        self.spark._jvm.System.gc()
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Has the shuffles of finished jobs deleted, as soon as the driver's JVM finds them unused.
+
+        The scheduler holds on to its last job until another one ends, hence the job of one row.
+        """
+        gc.collect()
+        self.spark.range(1).write.format("noop").mode("overwrite").save()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables."""
         jvm = self.spark._jvm
