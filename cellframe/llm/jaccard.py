@@ -29,8 +29,8 @@ from cellframe.llm.groups import components
 from cellframe.llm.shared import Scratch, free_name, small_batches, whole_text
 
 LEVELS = 6
-#: Pairs of a pivot for each copy of its set, and copies of what is short.
-PER_SALT, SALTS = 2048, 8
+#: Rows of a pivot for each copy of what they are joined with.
+PER_SALT = 2048
 U = np.uint64
 
 
@@ -243,10 +243,11 @@ def against_pivot(rule: Rule):
 
 
 def salted(rows: DataFrame, of_pivot: DataFrame) -> DataFrame:
-    """``rows`` (a, b, ...) joined with the short row that each pivot ``a`` has in ``of_pivot``,
-    which is repeated so that the rows of one pivot meet it in SALTS tasks."""
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    spread = of_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``rows`` (a, b, times, ...) joined with the row that each pivot ``a`` has in ``of_pivot``
+    (a, times, ...). The rows of a pivot are ``times`` many; its own is repeated for each PER_SALT."""
+    salts = (F.col("times") / PER_SALT).cast("long")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("b"), salts + 1))
+    spread = of_pivot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts))).drop("times")
     return dealt.join(spread, ["a", "salt"]).drop("salt")
 
 
@@ -267,7 +268,7 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def recentre(rule: Rule):
-    """From (a, b, size, differ, centre, sketch) to (a, b, size, w, away, sketch).
+    """From (a, b, size, differ, centre, sketch, times) to (a, b, size, w, away, sketch, times).
 
     ``away`` is what b differs in from the pivot's centre, the set that has what most of the
     sets around the pivot have. Two sets whose w add up to 0 or less link, since they can't
@@ -283,7 +284,7 @@ def recentre(rule: Rule):
                 d = np.setxor1d(np.array(differ, np.int64), np.array(centre or [], np.int64), assume_unique=True)
                 away.append(d)
                 w.append((100 + rule.part) * len(d) - (100 - rule.part) * size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(w, pa.int64()), pa.array(away, pa.list_(pa.int64())), batch.column(5)], names=["a", "b", "size", "w", "away", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(w, pa.int64()), pa.array(away, pa.list_(pa.int64())), batch.column(5), batch.column(6)], names=["a", "b", "size", "w", "away", "sketch", "times"])
 
     return of
 
@@ -322,8 +323,8 @@ def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     two = 2 * (100 + rule.part)
     digits = F.when(F.col("w") <= 0, F.lit(0)).otherwise(F.length(F.bin("w")))
     sets = centred.withColumns({"kind": digits, "asks": F.col("w") + F.col("least") > 0})
-    around = sets.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("any_asks"), F.collect_set("kind").alias("kinds"))
-    sets = scratch.write(salted(sets, around.filter("any_asks and low != high").select("a", "kinds")), "around")
+    around = sets.groupBy("a", "times").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("any_asks"), F.collect_set("kind").alias("kinds"))
+    sets = scratch.write(salted(sets, around.filter("any_asks and low != high").select("a", "times", "kinds")).drop("times"), "around")
     met = apart(sets.select("a", "label", "asks", F.explode("away").alias("e")), F.bool_or("asks").alias("asks")).select("a", "e", "times")
     each = sets.select("a", "b", "label", "asks", "size", "w", "least", F.size("away").alias("n"), "kind", "kinds", "sketch", F.explode("away").alias("e")).join(met, ["a", "e"])
     by = Window.partitionBy("a", "b")
@@ -371,14 +372,14 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
     near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times", "sketch")
     toggled = near.select("a", "times", F.explode("differ").alias("e")).groupBy("a", "e", "times").agg(F.count("*").alias("n")).filter("2 * n > times")
-    centre = close.join(toggled.groupBy("a").agg(F.collect_list("e").alias("centre")), "a", "left").select("a", "centre")
-    centred = salted(near.drop("times"), centre).select("a", "b", "size", "differ", "centre", "sketch")
-    centred = scratch.write(centred.mapInArrow(recentre(rule), "a long, b long, size long, w long, away array<long>, sketch array<long>"), "centred")
-    middle = scratch.write(centred.groupBy("a").agg(F.min(F.struct("w", "b")).alias("m")).select("a", F.col("m.w").alias("least"), F.col("m.b").alias("middle")), "middle")
-    by_centre = salted(centred.select("a", "b", "w"), middle).filter((F.col("w") + F.col("least") <= 0) & (F.col("b") != F.col("middle")))
+    centre = close.join(toggled.groupBy("a").agg(F.collect_list("e").alias("centre")), "a", "left").select("a", "times", "centre")
+    centred = salted(near, centre).select("a", "b", "size", "differ", "centre", "sketch", "times")
+    centred = scratch.write(centred.mapInArrow(recentre(rule), "a long, b long, size long, w long, away array<long>, sketch array<long>, times long"), "centred")
+    middle = scratch.write(centred.groupBy("a", "times").agg(F.min(F.struct("w", "b")).alias("m")).select("a", "times", F.col("m.w").alias("least"), F.col("m.b").alias("middle")), "middle")
+    by_centre = salted(centred.select("a", "b", "w", "times"), middle).filter((F.col("w") + F.col("least") <= 0) & (F.col("b") != F.col("middle")))
     label = components(links.union(by_centre.select("middle", "b")))
     of = label.select(F.col("v").alias("b"), "label")
-    placed = salted(centred, middle.select("a", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    placed = salted(centred, middle.select("a", "times", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
     lonely = found.filter("outside is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
     far = found.filter("outside is not null").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
     more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs").union(scratch.write(far_pairs(far, rule, scratch), "far-pairs"))
