@@ -60,22 +60,24 @@ def swath_subset(cells: DataFrame, reference: str = "amp1") -> DataFrame:
     )
 
 
-def empty_chains(layers: DataFrame, most: int = 32) -> DataFrame:
+def empty_chains(layers: DataFrame, most: int = 1000) -> DataFrame:
     """Empty layers whose emptiness nothing explains. (layer, derived_from, valid, reason).
 
     An empty layer is explained by its own reason or by an empty source that is; a chain that
-    ends in a layer with cells, that goes in a circle or that ends nowhere is not.
+    ends in a layer with cells, that goes in a circle or that ends nowhere is not. A chain of
+    more than ``most`` steps is an error.
     """
-    spark = layers.sparkSession
-    layers.createOrReplaceTempView("_chain_layers")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(layer, at, reason, valid, seen, step) AS (
-          SELECT layer, derived_from, reason, valid, array(layer), 0 FROM _chain_layers WHERE valid = 0
+    return layers.sparkSession.sql(
+        f"""
+        WITH RECURSIVE walk(layer, at, reason, valid, seen, step) MAX RECURSION LEVEL {most} AS (
+          SELECT layer, derived_from, reason, valid, array(layer), 0 FROM {{chain}} WHERE valid = 0
           UNION ALL
           SELECT w.layer, l.derived_from, l.reason, l.valid, array_append(w.seen, l.layer), w.step + 1
-          FROM walk w JOIN _chain_layers l ON w.at = l.layer
-          WHERE w.valid = 0 AND w.reason IS NULL AND NOT array_contains(w.seen, l.layer) AND w.step < {most})
-        SELECT layer, bool_or(valid = 0 AND reason IS NOT NULL) AS explained, max(step) AS steps FROM walk GROUP BY layer""")
+          FROM walk w JOIN {{chain}} l ON w.at = l.layer
+          WHERE w.valid = 0 AND w.reason IS NULL AND NOT array_contains(w.seen, l.layer))
+        SELECT layer, bool_or(valid = 0 AND reason IS NOT NULL) AS explained, max(step) AS steps FROM walk GROUP BY layer""",
+        chain=layers,
+    )
 
 
 def unequal_columns(matches: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,6 +86,14 @@ def unequal_columns(matches: DataFrame, columns: list[str]) -> DataFrame:
     return matches.filter(F.greatest(*sizes) != F.least(*sizes))
 
 
+def valid_cells(cells: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+    """Cells of each layer in which every part is there: the value, or both parts of a complex one."""
+    there = F.lit(True)
+    for c in parts:
+        there = there & F.col(c).isNotNull()
+    return cells.groupBy(*keys).agg(F.count_if(there).alias("valid"))
+
+
 def empty_layers(stats: DataFrame) -> DataFrame:
     return stats.filter("valid = 0")
 

@@ -62,6 +62,13 @@ def zero_fill(v: Column) -> Column:
     return F.nullif(v, F.lit(0.0))
 
 
+def zero_fill_counts(cells: DataFrame, keys=KEYS, v: str = "v") -> DataFrame:
+    """Zero fills that zero_fill() removes from each layer, and why it is empty if nothing else was there."""
+    zero = F.count_if(F.col(v) == 0)
+    empty = (zero > 0) & (F.count(v) == zero)
+    return cells.groupBy(*keys).agg(zero.alias("removed"), F.when(empty, "every value was a zero fill").alias("empty_reason"))
+
+
 def point_fill(text: Column) -> Column:
     """A number from text; -9999 and what is no number are missing."""
     return F.nullif(text.try_cast("double"), F.lit(-9999.0))

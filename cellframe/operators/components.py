@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.model import KEYS
+from cellframe.sources.shared import checkpoint_dir
 
 LEAST = 100
 
 
 def ensure_checkpoints(df: DataFrame) -> None:
     """Sets the folder for checkpoints only where neither the session nor the context has one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    checkpoint_dir(df.sparkSession)
 
 
 def runs(cells: DataFrame, keys=KEYS) -> DataFrame:

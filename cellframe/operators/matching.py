@@ -191,3 +191,15 @@ def hull(points: DataFrame, keys: list[str], kinds: str = "site int") -> DataFra
 def site_bounds(footprints: DataFrame, key: str = "site") -> DataFrame:
     p = footprints.select(key, F.explode("ring").alias("p"))
     return p.groupBy(key).agg(F.min("p.x").alias("left"), F.min("p.y").alias("bottom"), F.max("p.x").alias("right"), F.max("p.y").alias("top"))
+
+
+def level_filter(products: DataFrame, levels: list[str], ring: str = "ring") -> DataFrame:
+    """Products of the wanted processing levels that have a usable outline: three points or more,
+    none of them without a coordinate."""
+    whole = (F.size(ring) >= 3) & ~F.exists(ring, lambda p: p["x"].isNull() | p["y"].isNull())
+    return products.filter(F.col("level").isin(*levels) & F.coalesce(whole, F.lit(False)))
+
+
+def shared_names(first: DataFrame, second: DataFrame, name: str) -> DataFrame:
+    """Names that both tables have."""
+    return first.select(name).intersect(second.select(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,14 @@ def best_runs(results: DataFrame, by: list[str], score: str) -> DataFrame:
 
 def every_nth(cells: DataFrame, step: int) -> DataFrame:
     return cells.filter((F.col("row") % step == 0) & (F.col("col") % step == 0))
+
+
+def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
+    """Sample tables in a folder for each site."""
+    samples.repartition("site", F.pmod(F.xxhash64("scene"), F.lit(8))).write.mode(mode).partitionBy("site").parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, sites: list | None = None) -> DataFrame:
+    """The tables of all sites, or of some, as one."""
+    out = spark.read.parquet(path)
+    return out.filter(F.col("site").isin(*sites)) if sites else out

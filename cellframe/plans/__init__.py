@@ -1,5 +1,5 @@
 """Registered queries over the given tables; importing this registers them all."""
 
-from cellframe.plans import checks, grids, models, surveys, texts
+from cellframe.plans import checks, grids, models, surveys, texts, values
 
-__all__ = ["checks", "grids", "models", "surveys", "texts"]
+__all__ = ["checks", "grids", "models", "surveys", "texts", "values"]

@@ -23,6 +23,7 @@ def scan_fixed_width(spark: SparkSession, path: str, rows: int, cols: int, dtype
     """Cells of a window of a row-major binary without header. A record is one raster row; a
     length that is not rows x cols is an error."""
     import numpy as np
+    import pyarrow as pa
 
     item = np.dtype(dtype).itemsize
     r1, c1 = r0 + (rows - r0 if nr is None else nr), c0 + (cols - c0 if nc is None else nc)
@@ -30,14 +31,16 @@ def scan_fixed_width(spark: SparkSession, path: str, rows: int, cols: int, dtype
     if records.count() != rows:
         raise ValueError(f"the file does not hold {rows} rows of {cols} cells")
 
-    def decode(part):
-        for record, row in part:
-            values = np.frombuffer(record, dtype)[c0:c1].astype(float)
-            for c, v in zip(range(c0, c1), values.tolist(), strict=True):
-                yield int(row), c, v
+    def decode(batches):
+        for b in batches:
+            cells = [np.frombuffer(x.as_py(), dtype)[c0:c1].astype(float) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.float64()))], names=["row", "cells"])
 
-    wanted = records.zipWithIndex().filter(lambda x: r0 <= x[1] < r1).mapPartitions(decode)
-    return spark.createDataFrame(wanted, "row int, col int, v double").withColumn("v", finite(F.col("v")))
+    numbered = records.zipWithIndex().map(lambda x: (x[1], bytes(x[0])))
+    wanted = spark.createDataFrame(numbered, "row long, record binary").filter(F.col("row").between(r0, r1 - 1))
+    lines = wanted.mapInArrow(decode, "row long, cells array<double>")
+    out = lines.select(F.col("row").cast("int").alias("row"), F.posexplode("cells").alias("at", "v"))
+    return out.select("row", (F.col("at") + c0).cast("int").alias("col"), finite(F.col("v")).alias("v"))
 
 
 def reconcile_shape(catalogue: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -101,13 +102,34 @@ def test_hull_leaves_out_inner_points(spark):
     assert [(r.x, r.y) for r in matching.hull(p, ["site"]).orderBy("n").collect()] == [(0, 0), (2, 0), (2, 2), (0, 2)]
 
 
-def test_ingest_stores_each_layer_once(spark, tmp_path):
-    from cellframe.streaming.ingest import ingest
+def test_ingest_stores_each_cell_once_and_loses_none(spark, tmp_path):
+    from cellframe.streaming.ingest import ingest, read_cells
 
     schema = "site string, layer string, content_key string, row int, col int, v double"
     src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    spark.createDataFrame([("s", "a", "1", 0, 0, 1.0)], schema).write.parquet(src)
-    for _ in range(2):
-        ingest(spark, src, out, mark, schema).awaitTermination()
-        spark.createDataFrame([("s", "a", "1", 0, 0, 1.0), ("s", "b", "1", 0, 0, 2.0)], schema).write.mode("append").parquet(src)
-    assert sorted(r.layer for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    first, late, other = ("s", "a", "1", 0, 0, 1.0), ("s", "a", "1", 0, 1, 3.0), ("s", "b", "1", 0, 0, 2.0)
+    spark.createDataFrame([first, first], schema).write.parquet(src)
+    ingest(spark, src, out, mark, schema).awaitTermination()
+    spark.createDataFrame([first, late, other], schema).write.mode("append").parquet(src)
+    ingest(spark, src, out, mark, schema).awaitTermination()
+    ingest(spark, src, out, mark + "-again", schema).awaitTermination()
+    assert sorted((r.layer, r.col, r.v) for r in read_cells(spark, out).collect()) == [("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 2.0)]
+
+
+def test_long_chains_are_followed_or_refused(spark):
+    from cellframe.operators.audit import empty_chains
+
+    rows = [(i, i + 1 if i < 60 else None, 0, "dry" if i == 60 else None) for i in range(61)]
+    layers = spark.createDataFrame(rows, "layer long, derived_from long, valid int, reason string")
+    assert all(r.explained for r in empty_chains(layers).collect())
+    with pytest.raises(Exception, match="(?i)recursion"):
+        empty_chains(layers, most=10).collect()
+
+
+def test_rotated_grids_are_refused(spark):
+    from cellframe.functions.geometry import north_up
+
+    grids = spark.createDataFrame([(3.0, 0.0, 0.0, -3.0), (3.0, 0.5, 0.0, -3.0)], "a double, b double, d double, e double")
+    assert north_up(grids.filter("b = 0")).count() == 1
+    with pytest.raises(Exception, match="rotated"):
+        north_up(grids).collect()
