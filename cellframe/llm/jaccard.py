@@ -31,6 +31,8 @@ from cellframe.llm.shared import Scratch, free_name, small_batches, whole_text
 LEVELS = 6
 #: Rows of a pivot for each copy of what they are joined with.
 PER_SALT = 2048
+#: Parts in which pairs are compared, one after another: shuffles hold one part's sets at a time.
+PARTS = 3
 U = np.uint64
 
 
@@ -251,8 +253,8 @@ def salted(rows: DataFrame, of_pivot: DataFrame) -> DataFrame:
     return dealt.join(spread, ["a", "salt"]).drop("salt")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """against_pivot() of pairs (a, b, wide).
+def compared(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
+    """against_pivot() of pairs (a, b, wide); ``pivots`` has the sets of all a, ``sets`` of all b.
 
     A pivot with many pairs is met in several tasks: its set is repeated for each PER_SALT of them.
     """
@@ -260,13 +262,24 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     with_b = with_b.join(salts.filter("salts > 0"), "a", "left")
     with_b = with_b.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
-    spread = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")).join(salts, "a")
+    spread = pivots.select(F.col("row").alias("a"), F.col("shingles").alias("x")).join(salts, "a")
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
     with_both = with_b.join(spread, ["a", "salt"])
     schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>, sketch array<long>"
     return with_both.select("a", "b", "wide", "x", "y").mapInArrow(against_pivot(rule), schema)
 
 
+def compared_in_parts(pairs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """compared() of all pairs, in PARTS by b; the shuffles of a part are gone when the next begins."""
+    pivot = pairs.select(F.col("a").alias("row")).distinct()
+    pivots = scratch.write(sets.join(pivot.hint("shuffle_hash"), "row", "left_semi"), "pivots")
+    for part in range(PARTS):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)) == part  # noqa: B023, E731
+        found = scratch.add(compared(pairs.filter(mine("b")), sets.filter(mine("row")), pivots, rule), "found")
+    scratch.drop("pivots")
+    return found
+
+
 def recentre(rule: Rule):
     """From (a, b, size, differ, centre, sketch, times) to (a, b, size, w, away, sketch, times).
 
@@ -367,7 +380,7 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     """
     involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     sets = scratch.write(rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "raw").mapInArrow(packed_sets(rule), "row long, shingles binary"), "packed")
-    found = scratch.write(compared(pairs, sets, rule), "found")
+    found = compared_in_parts(pairs, sets, rule, scratch)
     links = found.filter("linked").select("a", "b")
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
     near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times", "sketch")
@@ -391,7 +404,7 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     for step in ("best", "rest"):
         if best.isEmpty():
             break
-        late = scratch.write(compared(best, sets, rule).filter("linked").select("a", "b"), f"links-{step}")
+        late = scratch.write(compared(best, sets, sets, rule).filter("linked").select("a", "b"), f"links-{step}")
         label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
         scratch.drop(f"links-{step}")
         if step == "best":

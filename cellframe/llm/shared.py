@@ -67,6 +67,13 @@ class Scratch:
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written to the table ``name`` beside what was added before; all of it read from there."""
+        path = self.paths.setdefault(name, shared_path(self.spark, name))
+        df.write.option("compression", "zstd").mode("append").parquet(path)
+        self.release()
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def release(self) -> None:
         """Has the shuffles of finished jobs deleted, as soon as the driver's JVM finds them unused.
 
