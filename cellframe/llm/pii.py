@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.llm.shared import cut, whole_text
+from cellframe.llm.shared import cut, free_name, whole_text
 
 KEY = "surrogate-key-1"
 #: Derivations of an entity that are tried at most; more is an error, not a silent collision.
@@ -174,7 +174,9 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 def derive(found: DataFrame, key: str = KEY) -> DataFrame:
     """A replacement for each entity, all different and none of them an entity: kind, canon,
     attempt, surrogate. Entities that fail a check are derived anew; the others stay."""
-    found = cut(found)
+    # a number of partitions of its own: entities are small and would all end up in one task
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(found.repartition(partitions, "kind", "canon"))
     names = found.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("taken"))
     out = found.withColumn("attempt", F.lit(0))
     same = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon")
@@ -199,15 +201,16 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, doc_id: str = "
     """
     named = derive(entities(docs, text), key).filter(F.col("attempt") > 0).select("kind", "canon", "attempt")
     out = docs
+    id_, found_, gaps_, later_ = (free_name(x, docs) for x in ("_id", "_found", "_gaps", "_later"))
     if named.isEmpty():
         later = F.lit(None).cast("map<string,int>")
     else:
-        value = docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(mentions(whole_text(text)))).alias("value"))
+        value = docs.select(F.col(doc_id).alias(id_), F.explode(F.array_distinct(mentions(whole_text(text)))).alias("value"))
         value = value.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value")))
-        again = value.join(named, ["kind", "canon"]).select("_id", F.struct(F.concat_ws("|", "kind", "canon").alias("k"), "attempt").alias("e")).distinct()
-        again = again.groupBy("_id").agg(F.map_from_entries(F.collect_list("e")).alias("_later"))
-        out = out.join(again, F.col(doc_id).eqNullSafe(F.col("_id")), "left").drop("_id")
-        later = F.col("_later")
+        again = value.join(named, ["kind", "canon"]).select(id_, F.struct(F.concat_ws("|", "kind", "canon").alias("k"), "attempt").alias("e")).distinct()
+        again = again.groupBy(id_).agg(F.map_from_entries(F.collect_list("e")).alias(later_))
+        out = out.join(again, F.col(doc_id).eqNullSafe(F.col(id_)), "left").drop(id_)
+        later = F.col(later_)
 
     def one(value: Column) -> Column:
         # bound as fields of a struct, so that each is worked out once
@@ -216,9 +219,9 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, doc_id: str = "
 
     found = mentions(F.col(text))
     gaps = F.split(F.col(text), ANY, -1)
-    filled = F.concat(F.array_join(F.zip_with(F.slice(F.col("_gaps"), 1, F.size("_found")), F.transform("_found", one), lambda g, s: F.concat(g, s)), ""), F.element_at("_gaps", -1))
-    out = out.withColumn("_found", found).withColumn("_gaps", F.when(F.size("_found") > 0, gaps))
-    out = out.withColumn(text, F.when(F.size("_found") > 0, filled).otherwise(F.col(text)))
+    filled = F.concat(F.array_join(F.zip_with(F.slice(F.col(gaps_), 1, F.size(found_)), F.transform(found_, one), lambda g, s: F.concat(g, s)), ""), F.element_at(gaps_, -1))
+    out = out.withColumn(found_, found).withColumn(gaps_, F.when(F.size(found_) > 0, gaps))
+    out = out.withColumn(text, F.when(F.size(found_) > 0, filled).otherwise(F.col(text)))
     if count:
-        out = out.withColumn(count, F.greatest(F.size("_found"), F.lit(0)))
-    return out.drop("_found", "_gaps", "_later")
+        out = out.withColumn(count, F.greatest(F.size(found_), F.lit(0)))
+    return out.drop(found_, gaps_, later_)

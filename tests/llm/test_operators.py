@@ -407,3 +407,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.columns == d.columns and 0 < mixed.count() < len(rows)
     ends = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in ends} <= ids(one) and all(r.n_tokens == len(r.token_ids) for r in ends)
+
+
+def test_surrogates_keep_columns_of_any_name(spark):
+    own = ["_id", "_found", "_gaps", "_later"]
+    rows = spark.createDataFrame([(1, "to Ann@example.org"), (None, None)], "doc_id long, text string").withColumns({c: F.lit("x") for c in own})
+    got = pii.replace(rows).collect()
+    assert all(r[c] == "x" for r in got for c in own) and len(got) == 2
+    assert {r.text is None for r in got} == {True, False} and all("Ann@" not in (r.text or "") for r in got)
