@@ -31,7 +31,7 @@ from cellframe.llm.shared import Scratch, free_name, small_batches, whole_text
 LEVELS = 6
 #: Rows of a pivot for each copy of what they are joined with.
 PER_SALT = 2048
-#: Parts in which pairs are compared, one after another: shuffles hold one part's sets at a time.
+#: Parts in which pairs are compared, one after another: shuffles hold one part's texts at a time.
 PARTS = 3
 U = np.uint64
 
@@ -184,17 +184,13 @@ def pivot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = sig[-1], first[-1]
 
 
-def packed_sets(rule: Rule):
-    """From (row, raw) to (row, shingles): sorted 64-bit hashes."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, raw, offsets in tokens.chunks(b.column(1)):
-                shingle, at = sets_of(rule, raw, offsets)
-                data = [shingle[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(data)), pa.array(data, pa.binary())], names=["row", "shingles"])
-
-    return of
+def each_set(rule: Rule, raw: pa.Array) -> list[np.ndarray]:
+    """Set of each text: sorted 64-bit hashes."""
+    out: list[np.ndarray] = []
+    for _, data, offsets in tokens.chunks(raw):
+        shingle, at = sets_of(rule, data, offsets)
+        out += np.split(shingle, at[1:-1])
+    return out
 
 
 def sketch_of(elements: np.ndarray) -> np.ndarray:
@@ -209,7 +205,8 @@ GAP = " + ".join(f"bit_count(s_sketch[{i}] ^ t_sketch[{i}])" for i in range(4))
 
 
 def against_pivot(rule: Rule):
-    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, outside, sketch).
+    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, outside, sketch); x and y
+    are the texts of a and b, which take half the room of their sets.
 
     For ``wide`` pairs, ``differ`` is what b differs in from the pivot a, given unless b is far
     from it; ``outside`` what b has beyond a, as far as a search needs it, given unless b is near.
@@ -223,8 +220,10 @@ def against_pivot(rule: Rule):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for wide, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+            _, first, which = np.unique(np.asarray(batch.column(0)), return_index=True, return_inverse=True)
+            pivots = each_set(rule, batch.column(3).take(pa.array(first)))
+            for wide, at, q in zip(batch.column(2).to_pylist(), which.tolist(), each_set(rule, batch.column(4)), strict=True):
+                p = pivots[at]
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 union = len(p) + len(q) - common
                 differ = outside = None
@@ -253,29 +252,29 @@ def salted(rows: DataFrame, of_pivot: DataFrame) -> DataFrame:
     return dealt.join(spread, ["a", "salt"]).drop("salt")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
-    """against_pivot() of pairs (a, b, wide); ``pivots`` has the sets of all a, ``sets`` of all b.
+def compared(pairs: DataFrame, texts: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
+    """against_pivot() of pairs (a, b, wide); ``pivots`` has the texts of all a, ``texts`` of all b.
 
-    A pivot with many pairs is met in several tasks: its set is repeated for each PER_SALT of them.
+    A pivot with many pairs is met in several tasks: its text is repeated for each PER_SALT of them.
     """
     salts = pairs.groupBy("a").agg((F.count("*") / PER_SALT).cast("long").alias("salts"))
-    with_b = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    with_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("raw").alias("y")), "b")
     with_b = with_b.join(salts.filter("salts > 0"), "a", "left")
     with_b = with_b.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
-    spread = pivots.select(F.col("row").alias("a"), F.col("shingles").alias("x")).join(salts, "a")
+    spread = pivots.select(F.col("row").alias("a"), F.col("raw").alias("x")).join(salts, "a")
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
     with_both = with_b.join(spread, ["a", "salt"])
     schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>, sketch array<long>"
     return with_both.select("a", "b", "wide", "x", "y").mapInArrow(against_pivot(rule), schema)
 
 
-def compared_in_parts(pairs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def compared_in_parts(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """compared() of all pairs, in PARTS by b; the shuffles of a part are gone when the next begins."""
     pivot = pairs.select(F.col("a").alias("row")).distinct()
-    pivots = scratch.write(sets.join(pivot.hint("shuffle_hash"), "row", "left_semi"), "pivots")
+    pivots = scratch.write(texts.join(pivot.hint("shuffle_hash"), "row", "left_semi"), "pivots")
     for part in range(PARTS):
         mine = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)) == part  # noqa: B023, E731
-        found = scratch.add(compared(pairs.filter(mine("b")), sets.filter(mine("row")), pivots, rule), "found")
+        found = scratch.add(compared(pairs.filter(mine("b")), texts.filter(mine("row")), pivots, rule), "found")
     scratch.drop("pivots")
     return found
 
@@ -379,8 +378,8 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     meet by what they have beyond it (far_pairs). Only pairs under different labels are asked for.
     """
     involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = scratch.write(rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "raw").mapInArrow(packed_sets(rule), "row long, shingles binary"), "packed")
-    found = compared_in_parts(pairs, sets, rule, scratch)
+    texts = scratch.write(rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "raw"), "texts")
+    found = compared_in_parts(pairs, texts, rule, scratch)
     links = found.filter("linked").select("a", "b")
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
     near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times", "sketch")
@@ -404,7 +403,7 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     for step in ("best", "rest"):
         if best.isEmpty():
             break
-        late = scratch.write(compared(best, sets, sets, rule).filter("linked").select("a", "b"), f"links-{step}")
+        late = scratch.write(compared(best, texts, texts, rule).filter("linked").select("a", "b"), f"links-{step}")
         label = components(label.select(F.col("v").alias("a"), F.col("label").alias("b")).union(late))
         scratch.drop(f"links-{step}")
         if step == "best":
@@ -415,7 +414,7 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
             best = scratch.write(rest.select("a", "b", "wide"), "rest")
             scratch.drop("best")
     scratch.drop(*scratch.paths.keys() & {"best", "rest"})
-    scratch.drop("packed", "found", "centred", "middle", "around", "shown", "beyond", "near-pairs", "far-pairs", "more")
+    scratch.drop("texts", "found", "centred", "middle", "around", "shown", "beyond", "near-pairs", "far-pairs", "more")
     return label
 
 
