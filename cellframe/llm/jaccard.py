@@ -367,8 +367,9 @@ def far_pairs(far: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     return met_pairs(t.join(s, ["a", "e"]), fits, rule)
 
 
-def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """v, label of the linked sets, from the pairs (a, b, wide) of pivots with the others.
+def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """v, label of the linked sets, from the pairs (a, b, wide) of pivots with the others and their
+    texts (row, raw).
 
     Each pair is compared. Two sets around one pivot that both link with it need no more. What
     else may link is found around the pivot's centre, where the many copies of one text that
@@ -377,8 +378,6 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     changes that they share (near_pairs). Sets far from the pivot, that share little with it,
     meet by what they have beyond it (far_pairs). Only pairs under different labels are asked for.
     """
-    involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    texts = scratch.write(rows.join(involved.hint("shuffle_hash"), "row", "left_semi").select("row", "raw"), "texts")
     found = compared_in_parts(pairs, texts, rule, scratch)
     links = found.filter("linked").select("a", "b")
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
@@ -414,7 +413,7 @@ def find_links(rows: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
             best = scratch.write(rest.select("a", "b", "wide"), "rest")
             scratch.drop("best")
     scratch.drop(*scratch.paths.keys() & {"best", "rest"})
-    scratch.drop("texts", "found", "centred", "middle", "around", "shown", "beyond", "near-pairs", "far-pairs", "more")
+    scratch.drop("found", "centred", "middle", "around", "shown", "beyond", "near-pairs", "far-pairs", "more")
     return label
 
 
@@ -468,11 +467,15 @@ def by_row(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     sets = scratch.write(rows.mapInArrow(describe(rule), "row long, n long, d1 long, d2 long"), "set-digests")
     same = ["n", "d1", "d2"]
     reps = scratch.write(sets.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "representatives")
-    once = rows.join(reps.select(F.col("rep").alias("row")).hint("shuffle_hash"), "row", "left_semi").select("row", "raw")
+    # written, so that the texts' shuffle is gone when signatures are dealt out
+    once = scratch.write(rows.join(reps.select(F.col("rep").alias("row")).hint("shuffle_hash"), "row", "left_semi").select("row", "raw"), "once")
     dealt = once.mapInArrow(signatures(rule), "sig long, row long").repartition(partitions, "sig").sortWithinPartitions("sig", "row")
     pairs = dealt.mapInArrow(pivot_pairs, "a long, b long, wide boolean").groupBy("a", "b").agg(F.bool_or("wide").alias("wide"))
     pairs = scratch.write(pairs, "pairs")
-    label = find_links(rows, pairs, rule, scratch)
-    scratch.drop("pairs")
+    involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    texts = scratch.write(once.join(involved.hint("shuffle_hash"), "row", "left_semi"), "texts")
+    scratch.drop("once")
+    label = find_links(texts, pairs, rule, scratch)
+    scratch.drop("pairs", "texts")
     whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, F.coalesce("label", "rep").alias("label"))
     return sets.join(whole, same, "left").select("row", F.col("n").alias("n_shingles"), "label")
