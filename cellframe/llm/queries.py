@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, jaccard, media, mixing, neighbours, pii, quality, sstable, substrings, suffixes
+from cellframe.llm import bpe, fingerprints, jaccard, media, mixing, neighbours, pii, quality, repair, sstable, substrings, suffixes, trie
 from cellframe.llm.shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -82,6 +82,18 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffixes": op2_suffixes,
@@ -93,5 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_sstable": op8_token_sstable,
     "op9_bpe": op9_bpe,
     "op10_webp": op10_webp,
+    "op11_repair": op11_repair,
+    "op12_trie": op12_trie,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.sql()}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.sql(), "op11_repair": repair.sql(), "op12_trie": trie.sql()}

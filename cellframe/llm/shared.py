@@ -142,3 +142,10 @@ def append_columns(
 def whole_text(name: str = "text"):
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string, which that engine has no function for."""
+    steps = "list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda c, b: {steps}), 4294967295::UBIGINT)"
