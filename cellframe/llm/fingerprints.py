@@ -73,10 +73,11 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), SAMPLES), np.uint32)
     if not len(term):
         return out
-    pair = np.empty(len(term), [("term", U), ("count", np.int64)])
-    pair["term"], pair["count"] = term, count
-    distinct, which = np.unique(pair, return_inverse=True)
-    values = sampled(distinct["term"], distinct["count"].astype(np.float64))
+    # each pair of a term and a count is sampled once, numbered so that plain numbers are sorted
+    terms, which = np.unique(term, return_inverse=True)
+    most = int(count.max()) + 1
+    distinct, which = np.unique(which * most + count, return_inverse=True)
+    values = sampled(terms[distinct // most], (distinct % most).astype(np.float64))
     some = np.flatnonzero(np.diff(at))
     for k in range(0, len(some), 64):
         docs = some[k : k + 64]
