@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm.shared import Scratch, small_batches, whole_text
-from cellframe.llm.tokens import BASES, U, mix, words
+from cellframe.llm.tokens import BASES, U, mix, wide_words
 
 SAMPLES = 64
 #: Terms whose numbers are worked out at a time.
@@ -54,9 +54,7 @@ def term_weights(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    # two hashes that both go over all bytes: no pair of words collides by the form of one step
-    one, at = words(raw, offsets)
-    term = mix(one + mix(words(raw, offsets, seed=1)[0]))
+    term, at = wide_words(raw, offsets)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     order = np.lexsort((term, doc))
     term, doc = term[order], doc[order]

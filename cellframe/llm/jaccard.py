@@ -70,12 +70,13 @@ class Rule:
 
 def sets_of(rule: Rule, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of some texts in order, and the offsets of each text's."""
-    t, at = tokens.words(raw, offsets, lower=True)
+    t, at = tokens.wide_words(raw, offsets, lower=True)
     many = np.diff(at)
     each = np.where(many >= rule.words, many - rule.words + 1, np.minimum(many, 1))
     text = np.repeat(np.arange(len(many)), each)
     start = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each) + at[text]
-    shingle = tokens.runs_of(t, start, np.minimum(rule.words, at[text + 1] - start))
+    size = np.minimum(rule.words, at[text + 1] - start)
+    shingle = tokens.wide(tokens.runs_of(t, start, size), tokens.runs_of(t, start, size, 1))
     order = np.lexsort((shingle, text))
     text, shingle = text[order], shingle[order]
     new = np.ones(len(text), bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +105,18 @@ def free_name(wanted: str, df: DataFrame) -> str:
     return wanted
 
 
+def aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` whose columns that have one of ``names`` (in any case) are renamed out of an operator's
+    way, and a function that gives them back and leaves all other columns out."""
+    names = {x.lower() for x in names}
+    renamed: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            docs_now = docs.withColumnsRenamed(renamed)
+            renamed[c] = free_name(f"own_{c}", docs_now)
+    return docs.withColumnsRenamed(renamed), lambda out: out.select(*[F.col(f"`{renamed.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -98,6 +98,18 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int =
     return span_hashes(raw, start, end, seed), at
 
 
+def wide(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One number from two halves of a digest. A step of one half can be undone by choosing what
+    comes next; what undoes it in both at once isn't known without trying 2**32 of them."""
+    return mix(one + mix(other))
+
+
+def wide_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """words() by two halves."""
+    start, end, at, raw = word_spans(raw, offsets, lower)
+    return wide(span_hashes(raw, start, end), span_hashes(raw, start, end, 1)), at
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where the words of words() start and end, the offsets of each text's, and the bytes read."""
     if lower:
