@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from cellframe.model import KEYS
 
 
-def resample(targets: DataFrame, src: DataFrame, shape: DataFrame, method: str = "nearest", keys=KEYS, complex_values: bool = False) -> DataFrame:
+def resample(targets: DataFrame, src: DataFrame, shape: DataFrame, method: str = "nearest", keys=KEYS, complex_values: bool = False, keep_outside: bool = False) -> DataFrame:
     """Value of ``src`` at fractional positions (x, y, counted from cell centres) of targets
     (keys, trow, tcol, x, y).
 
     A position is up to half a cell outside at most, and then counts as on the edge. Bilinear
     values are missing if any cell they use is. Complex cells can only be taken as they are.
-    The join to the source is by equal row and column.
+    The join to the source is by equal row and column. Targets outside the source come out only with
+    ``keep_outside``, as missing; they take no part in the join, where they would share one key.
     """
     if method not in ("nearest", "bilinear") or (complex_values and method != "nearest"):
         raise ValueError("nearest, or bilinear for real values")
     h, w = F.col("height"), F.col("width")
-    inside = targets.join(shape, list(keys)).filter((F.col("x") >= -0.5) & (F.col("x") <= w - 0.5) & (F.col("y") >= -0.5) & (F.col("y") <= h - 0.5))
     at = [*keys, "trow", "tcol"]
     values = [c for c in ("v", "re", "im") if c in src.columns]
+    if keep_outside:
+        placed = targets.join(shape, list(keys), "left")
+        within = F.coalesce((F.col("x") >= -0.5) & (F.col("x") <= w - 0.5) & (F.col("y") >= -0.5) & (F.col("y") <= h - 0.5), F.lit(False))
+        missing = placed.filter(~within).select(*at, *(F.lit(None).cast("double").alias(c) for c in values))
+        return resample(targets, src, shape, method, keys, complex_values).unionByName(missing)
+    inside = targets.join(shape, list(keys)).filter((F.col("x") >= -0.5) & (F.col("x") <= w - 0.5) & (F.col("y") >= -0.5) & (F.col("y") <= h - 0.5))
     clamp = lambda c, most: F.least(F.greatest(c, F.lit(0)), most - 1)
     if method == "nearest":
         one = inside.select(*at, clamp(F.floor(F.col("y") + 0.5), h).cast("int").alias("row"), clamp(F.floor(F.col("x") + 0.5), w).cast("int").alias("col"))
