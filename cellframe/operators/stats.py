@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.model import KEYS
-
-#: Cells of a layer above which quantiles are approximate, as the result says.
-EXACT_UP_TO = 50_000_000
-
-
-def layer_stats(cells: DataFrame, keys=KEYS, exact: bool = True) -> DataFrame:
-    """Counts, bounds and quantiles of each layer; missing cells count in ``cells`` alone."""
-    q = F.percentile("v", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))) if exact else F.percentile_approx("v", [0.01, 0.5, 0.99], 10000)
-    out = cells.groupBy(*keys).agg(F.count("*").alias("cells"), F.count("v").alias("valid"), F.min("v").alias("least"), F.max("v").alias("most"), q.alias("_q"))
-    status = F.when(F.col("valid") == 0, "no_valid_values").otherwise("computed")
-    quantiles = [F.col("_q")[i].alias(n) for i, n in enumerate(("p1", "median", "p99"))]
-    return out.select(*keys, "cells", "valid", (F.col("valid") / F.col("cells")).alias("valid_fraction"), "least", "most", *quantiles, status.alias("status"))
+from cellframe.operators.quantiles import joined, quantiles
+
+def layer_stats(cells: DataFrame, keys=KEYS) -> DataFrame:
+    """Counts, bounds and quantiles of each layer; missing cells count in ``cells`` alone.
+
+    Of complex layers (re, im) only cells whose both parts are there count as valid; they have
+    no order, hence neither bounds nor quantiles, and a status that says so. A table may have v, or re
+    and im, or all three: a layer any of whose cells has a part is complex.
+    """
+    real, complex_parts = "v" in cells.columns, {"re", "im"} <= set(cells.columns)
+    v = F.col("v").cast("double") if real else F.lit(None).cast("double")
+    whole = F.col("re").isNotNull() & F.col("im").isNotNull() if complex_parts else F.lit(False)
+    parts = F.col("re").isNotNull() | F.col("im").isNotNull() if complex_parts else F.lit(False)
+    rows = cells.select(*keys, v.alias("v"), whole.alias("_whole"), parts.alias("_parts"))
+    is_complex = F.bool_or("_parts") if real else F.lit(True)
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("cells"), F.when(is_complex, F.count_if("_whole")).otherwise(F.count("v")).alias("valid"), is_complex.alias("_complex"),
+        F.when(~is_complex, F.min("v")).alias("least"), F.when(~is_complex, F.max("v")).alias("most"),
+    )
+    names = {"p1": 0.01, "median": 0.5, "p99": 0.99}
+    if real:
+        out = joined(out, quantiles(rows, names, keys), keys).withColumns({n: F.when(~F.col("_complex"), F.col(n)) for n in names})
+    else:
+        out = out.withColumns({n: F.lit(None).cast("double") for n in names})
+    status = F.when(F.col("valid") == 0, "no_valid_values").when(F.col("_complex"), "not_applicable_complex").otherwise("computed")
+    return out.select(*keys, "cells", "valid", (F.col("valid") / F.col("cells")).alias("valid_fraction"), "least", "most", *names, status.alias("status"))
 
 
 def area_km2(stats: DataFrame, res: float) -> DataFrame:
@@ -44,10 +58,10 @@ def offset_stats(pairs: DataFrame, floor: float = -100.0, keys=KEYS) -> DataFram
     fine = (F.col("a") > floor) & F.col("b").isNotNull()
     d = F.when(fine, F.col("a") - F.col("b"))
     low = F.count_if(F.col("a") <= floor) / F.count("*")
-    return pairs.groupBy(*keys).agg(
-        F.percentile(d, F.lit(0.5)).alias("median_offset"), F.avg(F.abs(d)).alias("mean_abs_offset"), F.percentile(F.abs(d), F.lit(0.99)).alias("p99_abs_offset"),
-        F.sqrt(F.avg(d * d)).alias("rmse"), F.count(d).alias("compared"), low.alias("sentinel_fraction"),
-    )
+    rows = pairs.select(*keys, "a", d.alias("_d"), F.abs(d).alias("_abs"))
+    sums = rows.groupBy(*keys).agg(F.avg("_abs").alias("mean_abs_offset"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmse"), F.count("_d").alias("compared"), low.alias("sentinel_fraction"))
+    out = joined(joined(sums, quantiles(rows, {"median_offset": 0.5}, keys, "_d"), keys), quantiles(rows, {"p99_abs_offset": 0.99}, keys, "_abs"), keys)
+    return out.select(*keys, "median_offset", "mean_abs_offset", "p99_abs_offset", "rmse", "compared", "sentinel_fraction")
 
 
 def steep_angles(cells: DataFrame, least: float = 90.0, keys=KEYS) -> DataFrame:
@@ -71,7 +85,7 @@ def stretch(cells: DataFrame, lower: float, upper: float, zero_centred: bool = F
     """Display bounds from percentiles: symmetric about zero if asked for, padded if flat."""
     if not 0 <= lower < upper <= 100:
         raise ValueError("0 <= lower < upper <= 100")
-    q = cells.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(lower / 100), F.lit(upper / 100))).alias("_q")).select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+    q = quantiles(cells, {"lo": lower / 100, "hi": upper / 100}, keys)
     if zero_centred:
         largest = F.greatest(F.abs("lo"), F.abs("hi"))
         span = F.greatest(F.when(largest == 0, F.lit(1.0)).otherwise(largest), F.lit(1e-6))
@@ -81,8 +95,9 @@ def stretch(cells: DataFrame, lower: float, upper: float, zero_centred: bool = F
 
 
 def rereference(blocks: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Values less their group's median; the medians are joined back, a row a group."""
-    medians = blocks.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    """Values less their group's median; the medians are joined back, a row a group. Blocks without a
+    group drop out."""
+    medians = quantiles(blocks, {"_m": 0.5}, group, value)
     return blocks.join(medians, group).withColumn(value, F.col(value) - F.col("_m")).drop("_m")
 
 

@@ -53,6 +53,19 @@ def layer_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({c: r(c) for c in ("valid_fraction", "p1", "median", "p99")})
 
 
+@query(f"""WITH {G_EMB}, {G_COMPLEX}, h AS (SELECT *, row % 3 = 0 AND col % 5 = 0 AS hole FROM z)
+SELECT 'z' || row % 4 AS layer, count(*) AS cells, count(*) FILTER (NOT hole) AS valid, round(count(*) FILTER (NOT hole) / count(*), 6) AS valid_fraction, NULL::DOUBLE AS least, NULL::DOUBLE AS most, NULL::DOUBLE AS median, 'not_applicable_complex' AS status FROM h GROUP BY row % 4
+UNION ALL SELECT 'emb' || row % 4, count(*), count(v), round(count(v) / count(*), 6), min(v), max(v), round(quantile_cont(v, 0.5), 6) + 0.0, 'computed' FROM g GROUP BY row % 4""")
+def complex_layer_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Real and complex layers in one table: the complex ones have counts but no order."""
+    part = F.col("row") % 4
+    hole = (F.col("row") % 3 == 0) & (F.col("col") % 5 == 0)
+    z = g_complex(spark, d).select(F.concat(F.lit("z"), part).alias("layer"), "re", F.when(~hole, F.col("im")).alias("im"))
+    cells = z.unionByName(g_emb(spark, d).select(F.concat(F.lit("emb"), part).alias("layer"), "v"), allowMissingColumns=True)
+    s = stats.layer_stats(cells)
+    return s.select("layer", "cells", "valid", r("valid_fraction").alias("valid_fraction"), "least", "most", r("median").alias("median"), "status")
+
+
 @query("""SELECT event_id, event_type, CASE event_type WHEN 'click' THEN CASE WHEN value BETWEEN 0 AND 15 THEN value END WHEN 'view' THEN CASE WHEN value >= 10 THEN value END ELSE value END AS screened FROM events""")
 def range_screen(spark: SparkSession, d: str) -> DataFrame:
     bounds = cleaning.ranges_table(spark, {"click": (0.0, 15.0), "view": (10.0, None)})
