@@ -50,5 +50,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
 
 
 def read_cells(spark: SparkSession, target: str) -> DataFrame:
-    """The cells that ingest() has stored."""
-    return spark.read.parquet(f"{target}/cells").drop("folder")
+    """The cells that ingest() has stored: of folders that the ledger names, so that a batch which was
+    broken off before its ledger row shows nothing."""
+    named = spark.read.parquet(f"{target}/ledger").select("folder").distinct()
+    return spark.read.parquet(f"{target}/cells").join(named, "folder", "left_semi").drop("folder")
