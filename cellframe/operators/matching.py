@@ -43,22 +43,67 @@ def gap_days(a: list[Column], b: list[Column]) -> Column:
     return F.least(*[F.abs(F.datediff(x, y)) for x in a for y in b])
 
 
-def match_surveys(granules: DataFrame, products: DataFrame, days: int = DAYS) -> DataFrame:
-    """Granules (site, granule, begin, end, ring) and products (site, scene, ref, sec, ring) that
-    lie at most ``days`` apart and whose footprints meet.
+def clean_ring(ring: Column) -> Column:
+    """A ring without points that lack a coordinate, repeat the one before, or close it; null if fewer
+    than three are left. A ring may cross itself: what it goes around an odd number of times is inside."""
+    whole = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    kept = F.filter(whole, lambda p, i: (i == 0) | ~F.coalesce(p == F.get(whole, i - 1), F.lit(False)))
+    opened = F.when((F.size(kept) > 1) & (F.get(kept, F.lit(0)) == F.get(kept, F.size(kept) - 1)), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    return F.when(F.size(opened) >= 3, opened)
+
+
+def outlines(table: DataFrame, prefix: str) -> DataFrame:
+    """``table`` with its clean outlines (``ring``, or ``rings`` of several parts) and their common box."""
+    rings = F.col("rings") if "rings" in table.columns else F.array("ring")
+    clean = table.withColumn(f"{prefix}rings", F.filter(F.transform(rings, clean_ring), lambda r: r.isNotNull())).drop("ring", "rings")
+    points = F.flatten(f"{prefix}rings")
+    side = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    box = {f"{prefix}{c}{k}": side(f, c) for c in "xy" for k, f in ((0, F.array_min), (1, F.array_max))}
+    return clean.filter(F.size(f"{prefix}rings") > 0).withColumns(box)
+
+
+def tile_level(prefix: str) -> Column:
+    """The power of two that is at least the larger side of a box: it covers at most 2 x 2 such tiles."""
+    side = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
+    return F.when(side > 0, F.greatest(F.ceil(F.log2(side)), F.lit(-1000))).otherwise(F.lit(-1000)).cast("int")
+
+
+def tiled(table: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
+    """``table`` with a row for each tile that its box touches, at its own level (``home``) and at each
+    coarser one of ``levels``."""
+    own = table.withColumn("_own", tile_level(prefix))
+    at = own.withColumn("_level", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("_own"))))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    across = at.withColumn("_tx", F.explode(F.sequence(cell(f"{prefix}x0"), cell(f"{prefix}x1"))))
+    both = across.withColumn("_ty", F.explode(F.sequence(cell(f"{prefix}y0"), cell(f"{prefix}y1"))))
+    return both.withColumn(f"{prefix}home", F.col("_own") == F.col("_level")).drop("_own")
+
 
-    Both sides are dealt to buckets of ``days`` days by each of their dates; a granule looks
-    into three, so the join is by equality and no pair of sites or years is formed in vain.
+def match_surveys(granules: DataFrame, products: DataFrame, days: int = DAYS) -> DataFrame:
+    """Granules (site, granule, begin, end, ring or rings) and products (site, scene, ref, sec, ring or
+    rings) that lie at most ``days`` apart and whose outlines meet; each pair once.
+
+    The join is by site, bucket of ``days`` days and tile. A box stands in tiles of its own size, and
+    in the tiles of each larger size that occurs, so a large outline costs no more rows than
+    a small one; a pair meets at the size of the larger. Of the buckets and tiles that a pair has in
+    common only the first one yields it, so nothing is made distinct. Records without a usable
+    outline match nothing.
     """
     bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / days)
-    box = lambda p: [F.array_min(F.transform("ring", lambda q: q["x"])).alias(p + "x0"), F.array_max(F.transform("ring", lambda q: q["x"])).alias(p + "x1"), F.array_min(F.transform("ring", lambda q: q["y"])).alias(p + "y0"), F.array_max(F.transform("ring", lambda q: q["y"])).alias(p + "y1")]
     near = F.array_distinct(F.flatten(F.array(*[F.array(bucket(F.col(c)) - 1, bucket(F.col(c)), bucket(F.col(c)) + 1) for c in ("begin", "end")])))
-    left = granules.select("*", *box("g")).withColumnRenamed("ring", "gring").withColumn("_b", F.explode(near))
-    right = products.select("*", *box("p")).withColumnRenamed("ring", "pring").withColumn("_b", F.explode(F.array_distinct(F.array(bucket(F.col("ref")), bucket(F.col("sec"))))))
-    gap = gap_days([F.col("begin"), F.col("end")], [F.col("ref"), F.col("sec")])
+    left = outlines(granules, "g").withColumn("_gb", F.filter(near, lambda b: b.isNotNull()))
+    right = outlines(products, "p").withColumn("_pb", F.filter(F.array_distinct(F.array(bucket(F.col("ref")), bucket(F.col("sec")))), lambda b: b.isNotNull()))
+    sizes = left.select(tile_level("g").alias("l")).union(right.select(tile_level("p"))).distinct()
+    levels = sorted(r.l for r in sizes.collect())  # powers of two that occur: a few dozen at most
+    left = tiled(left, "g", levels).withColumn("_b", F.explode("_gb"))
+    right = tiled(right, "p", levels).withColumn("_b", F.explode("_pb"))
+    pairs = left.join(right, ["site", "_b", "_level", "_tx", "_ty"])
+    corner = lambda c: F.floor(F.greatest(f"g{c}0", f"p{c}0") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    first = (F.col("_b") == F.array_min(F.array_intersect("_gb", "_pb"))) & (F.col("_tx") == corner("x")) & (F.col("_ty") == corner("y")) & (F.col("ghome") | F.col("phome"))
     boxes = (F.col("gx0") <= F.col("px1")) & (F.col("px0") <= F.col("gx1")) & (F.col("gy0") <= F.col("py1")) & (F.col("py0") <= F.col("gy1"))
-    pairs = left.join(right, ["site", "_b"]).withColumn("gap_days", gap).filter((F.col("gap_days") <= days) & boxes & intersects(F.col("gring"), F.col("pring")))
-    return pairs.select("site", "granule", "scene", "gap_days").distinct()
+    gap = gap_days([F.col("begin"), F.col("end")], [F.col("ref"), F.col("sec")])
+    meet = F.exists("grings", lambda a: F.exists("prings", lambda b: intersects(a, b)))
+    return pairs.filter(first & boxes).withColumn("gap_days", gap).filter((F.col("gap_days") <= days) & meet).select("site", "granule", "scene", "gap_days")
 
 
 def with_snow_off(matches: DataFrame, surfaces: DataFrame) -> DataFrame:

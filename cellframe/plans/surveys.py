@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.catalog import query
@@ -19,6 +19,43 @@ def match_surveys(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_surveys(granules(spark, d), products(spark, d)).withColumn("gap_days", F.col("gap_days").cast("long"))
 
 
+def outlined(rows: DataFrame, k: Column, w: float, h: float) -> DataFrame:
+    """Outlines by k: a box, a triangle with a repeated point, or a ring that crosses itself."""
+    at = lambda x, y: F.struct((F.col("ring")[0]["x"] + x).alias("x"), (F.col("ring")[0]["y"] + y).alias("y"))
+    triangle = F.array(at(0, 0), at(w, 0), at(w, 0), at(0, h), at(0, 0))
+    bow = F.array(at(0, 0), at(w, h), at(w, 0), at(0, h))
+    return rows.withColumn("ring", F.when(k % 3 == 0, F.col("ring")).when(k % 3 == 1, triangle).otherwise(bow))
+
+
+def outline_sql(name: str, rows: str, key: str, w: int, h: int) -> str:
+    """SQL for the edges (key, i, ax, ay, bx, by) of outlined()."""
+    corners = {0: [(0, 0), (w, 0), (w, h), (0, h)], 1: [(0, 0), (w, 0), (0, h)], 2: [(0, 0), (w, h), (w, 0), (0, h)]}
+    parts = [f"SELECT {key}, {i} AS i, x + {p[0]} AS ax, y + {p[1]} AS ay, x + {q[0]} AS bx, y + {q[1]} AS by FROM {rows} WHERE k % 3 = {m}" for m, ring in corners.items() for i, (p, q) in enumerate(zip(ring, ring[1:] + ring[:1], strict=True))]
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+SIDE = "(({1}bx - {1}ax) * ({2} - {1}ay) - ({1}by - {1}ay) * ({3} - {1}ax))"
+CROSS = " AND ".join(f"sign({SIDE.format('', a, f'{b}ay', f'{b}ax')}) * sign({SIDE.format('', a, f'{b}by', f'{b}bx')}) <= 0" for a, b in (("s.", "t."), ("t.", "s.")))
+CROSS += " AND " + " AND ".join(f"greatest({a}a{c}, {a}b{c}) >= least({b}a{c}, {b}b{c})" for a, b in (("s.", "t."), ("t.", "s.")) for c in "xy")
+
+
+@query(f"""WITH {GRANULES}, {PRODUCTS}, g AS (SELECT site, granule, b, e, x, y, granule AS k FROM gr WHERE granule % 10 > 0), p AS (SELECT site, scene, ref, sec, x, y, bytes AS k, row_number() OVER () AS id FROM pr),
+{outline_sql("ge", "g", "granule", 3, 2)}, {outline_sql("pe", "p", "id", 2, 3)},
+c AS (SELECT g.site, granule, scene, id, g.x AS gx, g.y AS gy, p.x AS px, p.y AS py, least(abs(b - ref), abs(b - sec), abs(e - ref), abs(e - sec)) AS gap_days FROM g JOIN p ON g.site = p.site AND g.x <= p.x + 2 AND p.x <= g.x + 3 AND g.y <= p.y + 3 AND p.y <= g.y + 2
+  WHERE least(abs(b - ref), abs(b - sec), abs(e - ref), abs(e - sec)) <= 5),
+hit AS (SELECT DISTINCT c.granule, c.id FROM c JOIN ge s USING (granule) JOIN pe t USING (id) WHERE {CROSS}),
+inside AS (SELECT c.granule, c.id FROM c JOIN ge s USING (granule) WHERE (s.ay > py) <> (s.by > py) AND px < (s.bx - s.ax) * (py - s.ay) / nullif(s.by - s.ay, 0) + s.ax GROUP BY c.granule, c.id HAVING count(*) % 2 = 1
+  UNION SELECT c.granule, c.id FROM c JOIN pe s USING (id) WHERE (s.ay > gy) <> (s.by > gy) AND gx < (s.bx - s.ax) * (gy - s.ay) / nullif(s.by - s.ay, 0) + s.ax GROUP BY c.granule, c.id HAVING count(*) % 2 = 1)
+SELECT site, granule, scene, gap_days, 'match' AS verdict FROM c WHERE EXISTS (SELECT 1 FROM hit WHERE hit.granule = c.granule AND hit.id = c.id) OR EXISTS (SELECT 1 FROM inside WHERE inside.granule = c.granule AND inside.id = c.id)
+UNION ALL SELECT site, granule, NULL, -1, 'snow_off_no_match_expected' FROM gr WHERE granule % 10 = 0""")
+def match_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Surveys and scenes with outlines of three kinds, and the verdicts of bare-ground surveys."""
+    g = outlined(granules(spark, d), F.col("granule"), 3.0, 2.0)
+    p = outlined(products(spark, d), F.col("bytes"), 2.0, 3.0)
+    found = matching.match_surveys(g.filter("granule % 10 > 0"), p)
+    return matching.with_snow_off(found, g.filter("granule % 10 = 0")).withColumn("gap_days", F.col("gap_days").cast("long"))
+
+
 @query("""WITH t AS (SELECT DISTINCT o_custkey % 8 AS site, CAST(o_orderdate AS DATE) AS target FROM orders), c AS (SELECT DISTINCT l_orderkey % 8 AS site, CAST(l_shipdate AS DATE) AS candidate FROM lineitem),
 p AS (SELECT t.site, target, candidate AS before FROM t ASOF LEFT JOIN c ON t.site = c.site AND target >= candidate),
 n AS (SELECT p.site, target, before, candidate AS after FROM p ASOF LEFT JOIN c ON p.site = c.site AND target <= candidate)

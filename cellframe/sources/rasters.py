@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.model import finite
+from cellframe.sources import binary
 
 TILE = 128
 
@@ -19,28 +19,61 @@ def scan_layer(spark: SparkSession, path: str, site: str | None = None, products
     return out
 
 
-def scan_fixed_width(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "<f4", r0: int = 0, c0: int = 0, nr: int | None = None, nc: int | None = None) -> DataFrame:
-    """Cells of a window of a row-major binary without header. A record is one raster row; a
-    length that is not rows x cols is an error."""
+def scan_fixed_width(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "<f4", r0: int = 0, c0: int = 0, nr: int | None = None, nc: int | None = None, with_file: bool = False) -> DataFrame:
+    """Cells of a window of a row-major binary without header, or of each in a folder; only the
+    window's bytes are read. A length that is not rows x cols is an error. NaN and infinities are missing."""
+    binary.register(spark)
+    r1, c1 = rows if nr is None else r0 + nr, cols if nc is None else c0 + nc
+    out = spark.read.format("fixed_width").options(rows=rows, cols=cols, dtype=dtype).load(path)
+    out = out.filter((F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1))
+    return out if with_file else out.drop("file")
+
+
+def write_fixed_width(cells: DataFrame, path: str, name: Column, rows: int, cols: int, dtype: str = "<f4") -> None:
+    """Dense binaries of (row, col, v), a file for each ``name``; cells that are absent or missing are
+    NaN. Lines of a file are packed one by one and meet sorted in one task, which writes them as they come."""
     import numpy as np
     import pyarrow as pa
+    from pyarrow import fs
 
-    item = np.dtype(dtype).itemsize
-    r1, c1 = r0 + (rows - r0 if nr is None else nr), c0 + (cols - c0 if nc is None else nc)
-    records = spark.sparkContext.binaryRecords(path, cols * item)
-    if records.count() != rows:
-        raise ValueError(f"the file does not hold {rows} rows of {cols} cells")
+    def pack(batches):
+        for b in batches:
+            made = []
+            for line in b.column(2).to_pylist():
+                x = np.full(cols, np.nan)
+                for c in line:
+                    if c["v"] is not None:
+                        x[c["col"]] = c["v"]
+                made.append(x.astype(dtype).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["file", "row", "line"])
+
+    def store(batches):
+        place, root = fs.FileSystem.from_uri(path)
+        place.create_dir(root, recursive=True)
+        out, now, at, done = None, None, 0, []
+        empty = np.full(cols, np.nan).astype(dtype).tobytes()
+
+        def close():
+            nonlocal out
+            if out is not None:
+                out.write(empty * (rows - at))
+                out.close()
+                done.append(now)
+            out = None
 
-    def decode(batches):
         for b in batches:
-            cells = [np.frombuffer(x.as_py(), dtype)[c0:c1].astype(float) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.float64()))], names=["row", "cells"])
-
-    numbered = records.zipWithIndex().map(lambda x: (x[1], bytes(x[0])))
-    wanted = spark.createDataFrame(numbered, "row long, record binary").filter(F.col("row").between(r0, r1 - 1))
-    lines = wanted.mapInArrow(decode, "row long, cells array<double>")
-    out = lines.select(F.col("row").cast("int").alias("row"), F.posexplode("cells").alias("at", "v"))
-    return out.select("row", (F.col("at") + c0).cast("int").alias("col"), finite(F.col("v")).alias("v"))
+            for file, row, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != now:
+                    close()
+                    out, now, at = place.open_output_stream(f"{root}/{file}"), file, 0
+                out.write(empty * (row - at) + line)
+                at = row + 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
+
+    lines = cells.groupBy(name.alias("file"), F.col("row").cast("int").alias("row")).agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("v").cast("double").alias("v"))).alias("line"))
+    packed = lines.mapInArrow(pack, "file string, row int, line binary").repartition("file").sortWithinPartitions("file", "row")
+    packed.mapInArrow(store, "file string").write.format("noop").mode("overwrite").save()
 
 
 def reconcile_shape(catalogue: DataFrame) -> DataFrame:
