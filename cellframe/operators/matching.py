@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.functions.geometry import bind
+from cellframe.sources.shared import stored
+
 DAYS = 5
 
 
@@ -43,29 +46,37 @@ def gap_days(a: list[Column], b: list[Column]) -> Column:
     return F.least(*[F.abs(F.datediff(x, y)) for x in a for y in b])
 
 
-def clean_ring(ring: Column) -> Column:
-    """A ring without points that lack a coordinate, repeat the one before, or close it; null if fewer
-    than three are left. A ring may cross itself: what it goes around an odd number of times is inside."""
-    whole = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    kept = F.filter(whole, lambda p, i: (i == 0) | ~F.coalesce(p == F.get(whole, i - 1), F.lit(False)))
-    opened = F.when((F.size(kept) > 1) & (F.get(kept, F.lit(0)) == F.get(kept, F.size(kept) - 1)), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
-    return F.when(F.size(opened) >= 3, opened)
+def clean_rings(rings: Column) -> Column:
+    """Rings without points that lack a coordinate, repeat the one before, or close the ring; those
+    with fewer than three points left go. A ring may cross itself: what it goes around an odd number
+    of times is inside. Each ring is walked once: what is bound by a lambda isn't worked out again."""
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def add(kept: Column, p: Column) -> Column:
+        skip = p["x"].isNull() | p["y"].isNull() | F.coalesce((F.get(kept, F.size(kept) - 1)["x"] == p["x"]) & (F.get(kept, F.size(kept) - 1)["y"] == p["y"]), F.lit(False))
+        return F.when(skip, kept).otherwise(F.concat(kept, F.array(F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))))
+
+    def opened(r: Column) -> Column:
+        first, last = F.get(r, F.lit(0)), F.get(r, F.size(r) - 1)
+        return F.when((F.size(r) > 1) & (first["x"] == last["x"]) & (first["y"] == last["y"]), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+
+    return F.filter(F.transform(F.transform(rings, lambda r: F.aggregate(r, none, add)), opened), lambda r: F.size(r) >= 3)
 
 
 def outlines(table: DataFrame, prefix: str) -> DataFrame:
     """``table`` with its clean outlines (``ring``, or ``rings`` of several parts) and their common box."""
     rings = F.col("rings") if "rings" in table.columns else F.array("ring")
-    clean = table.withColumn(f"{prefix}rings", F.filter(F.transform(rings, clean_ring), lambda r: r.isNotNull())).drop("ring", "rings")
-    points = F.flatten(f"{prefix}rings")
-    side = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    clean = bind(table, {f"{prefix}rings": F.coalesce(clean_rings(rings), F.array().cast("array<array<struct<x:double,y:double>>>"))}).drop("ring", "rings")
+    side = lambda f, c: f(F.transform(f"{prefix}rings", lambda r: f(F.transform(r, lambda p: p[c]))))
     box = {f"{prefix}{c}{k}": side(f, c) for c in "xy" for k, f in ((0, F.array_min), (1, F.array_max))}
-    return clean.filter(F.size(f"{prefix}rings") > 0).withColumns(box)
+    return bind(clean.filter(F.size(f"{prefix}rings") > 0), box)
 
 
 def tile_level(prefix: str) -> Column:
-    """The power of two that is at least the larger side of a box: it covers at most 2 x 2 such tiles."""
+    """The power of two that is at least four times the larger side of a box: it touches at most 2 x 2
+    such tiles, and mostly one."""
     side = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
-    return F.when(side > 0, F.greatest(F.ceil(F.log2(side)), F.lit(-1000))).otherwise(F.lit(-1000)).cast("int")
+    return F.when(side > 0, F.greatest(F.ceil(F.log2(side)) + 2, F.lit(-1000))).otherwise(F.lit(-1000)).cast("int")
 
 
 def tiled(table: DataFrame, prefix: str, levels: list[int]) -> DataFrame:
@@ -91,8 +102,11 @@ def match_surveys(granules: DataFrame, products: DataFrame, days: int = DAYS) ->
     """
     bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / days)
     near = F.array_distinct(F.flatten(F.array(*[F.array(bucket(F.col(c)) - 1, bucket(F.col(c)), bucket(F.col(c)) + 1) for c in ("begin", "end")])))
-    left = outlines(granules, "g").withColumn("_gb", F.filter(near, lambda b: b.isNotNull()))
-    right = outlines(products, "p").withColumn("_pb", F.filter(F.array_distinct(F.array(bucket(F.col("ref")), bucket(F.col("sec")))), lambda b: b.isNotNull()))
+    # written once: their sizes are asked for before they are joined
+    left, _ = stored(outlines(granules, "g"), "granules")
+    right, _ = stored(outlines(products, "p"), "products")
+    left = left.withColumn("_gb", F.filter(near, lambda b: b.isNotNull()))
+    right = right.withColumn("_pb", F.filter(F.array_distinct(F.array(bucket(F.col("ref")), bucket(F.col("sec")))), lambda b: b.isNotNull()))
     sizes = left.select(tile_level("g").alias("l")).union(right.select(tile_level("p"))).distinct()
     levels = sorted(r.l for r in sizes.collect())  # powers of two that occur: a few dozen at most
     left = tiled(left, "g", levels).withColumn("_b", F.explode("_gb"))

@@ -29,7 +29,7 @@ def test_gbt_loso_leaves_out_each_site(spark):
     got = __spark_entry__.queries()["gbt_loso"](spark, SMALL)
     sites = {r.site for r in fixtures.samples(spark, SMALL).select("site").distinct().collect()}
     assert len(sites) > 2
-    assert sorted(r.site for r in got.select("site").collect()) == sorted(sites)
+    assert sorted((r.site, r.features) for r in got.collect()) == sorted((s, f) for s in sites for f in ("all", "no_retail"))
 
 
 def test_sampled_blocks_finds_wrong_codes(spark, monkeypatch):
