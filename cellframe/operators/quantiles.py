@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.model import KEYS
-from cellframe.sources.shared import checkpoint_dir, delete, stored
+from cellframe.sources.shared import delete, stored
 
 BUCKETS = 4096
 SORTED = 1_000_000
@@ -84,7 +84,7 @@ def quantiles(cells: DataFrame, parts: dict[str, float], keys=KEYS, value: str =
     if not safe:
         named = named.withColumn("_k", F.lit(0))
     groups = named.groupBy(*by).agg(*[F.first(f"_o{i}", ignorenulls=True).alias(k) for i, k in enumerate(keys)], F.count("_x").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
-    groups = cut(groups)
+    groups, _ = stored(groups, "groups")
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("n") - 1)).alias("place")) for name, p in parts.items()])
     each = groups.filter("n > 0").select(*by, "low", "high", "n", F.explode(wanted).alias("_w")).select(*by, "low", "high", "n", "_w.name", "_w.place")
     ends = each.select("*", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"))
@@ -98,11 +98,6 @@ def quantiles(cells: DataFrame, parts: dict[str, float], keys=KEYS, value: str =
     return groups.join(wide, by, "left").select(*keys, *parts)
 
 
-def cut(groups: DataFrame) -> DataFrame:
-    checkpoint_dir(groups.sparkSession)
-    return groups.checkpoint()
-
-
 def joined(table: DataFrame, other: DataFrame, keys) -> DataFrame:
     """Two tables of one row a group side by side; null keys are equal."""
     keys = list(keys)
