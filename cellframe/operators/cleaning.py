@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellframe.model import KEYS
+from cellframe.model import KEYS, finite
+from cellframe.operators import tiles
 
 # Undeclared fills, ranges and spike tolerances by kind of layer. None is unbounded.
 SENTINELS = (-3.4028234663852886e38, -10000.0, -9999.0)
@@ -106,15 +109,38 @@ def fill_gaps(dense: DataFrame, passes: int = GAP_PASSES, keys=KEYS, v: str = "v
     return dense
 
 
-def clean_layer(dense: DataFrame, kind: str, keys=KEYS) -> DataFrame:
-    """Sentinels, range, spikes and gaps of one kind of layer; complex layers don't come here."""
+def clean_layer(cells: DataFrame, kind: str, keys=KEYS, side: int = tiles.SIDE) -> DataFrame:
+    """Sentinels, range, spikes and gaps of one kind of layer, all in tiles with a border: one exchange.
+
+    ``cells`` is (keys, row, col, v, height, width), sparse or dense. Returns the cells that are there before
+    or after: ``v``, ``before``, ``removed`` (the step that took the value: sentinels, out_of_range,
+    spikes) and ``filled`` (a gap got a value, also one that a step made). Layers of less than three rows
+    or columns have no spikes and no gaps. Complex layers don't come here.
+    """
     low, high = BUILD_RANGES.get(kind, (None, None))
-    v = strip_sentinels(F.col("v"))
-    inside = (v >= low if low is not None else F.lit(True)) & (v <= high if high is not None else F.lit(True))
-    out = dense.withColumn("before", F.col("v")).withColumn("v", F.when(inside, v))
-    if kind in SPIKES:
-        out = spike_screen(out, F.lit(SPIKES[kind]), keys)
-    return fill_gaps(out, keys=keys)
+    tolerance = SPIKES.get(kind)
+
+    def work(tile: tiles.Tile, pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        v = tile.v
+        removed = np.full(v.shape, None, dtype=object)
+
+        def take(hit: np.ndarray, step: str) -> None:
+            nonlocal v
+            removed[hit] = step
+            v = np.where(hit, np.nan, v)
+
+        take(np.isin(v, SENTINELS), "sentinels")
+        if low is not None or high is not None:
+            take((v < (-np.inf if low is None else low)) | (v > (np.inf if high is None else high)), "out_of_range")
+        wide = tile.height > 2 and tile.width > 2
+        if wide and tolerance is not None:
+            take(tiles.spikes(v, tolerance), "spikes")
+        after = tiles.filled(v, GAP_PASSES) if wide else v
+        got = np.where(np.isnan(v) & ~np.isnan(after), True, None)
+        return {"v": tile.inner(after), "before": tile.inner(tile.v), "removed": tile.inner(removed), "filled": tile.inner(got)}
+
+    out = tiles.applied(cells, work, "v double, before double, removed string, filled boolean", 1 + GAP_PASSES, keys, side)
+    return out.withColumns({"v": finite(F.col("v")), "before": finite(F.col("before")), "filled": F.coalesce("filled", F.lit(False))})
 
 
 def cleaning_counts(cleaned: DataFrame, keys=KEYS) -> DataFrame:
@@ -122,6 +148,17 @@ def cleaning_counts(cleaned: DataFrame, keys=KEYS) -> DataFrame:
     return cleaned.groupBy(*keys).agg(F.count_if(gone).alias("removed"), F.count_if(made).alias("filled"))
 
 
+def cleaning_steps(cleaned: DataFrame, keys=KEYS) -> DataFrame:
+    """A counter for each step of clean_layer(), what was taken in all, and why a layer is empty.
+
+    A value that a step took and a gap's pass put back counts in both. ``empty_reason`` is set
+    where nothing is left: ``no_valid_input_cells`` if nothing was there, else ``every value was removed``.
+    """
+    step = {s: F.count_if(F.col("removed") == s).alias(s) for s in ("sentinels", "out_of_range", "spikes")}
+    reason = F.when(F.count("v") > 0, None).when(F.count("before") == 0, "no_valid_input_cells").otherwise("every value was removed")
+    return cleaned.groupBy(*keys).agg(*step.values(), F.count_if("filled").alias("gaps_filled"), F.count("removed").alias("removed_total"), F.count("v").alias("valid"), reason.alias("empty_reason"))
+
+
 def swath_mask(channels: DataFrame, layers: DataFrame, scene=("scene",), names=("amp1", "amp2", "cor")) -> DataFrame:
     """Cells of ``layers`` only where every channel that the scene has is there and not zero.
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cellframe.catalog import query
 from cellframe.functions import geometry, values
+from cellframe.model import finite, shape_of
 from cellframe.model import rounded as r
-from cellframe.model import shape_of
-from cellframe.operators import blocks, cleaning, compare, components, regrid, stats, stencils
+from cellframe.operators import blocks, cleaning, compare, components, regrid, stats, stencils, tiles
 from cellframe.plans.fixtures import CHANNELS, G_COMPLEX, G_EMB, G_EVENTS, G_ORDERS, SHAPE, channels, dense, g_complex, g_emb, g_events, g_orders, shaped
 
 BLOCK_SQL = """SELECT row // 5 AS brow, col // 5 AS bcol, {0} FROM g, s WHERE row < height // 5 * 5 AND col < width // 5 * 5 GROUP BY row // 5, col // 5"""
@@ -227,7 +227,31 @@ sp AS (SELECT row, col, CASE WHEN v IS NOT NULL AND l IS NOT NULL AND r IS NOT N
 {NEAR.format('sp', 'n1')}{FILL.format('n1', 'f1')}{NEAR.format('f1', 'n2')}{FILL.format('n2', 'f2')}
 SELECT count(*) FILTER (WHERE g.v IS NOT NULL AND f2.v IS NULL) AS removed, count(*) FILTER (WHERE g.v IS NULL AND f2.v IS NOT NULL) AS filled FROM g JOIN f2 ON g.row = f2.row AND g.col = f2.col""")
 def clean_layer(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.cleaning_counts(cleaning.clean_layer(dense(g_events(spark, d)), "VH")).select("removed", "filled")
+    return cleaning.cleaning_counts(cleaning.clean_layer(shaped(g_events(spark, d)), "VH")).select("removed", "filled")
+
+
+@query(f"""WITH {G_EVENTS}, o AS (SELECT row, col, CASE WHEN row % 97 = 3 AND col % 7 = 0 AND v IS NOT NULL THEN -9999 WHEN row % 31 = 5 AND col % 5 = 0 THEN v + 200 ELSE v END AS v FROM g),
+k AS (SELECT row, col, CASE WHEN v BETWEEN -1 AND 120 THEN v END AS v, v AS before FROM o){NEAR.format('k', 'n0')},
+sp AS (SELECT row, col, CASE WHEN v IS NOT NULL AND l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND w IS NOT NULL AND abs(v - (l + r + u + w - least(l, r, u, w) - greatest(l, r, u, w)) / 2) > 30 THEN NULL ELSE v END AS v FROM n0)
+{NEAR.format('sp', 'n1')}{FILL.format('n1', 'f1')}{NEAR.format('f1', 'n2')}{FILL.format('n2', 'f2')}
+SELECT count(*) FILTER (WHERE k.before = -9999) AS sentinels, count(*) FILTER (WHERE k.before <> -9999 AND k.v IS NULL) AS out_of_range, count(*) FILTER (WHERE k.v IS NOT NULL AND sp.v IS NULL) AS spikes, count(*) FILTER (WHERE sp.v IS NULL AND f2.v IS NOT NULL) AS gaps_filled,
+count(*) FILTER (WHERE k.before IS NOT NULL AND sp.v IS NULL) AS removed_total, count(f2.v) AS valid, CAST(NULL AS VARCHAR) AS empty_reason FROM k JOIN sp USING (row, col) JOIN f2 USING (row, col)""")
+def cleaning_steps(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of cleaning did to a layer with undeclared fills and values out of range in it."""
+    at = lambda c, m, k: F.col(c) % m == k
+    v = F.when(at("row", 97, 3) & at("col", 7, 0) & F.col("v").isNotNull(), -9999.0).when(at("row", 31, 5) & at("col", 5, 0), F.col("v") + 200).otherwise(F.col("v"))
+    cells = g_events(spark, d).withColumn("v", v)
+    return cleaning.cleaning_steps(cleaning.clean_layer(shaped(cells), "VH")).drop("layer")
+
+
+@query(f"""WITH {G_EVENTS}, s AS (SELECT max(row) + 1 AS height, max(col) + 1 AS width, avg(v) AS m FROM g){HORN.format(FILLED)},
+q AS (SELECT a.row, a.col, a.v IS NOT NULL AND count(b.v) = count(*) AS whole FROM g a LEFT JOIN g b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.row, a.col, a.v)
+SELECT row, col, round(CASE WHEN whole THEN degrees(atan(sqrt(dx * dx + dy * dy))) END, 6) AS slope, round(CASE WHEN whole AND sqrt(dx * dx + dy * dy) >= 1e-9 THEN ((degrees(atan2(-dx, -dy)) % 360) + 360) % 360 END, 6) AS aspect,
+round(-dx / sqrt(dx * dx + dy * dy + 1), 6) AS nx, round(-dy / sqrt(dx * dx + dy * dy + 1), 6) AS ny, round(1 / sqrt(dx * dx + dy * dy + 1), 6) AS nz FROM gd JOIN q USING (row, col) WHERE v IS NOT NULL""")
+def terrain_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Slope, aspect and normals of a layer with holes, in one pass over its tiles."""
+    out = tiles.terrain(shaped(g_events(spark, d)), 3.0)
+    return out.select("row", "col", *[r(finite(F.col(c))).alias(c) for c in ("slope", "aspect", "nx", "ny", "nz")])
 
 
 DESPECKLE = f"""WITH RECURSIVE {G_EVENTS}, ok AS (SELECT row, col FROM g WHERE v >= 20),
