@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.sources.shared import delete, stored
+
 COLUMNS = ("site", "layer", "check", "severity", "detail")
 
 
@@ -60,24 +62,83 @@ def swath_subset(cells: DataFrame, reference: str = "amp1") -> DataFrame:
     )
 
 
-def empty_chains(layers: DataFrame, most: int = 1000) -> DataFrame:
+def derivation_ends(layers: DataFrame, ends: Column) -> DataFrame:
+    """Where each layer's chain of sources ends: (layer, end, steps, circular).
+
+    ``layers`` is (layer, derived_from, ...), one row a layer; rows without a name are left out. A chain goes on until
+    ``ends`` holds or there is no such source; ``steps`` are the links followed. One that never ends is
+    circular: its end is the circle's least layer, its steps go once around. Pointers double in length
+    each round, so a chain of n links takes about log2(n) rounds, each a join by layer.
+    """
+    spark = layers.sparkSession
+    named = layers.filter("layer is not null").select("layer", "derived_from", F.coalesce(ends, F.lit(False)).alias("_ends"))
+    known = named.select(F.col("layer").alias("derived_from"), F.lit(True).alias("_known"))
+    on_itself = ~F.col("_ends") & (F.col("derived_from") == F.col("layer"))  # the smallest circle, known at once
+    goes = ~F.col("_ends") & F.col("_known").isNotNull() & ~F.coalesce(on_itself, F.lit(False))
+    first = named.join(known, "derived_from", "left").select(
+        "layer", F.when(goes, F.col("derived_from")).otherwise(F.col("layer")).alias("end"), goes.cast("long").alias("steps"), goes.alias("open"), F.col("layer").alias("least"), F.coalesce(on_itself, F.lit(False)).alias("loop"),
+    )
+    links, links_path = stored(first, "links")
+    count = links.count()
+
+    def doubled(state: DataFrame, path: str) -> tuple[DataFrame, str]:
+        """Pointers at the ends of all chains; those in or into a circle stay open."""
+        reach = 1
+        while reach <= 2 * count and not state.filter("open").isEmpty():
+            on = state.select(F.col("layer").alias("end"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("open").alias("_open"), F.col("least").alias("_least"), F.col("loop").alias("_loop"))
+            moved = state.filter("open").join(on, "end").select("layer", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_open").alias("open"), F.least("least", "_least").alias("least"), F.col("_loop").alias("loop"))
+            last = path
+            state, path = stored(state.filter("not open").unionByName(moved), "links")
+            if last != links_path:
+                delete(spark, last)
+            reach *= 2
+        return state, path
+
+    state, path = doubled(links, links_path)
+    done = state.filter("not open").select("layer", "end", "steps", F.col("loop").alias("circular"))
+    if state.filter("open").isEmpty():
+        return done
+    # after as many steps as there are layers every open pointer is on its circle
+    on_circle = state.filter("open").select(F.col("end").alias("layer")).distinct()
+    circles = state.join(on_circle, "layer", "left_semi").select("layer", F.col("least").alias("circle"))
+    sizes = circles.groupBy("circle").agg(F.count("*").alias("_size"))
+    again = links.join(state.filter("open").select("layer"), "layer", "left_semi").join(on_circle.withColumn("_on", F.lit(True)), "layer", "left")
+    stop = F.col("_on").isNotNull()
+    tails = again.select("layer", F.when(stop, F.col("layer")).otherwise(F.col("end")).alias("end"), F.when(stop, 0).otherwise(F.col("steps")).cast("long").alias("steps"), (~stop).alias("open"), "least", "loop")
+    reached, _ = doubled(*stored(tails, "links"))
+    round_ = reached.join(circles.withColumnRenamed("layer", "end"), "end").join(sizes, "circle")
+    return done.unionByName(round_.select("layer", F.col("circle").alias("end"), (F.col("steps") + F.col("_size") - 1).alias("steps"), F.lit(True).alias("circular")))
+
+
+def empty_chains(layers: DataFrame) -> DataFrame:
     """Empty layers whose emptiness nothing explains. (layer, derived_from, valid, reason).
 
     An empty layer is explained by its own reason or by an empty source that is; a chain that
-    ends in a layer with cells, that goes in a circle or that ends nowhere is not. A chain of
-    more than ``most`` steps is an error.
+    ends in a layer with cells, that goes in a circle or that ends nowhere is not.
     """
-    return layers.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(layer, at, reason, valid, seen, step) MAX RECURSION LEVEL {most} AS (
-          SELECT layer, derived_from, reason, valid, array(layer), 0 FROM {{chain}} WHERE valid = 0
-          UNION ALL
-          SELECT w.layer, l.derived_from, l.reason, l.valid, array_append(w.seen, l.layer), w.step + 1
-          FROM walk w JOIN {{chain}} l ON w.at = l.layer
-          WHERE w.valid = 0 AND w.reason IS NULL AND NOT array_contains(w.seen, l.layer))
-        SELECT layer, bool_or(valid = 0 AND reason IS NOT NULL) AS explained, max(step) AS steps FROM walk GROUP BY layer""",
-        chain=layers,
-    )
+    empty = F.coalesce(F.col("valid") == 0, F.lit(False))
+    ends = derivation_ends(layers, ~empty | F.col("reason").isNotNull())
+    reasons = layers.select(F.col("layer").alias("end"), (empty & F.col("reason").isNotNull()).alias("explained"))
+    mine = ends.join(layers.filter(empty).select("layer"), "layer", "left_semi")
+    return mine.join(reasons, "end").select("layer", (F.col("explained") & ~F.col("circular")).alias("explained"), F.col("steps").cast("int").alias("steps"))
+
+
+def empty_verdicts(layers: DataFrame) -> DataFrame:
+    """Findings on empty layers: a warning where a recorded step explains it, else a failure.
+
+    ``layers`` is (site, layer, leaf, derived_from, valid, reason, zero_mask, zeros_masked). A reason of
+    ``unwrapper_zero_fill`` holds for unwrapped phase whose mask of zero fills was applied and took
+    cells; ``no_valid_input_cells`` where the direct source is empty, too, and the chain of empty
+    sources isn't circular. Nothing else explains.
+    """
+    empty = F.coalesce(F.col("valid") == 0, F.lit(False))
+    ends = derivation_ends(layers, ~empty).select("layer", "circular")
+    sources = layers.filter(empty).select(F.col("layer").alias("derived_from"), F.lit(True).alias("_empty_source"))
+    rows = layers.filter(empty).join(ends, "layer", "left").join(sources, "derived_from", "left")
+    unwrapped = (F.col("reason") == "unwrapper_zero_fill") & (F.col("leaf") == "unw") & (F.col("zero_mask") == "applied") & (F.col("zeros_masked") > 0)
+    derived = (F.col("reason") == "no_valid_input_cells") & F.col("_empty_source").isNotNull() & ~F.col("circular")
+    fine = F.coalesce(unwrapped, F.lit(False)) | F.coalesce(derived, F.lit(False))
+    return rows.select("site", "layer", F.lit("empty").alias("check"), F.when(fine, "warn").otherwise("fail").alias("severity"), F.when(fine, F.col("reason")).alias("detail"))
 
 
 def unequal_columns(matches: DataFrame, columns: list[str]) -> DataFrame:

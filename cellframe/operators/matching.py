@@ -215,36 +215,53 @@ def collision_check(products: DataFrame) -> DataFrame:
     return products.groupBy("level", "group").agg(F.countDistinct("scene").alias("scenes")).filter("scenes > 1")
 
 
-def hull(points: DataFrame, keys: list[str], kinds: str = "site int") -> DataFrame:
-    """Convex hull, counter-clockwise, of each key's points (x, y).
+def ring(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Convex hull, counter-clockwise from the least point; without points on its edges."""
+    points = sorted(set(points))
+
+    def half(points: list) -> list:
+        out: list = []
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    return points if len(points) < 3 else half(points)[:-1] + half(points[::-1])[:-1]
+
 
-    Of points with the same x only the lowest and highest count, which shrinks groups before
-    they are walked around in Python.
+def hull(points: DataFrame, keys: list[str], kinds: str = "site int", fan: int = 32) -> DataFrame:
+    """Convex hull (keys, n, x, y), counter-clockwise, of each key's points (x, y).
+
+    Each batch of rows is thinned to its own hulls before anything moves; a key's partial hulls then meet in
+    ``fan`` groups, and these in one, so no task holds a key's points, only hulls. Points with a null
+    coordinate don't count; a null key is a key; one or two different points are their own hull.
     """
     import pandas as pd
 
-    ends = points.groupBy(*keys, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    thin = ends.select(*keys, "x", F.explode(F.array("lo", "hi")).alias("y")).distinct()
+    def thinned(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+        out = []
+        for _, group in pdf.groupby(by, dropna=False, sort=False):
+            some = pd.DataFrame(ring(list(zip(group["x"], group["y"], strict=True))), columns=["x", "y"])
+            for k in by:
+                some[k] = pd.Series([group[k].iat[0]] * len(some), dtype=object)
+            out.append(some)
+        return pd.concat(out)[[*by, "x", "y"]] if out else pdf
+
+    def batches(frames):
+        for pdf in frames:
+            yield thinned(pdf, keys)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(set(zip(pdf["x"], pdf["y"], strict=True)))
-
-        def half(points) -> list:
-            out: list = []
-            for q in points:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out
-
-        ring = p if len(p) < 3 else half(p)[:-1] + half(p[::-1])[:-1]
-        out = pd.DataFrame(ring, columns=["x", "y"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        out.insert(len(keys), "n", range(len(ring)))
+        out = thinned(pdf[[*keys, "x", "y"]], keys)
+        out.insert(len(keys), "n", range(len(out)))
         return out
 
-    return thin.groupBy(*keys).applyInPandas(walk, f"{kinds}, n int, x double, y double")
+    some = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    partial = some.mapInPandas(batches, f"{kinds}, x double, y double")
+    dealt = partial.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(fan)).cast("int"))
+    merged = dealt.groupBy(*keys, "_part").applyInPandas(lambda pdf: thinned(pdf[[*keys, "x", "y"]], keys), f"{kinds}, x double, y double")
+    return merged.groupBy(*keys).applyInPandas(walk, f"{kinds}, n int, x double, y double")
 
 
 def site_bounds(footprints: DataFrame, key: str = "site") -> DataFrame:

@@ -54,6 +54,22 @@ def audit_empty_chain(spark: SparkSession, d: str) -> DataFrame:
     return audit.empty_chains(layers)
 
 
+@query("""WITH RECURSIVE l AS (SELECT c_custkey AS layer, c_custkey % 8 AS site, CASE WHEN c_custkey % 3 = 0 THEN 'unw' ELSE 'cor' END AS leaf, CASE WHEN c_custkey % 40 = 7 THEN c_custkey + 3 WHEN c_custkey % 5 > 0 THEN c_custkey - 1 END AS src,
+CASE WHEN c_custkey % 11 < 8 THEN 0 ELSE 1 END AS valid, CASE WHEN c_custkey % 4 = 1 THEN 'unwrapper_zero_fill' WHEN c_custkey % 4 > 1 THEN 'no_valid_input_cells' END AS reason, CASE WHEN c_nationkey % 2 = 0 THEN 'applied' END AS mask, c_nationkey % 4 AS zeros FROM customer),
+w AS (SELECT layer, src AS at, [layer] AS seen, false AS circular FROM l WHERE valid = 0 UNION ALL SELECT w.layer, l.src, list_append(w.seen, l.layer), list_contains(w.seen, l.layer) FROM w JOIN l ON w.at = l.layer WHERE l.valid = 0 AND NOT w.circular),
+c AS (SELECT layer, bool_or(circular) AS circular FROM w GROUP BY layer),
+v AS (SELECT l.*, coalesce(l.reason = 'unwrapper_zero_fill' AND l.leaf = 'unw' AND l.mask = 'applied' AND l.zeros > 0, false) OR coalesce(l.reason = 'no_valid_input_cells' AND s.valid = 0 AND NOT c.circular, false) AS fine FROM l JOIN c USING (layer) LEFT JOIN l s ON l.src = s.layer WHERE l.valid = 0)
+SELECT site, layer, 'empty' AS "check", CASE WHEN fine THEN 'warn' ELSE 'fail' END AS severity, CASE WHEN fine THEN reason END AS detail FROM v""")
+def audit_empty_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as layers that derive from each other, in chains and circles, with reasons for being empty."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    layers = read(spark, d, "customer").select(
+        (k % 8).alias("site"), k.alias("layer"), F.when(k % 3 == 0, "unw").otherwise("cor").alias("leaf"), F.when(k % 40 == 7, k + 3).when(k % 5 > 0, k - 1).alias("derived_from"), F.when(k % 11 < 8, 0).otherwise(1).alias("valid"),
+        F.when(k % 4 == 1, "unwrapper_zero_fill").when(k % 4 > 1, "no_valid_input_cells").alias("reason"), F.when(n % 2 == 0, "applied").alias("zero_mask"), (n % 4).alias("zeros_masked"),
+    )
+    return audit.empty_verdicts(layers)
+
+
 @query("SELECT c_custkey AS \"group\" FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def hollow_groups(spark: SparkSession, d: str) -> DataFrame:
     g = read(spark, d, "customer").select(F.col("c_custkey").alias("group"))

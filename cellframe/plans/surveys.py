@@ -163,7 +163,12 @@ def grid_from_bounds(spark: SparkSession, d: str) -> DataFrame:
     return geometry.derive_grid(b, 0.5, 0.25, 3.0)
 
 
-@query()
+@query(f"""WITH {GRANULES}, c AS (SELECT site, x + unnest([0, 3, 3, 0]) AS x, y + unnest([0, 0, 2, 2]) AS y FROM gr), m AS (SELECT site, x, min(y) AS lo, max(y) AS hi FROM c GROUP BY site, x),
+p AS (SELECT DISTINCT site, x, unnest([lo, hi]) AS y FROM m),
+e AS (SELECT a.site, a.x, a.y, b.x AS tx, b.y AS ty FROM p a JOIN p b ON a.site = b.site AND (a.x <> b.x OR a.y <> b.y) JOIN p q ON a.site = q.site GROUP BY ALL
+HAVING bool_and((b.x - a.x) * (q.y - a.y) - (b.y - a.y) * (q.x - a.x) > 0 OR ((b.x - a.x) * (q.y - a.y) = (b.y - a.y) * (q.x - a.x) AND (q.x - a.x) * (q.x - b.x) + (q.y - a.y) * (q.y - b.y) <= 0))),
+o AS (SELECT *, (tx, ty) > (x, y) AS up FROM e)
+SELECT CAST(site AS INTEGER) AS site, CAST(row_number() OVER (PARTITION BY site ORDER BY up DESC, CASE WHEN up THEN x ELSE -x END, CASE WHEN up THEN y ELSE -y END) - 1 AS INTEGER) AS n, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM o""")
 def convex_hull(spark: SparkSession, d: str) -> DataFrame:
     p = granules(spark, d).select(F.col("site").cast("int").alias("site"), F.explode("ring").alias("p")).select("site", "p.x", "p.y")
     return matching.hull(p, ["site"])

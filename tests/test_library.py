@@ -97,6 +97,28 @@ def test_nearest_date_takes_the_earlier_of_two(spark):
     assert [(r.site, r.candidate) for r in matching.nearest_date(t, c).orderBy("site").collect()] == [(1, dt.date(2020, 1, 1)), (2, None)]
 
 
+def test_hulls_of_batches_merge(spark):
+    import math
+    import random
+
+    pick = random.Random(9)
+    inner = [(pick.uniform(-70, 70), pick.uniform(-70, 70)) for _ in range(3000)]
+    rim = [(100 * math.cos(t / 50 * math.tau), 100 * math.sin(t / 50 * math.tau)) for t in range(50)]
+    rows = [(1, *p) for p in inner + rim + rim] + [(None, 0.0, 0.0), (None, 2.0, 0.0), (None, 1.0, 0.0), (2, None, 1.0), (3, 5.0, 5.0), (3, 5.0, 5.0)]
+    points = spark.createDataFrame(rows, "site int, x double, y double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = matching.hull(points, ["site"]).orderBy("site", "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.x, r.y) for r in got if r.site == 1} == set(rim)
+    around = [math.atan2(r.y, r.x) for r in got if r.site == 1]
+    assert sum(b < a for a, b in zip(around, around[1:])) == 1 or around == sorted(around)
+    assert [(r.x, r.y) for r in got if r.site is None] == [(0, 0), (2, 0)]
+    assert [(r.x, r.y) for r in got if r.site == 3] == [(5, 5)]
+    assert not [r for r in got if r.site == 2]
+
+
 def test_hull_leaves_out_inner_points(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 2.0, 2.0), (1, 0.0, 2.0), (1, 1.0, 1.0)], "site int, x double, y double")
     assert [(r.x, r.y) for r in matching.hull(p, ["site"]).orderBy("n").collect()] == [(0, 0), (2, 0), (2, 2), (0, 2)]
@@ -116,14 +138,45 @@ def test_ingest_stores_each_cell_once_and_loses_none(spark, tmp_path):
     assert sorted((r.layer, r.col, r.v) for r in read_cells(spark, out).collect()) == [("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 2.0)]
 
 
-def test_long_chains_are_followed_or_refused(spark):
+def test_long_chains_are_followed(spark):
     from cellframe.operators.audit import empty_chains
 
-    rows = [(i, i + 1 if i < 60 else None, 0, "dry" if i == 60 else None) for i in range(61)]
-    layers = spark.createDataFrame(rows, "layer long, derived_from long, valid int, reason string")
-    assert all(r.explained for r in empty_chains(layers).collect())
-    with pytest.raises(Exception, match="(?i)recursion"):
-        empty_chains(layers, most=10).collect()
+    n = 10_000
+    layers = spark.range(n + 1).selectExpr("id AS layer", f"if(id < {n}, id + 1, null) AS derived_from", "0 AS valid", f"if(id = {n}, 'dry', null) AS reason")
+    assert {(r.layer, r.explained, r.steps) for r in empty_chains(layers).collect()} == {(i, True, n - i) for i in range(n + 1)}
+
+
+def test_chains_and_circles_equal_a_walk(spark):
+    import random
+
+    from cellframe.operators.audit import derivation_ends, empty_verdicts
+
+    pick = random.Random(5)
+    links = {i: pick.choice([None, 999, pick.randrange(80), pick.randrange(80), i if i % 19 == 0 else i - 1]) for i in range(80)}
+    ends = {i: pick.random() < 0.1 for i in links}
+    layers = spark.createDataFrame([(i, links[i], ends[i]) for i in links] + [(None, 3, False)], "layer long, derived_from long, stop boolean")
+
+    def walk(i):
+        seen = [i]
+        while not ends[seen[-1]] and links[seen[-1]] in links:
+            step = links[seen[-1]]
+            if step in seen:
+                return min(seen[seen.index(step) :]), len(seen) - 1, True
+            seen.append(step)
+        return seen[-1], len(seen) - 1, False
+
+    got = {r.layer: (r.end, r.steps, r.circular) for r in derivation_ends(layers, F.col("stop")).collect()}
+    assert got == {i: walk(i) for i in links}
+    assert len({c for _, _, c in got.values()}) == 2
+    schema = "site long, layer string, leaf string, derived_from string, valid int, reason string, zero_mask string, zeros_masked long"
+    rows = [
+        (1, "a", "unw", None, 0, "unwrapper_zero_fill", "applied", 3), (1, "b", "unw", None, 0, "unwrapper_zero_fill", "applied", 0), (1, "c", "cor", None, 0, "unwrapper_zero_fill", "applied", 3),
+        (1, "d", "hgt", "a", 0, "no_valid_input_cells", None, None), (1, "e", "hgt", "full", 0, "no_valid_input_cells", None, None), (1, "f", "hgt", "g", 0, "no_valid_input_cells", None, None),
+        (1, "g", "hgt", "f", 0, "no_valid_input_cells", None, None), (1, "h", "hgt", "gone", 0, None, None, None), (1, "full", "hgt", None, 9, None, None, None), (1, "odd", "hgt", "a", None, "no_valid_input_cells", None, None),
+    ]
+    found = {r.layer: r.severity for r in empty_verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {"a": "warn", "b": "fail", "c": "fail", "d": "warn", "e": "fail", "f": "fail", "g": "fail", "h": "fail"}
+    assert empty_verdicts(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_rotated_grids_are_refused(spark):
