@@ -139,9 +139,9 @@ def gbt_loso(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    s = samples.site_weights(sample_rows(spark, d))
-    fitted = learning.Fitted(s.filter("site <> 0"), FEATURES[:3], "forest", numTrees=3, maxDepth=4)
-    return samples.importance_share(learning.permutation_importance(fitted, s.filter("site = 0"), ["order_key", "line", "y"], repeats=1))
+    """All features, three repeats, each site by a model of the others."""
+    each = learning.importances_of_sites(sample_rows(spark, d), FEATURES, ["order_key", "line", "y"], **FEW)
+    return samples.importance_share(each)
 
 
 @query()
