@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.catalog import query
-from cellframe.functions import values
+from cellframe.functions import strict, values
 from cellframe.operators import audit, blocks, cleaning
 from cellframe.plans.fixtures import CHANNELS, G_EVENTS, SHAPE, channels, g_events, read, shaped
 
@@ -157,3 +157,19 @@ def unequal_columns(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")
     m = o.select((F.col("o_custkey") % 8).alias("site"), F.col("o_orderkey").alias("match"), F.array(F.lit(1), F.lit(2)).alias("dates"), F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("gaps"))
     return audit.unequal_columns(m, ["dates", "gaps"]).select("site", "match")
+
+
+@query("""WITH j AS (SELECT p_partkey AS layer, p_size, CASE p_partkey % 7 WHEN 0 THEN '{"units":"m","size":' || p_size || '}' WHEN 1 THEN '{"units":"m","size":1,"units":"' || p_type || '"}' WHEN 2 THEN '{"in":{"size":1,"size":' || p_size || '}}'
+WHEN 3 THEN '{"size":' || p_size WHEN 4 THEN '{"size":' || p_size || '} end' WHEN 5 THEN '[{"size":1},{"size":' || p_size || '}]' END AS text FROM part)
+SELECT layer, CASE WHEN text IS NULL THEN NULL WHEN NOT json_valid(text) THEN 'malformed' WHEN len(json_keys(text)) <> len(list_distinct(json_keys(text))) OR coalesce(len(json_keys(text, '$.in')) <> len(list_distinct(json_keys(text, '$.in'))), false) THEN 'duplicate_key' END AS fault,
+CASE layer % 4 WHEN 0 THEN '"nan"' WHEN 1 THEN '"inf"' WHEN 2 THEN '"-inf"' ELSE CAST(CAST(p_size AS DOUBLE) AS VARCHAR) END AS number,
+'{"cleaning_size":"' || p_size || '","valid_fraction":' || CASE WHEN p_size % 2 = 0 THEN '"0.5"' ELSE 'null' END || '}' AS snapshot FROM j""")
+def json_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes as JSON with planted faults, numbers that aren't finite, and what of an attribute map is kept."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(k % 7 == 0, F.concat(F.lit('{"units":"m","size":'), size, F.lit("}"))).when(k % 7 == 1, F.concat(F.lit('{"units":"m","size":1,"units":"'), "p_type", F.lit('"}')))
+    text = text.when(k % 7 == 2, F.concat(F.lit('{"in":{"size":1,"size":'), size, F.lit("}}"))).when(k % 7 == 3, F.concat(F.lit('{"size":'), size))
+    text = text.when(k % 7 == 4, F.concat(F.lit('{"size":'), size, F.lit("} end"))).when(k % 7 == 5, F.concat(F.lit('[{"size":1},{"size":'), size, F.lit("}]")))
+    number = F.when(k % 4 == 0, float("nan")).when(k % 4 == 1, float("inf")).when(k % 4 == 2, -float("inf")).otherwise(F.col("p_size").cast("double"))
+    attributes = F.create_map(F.lit("valid_fraction"), F.when(F.col("p_size") % 2 == 0, "0.5"), F.lit("units"), F.lit("m"), F.lit("cleaning_size"), size)
+    return read(spark, d, "part").select(k.alias("layer"), strict.json_fault(text).alias("fault"), strict.finite_text(number).alias("number"), strict.snapshot(attributes, ("cleaning_", "value_"), ("valid_fraction",)).alias("snapshot"))
