@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.functions.geometry import bind
+from cellframe.functions.geometry import Crs, bind
 from cellframe.sources.shared import stored
 
 DAYS = 5
@@ -165,6 +165,14 @@ def locate_points(points: DataFrame, grids: DataFrame, site: str = "site") -> Da
     return out.filter((F.col("row") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") >= 0) & (F.col("col") < F.col("width")))
 
 
+def point_values(points: DataFrame, grids: DataFrame, cells: DataFrame, crs: Crs, site: str = "site") -> DataFrame:
+    """Points (site, lon, lat) projected onto their site's grid, each with the value of the cell (site,
+    row, col, v) that holds it; null in a hole. Points off the grid or without a position are left out."""
+    x, y = crs.of_lonlat(F.col("lon"), F.col("lat"))
+    located = locate_points(bind(points, {"x": x, "y": y}), grids, site)
+    return located.join(cells.select(site, "row", "col", "v"), [site, "row", "col"], "left")
+
+
 def match_bridge(matches: DataFrame, groups: DataFrame) -> DataFrame:
     """Per merged acquisition its (date, gap, product) matches, distinct and in order."""
     entry = F.struct("date", "gap_days", "product")

@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def sample_table(scenes: DataFrame, matches: DataFrame, labels: DataFrame, static: DataFrame, least: float = 0.8) -> DataFrame:
+def sample_table(scenes: DataFrame, matches: DataFrame, labels: DataFrame, static: DataFrame, least: float = 0.8, canopy: DataFrame | None = None) -> DataFrame:
     """A row for each block, survey date and scene: features, label and terrain. Blocks count
-    where label and local incidence cover enough of them."""
+    where label and local incidence cover enough of them.
+
+    ``canopy`` (site, date, brow, bcol, ...) is joined at the date nearest the survey's, of two as near the earlier,
+    named ``canopy_date``; blocks that it lacks, and sites without any, keep their rows with nulls.
+    """
+    if canopy is not None:
+        from cellframe.operators.matching import nearest_date
+
+        days = canopy.select("site", F.col("date").alias("candidate")).distinct()
+        near = nearest_date(matches.select("site", F.col("date").alias("target")), days).select("site", F.col("target").alias("date"), F.col("candidate").alias("canopy_date"))
+        matches = matches.join(near, ["site", "date"], "left")
     out = matches.join(scenes, ["site", "scene"]).join(labels, ["site", "date", "brow", "bcol"]).join(static, ["site", "brow", "bcol"])
-    return out.filter((F.col("label_coverage") >= least) & (F.col("inc_coverage") >= least))
+    out = out.filter((F.col("label_coverage") >= least) & (F.col("inc_coverage") >= least))
+    return out if canopy is None else out.join(canopy.withColumnRenamed("date", "canopy_date"), ["site", "canopy_date", "brow", "bcol"], "left")
 
 
 def sample_per_group(rows: DataFrame, group: list[str], n: int, order: Column) -> DataFrame:

@@ -45,3 +45,37 @@ def annotation_scalars(eav: DataFrame, keys: dict[str, str]) -> DataFrame:
     """A row for each file with the chosen keys as columns; numbers that don't parse are missing."""
     out = eav.filter(F.col("key").isin(*keys)).groupBy("file").pivot("key", list(keys)).agg(F.first("value"))
     return out.select("file", *[F.col(f"`{k}`").alias(name) for k, name in keys.items()])
+
+
+# Keys of annotations that scenes keep, by name and type.
+ANNOTATED = {
+    "center wavelength": ("radar_wavelength_cm", "double"),
+    "bandwidth": ("radar_bandwidth_mhz", "double"),
+    "radar look direction": ("radar_look_direction", "string"),
+    "average look angle in near range": ("look_angle_near_deg", "double"),
+    "average look angle in far range": ("look_angle_far_deg", "double"),
+    "global average altitude": ("platform_altitude_m", "double"),
+    "global average squint angle": ("squint_angle_deg", "double"),
+    "slant range data at near range": ("slant_range_near_m", "double"),
+    "peg latitude": ("peg_latitude_deg", "double"),
+    "peg longitude": ("peg_longitude_deg", "double"),
+    "peg heading": ("peg_heading_deg", "double"),
+    "start time of acquisition for pass 1": ("acquisition_start_pass1", "string"),
+    "stop time of acquisition for pass 1": ("acquisition_stop_pass1", "string"),
+    "start time of acquisition for pass 2": ("acquisition_start_pass2", "string"),
+    "stop time of acquisition for pass 2": ("acquisition_stop_pass2", "string"),
+    "number of looks in range": ("looks_range", "int"),
+    "number of looks in azimuth": ("looks_azimuth", "int"),
+    "residual baseline estimation method": ("baseline_estimation_method", "string"),
+    "number of baseline iterations": ("baseline_iterations", "int"),
+}
+NUMBERS = {"double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", "int": "^[+-]?[0-9]+$"}
+
+
+def annotation_table(eav: DataFrame, keys: dict[str, tuple[str, str]] = ANNOTATED) -> DataFrame:
+    """annotation_scalars() of all keys that scenes keep, each of its own type: what isn't written as a
+    number of that type is missing, texts lose the blanks around them, and a file with none of the keys has no row."""
+    wide = annotation_scalars(eav, {k: name for k, (name, _) in keys.items()})
+    trimmed = lambda name: F.trim(F.col(name))
+    typed = lambda name, kind: trimmed(name) if kind == "string" else F.when(trimmed(name).rlike(NUMBERS[kind]), trimmed(name).try_cast(kind))
+    return wide.select("file", *[typed(name, kind).alias(name) for name, kind in keys.values()])

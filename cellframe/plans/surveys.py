@@ -174,15 +174,6 @@ def convex_hull(spark: SparkSession, d: str) -> DataFrame:
     return matching.hull(p, ["site"])
 
 
-@query()
-def project_points(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as points around a zone's middle: projected, and the grid bearing of a heading."""
-    c = read(spark, d, "customer").select("c_custkey", (F.lit(-107.0) + (F.col("c_acctbal") % 4) - 2).alias("lon"), (F.lit(39.0) + (F.col("c_custkey") % 100) / 50).alias("lat"))
-    x, y = geometry.utm(F.col("lon"), F.col("lat"), 13)
-    bearing = geometry.track_bearing(F.col("lon"), F.col("lat"), (F.col("c_custkey") % 360).cast("double"), 13)
-    return geometry.crs_equivalent(c, 13, "WGS84", "GRS80").select("c_custkey", r(x, 3).alias("x"), r(y, 3).alias("y"), r(bearing).alias("bearing"), "same")
-
-
 @query(f"""WITH {PRODUCTS} SELECT site, CAST(count(*) FILTER (WHERE level = 'AMPLITUDE_GRD') AS BIGINT) AS "AMPLITUDE_GRD", CAST(count(*) FILTER (WHERE level = 'INTERFEROMETRY_GRD') AS BIGINT) AS "INTERFEROMETRY_GRD",
 count(DISTINCT CASE WHEN bytes > 30 THEN file_id END) AS matched_granules, CAST(sum(bytes) AS BIGINT) AS bytes FROM pr GROUP BY site""")
 def inventory_summary(spark: SparkSession, d: str) -> DataFrame:
