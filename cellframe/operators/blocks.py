@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cellframe.model import KEYS
 
 CANCELLED = 1e-12
+#: Areas whose shares differ by less are equal: sums of areas end apart by their order.
+EVEN = 1e-9
 
 
 def in_blocks(cells: DataFrame, k: int) -> DataFrame:
@@ -83,12 +85,12 @@ def overlap_direction(weighted: DataFrame, period: float = 360.0, keys=KEYS) ->
 def overlap_majority(weighted: DataFrame, keys=KEYS) -> DataFrame:
     """Classes 0 and 1 by area; a tie is 1."""
     share = F.sum(F.col("w") * F.col("v")) / F.sum("w")
-    return weighted.groupBy(*keys, "trow", "tcol").agg(F.when(share >= 0.5, 1).otherwise(0).alias("class"))
+    return weighted.groupBy(*keys, "trow", "tcol").agg(F.when(share >= 0.5 - EVEN, 1).otherwise(0).alias("class"))
 
 
 def overlap_mode(weighted: DataFrame, keys=KEYS) -> DataFrame:
     """The class with most area, missing where two have as much."""
     sums = weighted.groupBy(*keys, "trow", "tcol", "v").agg(F.sum("w").alias("_w"))
     most = Window.partitionBy(*keys, "trow", "tcol")
-    best = sums.withColumn("_most", F.max("_w").over(most)).filter("_w = _most")
+    best = sums.withColumn("_most", F.max("_w").over(most)).filter(F.col("_w") >= F.col("_most") * (1 - EVEN))
     return best.groupBy(*keys, "trow", "tcol").agg(F.when(F.count("*") == 1, F.first("v")).alias("class"))

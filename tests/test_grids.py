@@ -132,3 +132,9 @@ def test_projection_of_the_central_meridian(spark):
     got = df.select(x.alias("x"), y.alias("y")).collect()
     assert got[0].x == pytest.approx(500000, abs=1e-6) and got[0].y == pytest.approx(0, abs=1e-6)
     assert got[1].y == pytest.approx(4982950.400, abs=0.01)  # 0.9996 of the meridian arc
+
+
+def test_even_shares_are_ties_whatever_the_order_of_sums(spark):
+    w = spark.createDataFrame([("a", 0, 0, 0, 0.1), ("a", 0, 0, 0, 0.2), ("a", 0, 0, 0, 0.3), ("a", 0, 0, 1, 0.6)], "layer string, trow int, tcol int, v int, w double").coalesce(1)
+    assert blocks.overlap_majority(w).first()["class"] == 1
+    assert blocks.overlap_mode(w).first()["class"] is None
