@@ -92,3 +92,16 @@ def test_pairs_of_outlines_of_all_sizes(spark):
     assert got == sorted(want)
     assert len(want) > 50
     assert matching.match_surveys(g.limit(0), p).count() == 0
+
+
+def test_matching_sends_no_outlines_through_the_driver(spark):
+    """Small tables on disk are many rows once they are dealt to tiles: they are sorted, not broadcast. Boxes and
+    rings with a box's corners in another order match alike."""
+    kind = "ring array<struct<x:double,y:double>>"
+    box = [(0.0, 0.0), (3.0, 0.0), (3.0, 2.0), (0.0, 2.0)]
+    g = spark.createDataFrame([(0, k, dt.date(2020, 1, k), dt.date(2020, 1, k), box) for k in range(1, 9)], f"site int, granule int, begin date, end date, {kind}")
+    rings = {"box": [(3.0, 2.0), (4.0, 2.0), (4.0, 3.0), (3.0, 3.0)], "far": [(3.1, 2.0), (4.0, 2.0), (4.0, 3.0), (3.1, 3.0)], "bow": [(1.0, 1.0), (9.0, 9.0), (9.0, 1.0), (1.0, 9.0)]}
+    p = spark.createDataFrame([(0, k, dt.date(2020, 1, 1), dt.date(2020, 1, 1), r) for k, r in rings.items()], f"site int, scene string, ref date, sec date, {kind}")
+    out = matching.match_surveys(g, p)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.granule, r.scene) for r in out.collect()) == [(k, s) for k in range(1, 7) for s in ("bow", "box")]
