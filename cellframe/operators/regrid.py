@@ -22,6 +22,14 @@ def resample(targets: DataFrame, src: DataFrame, shape: DataFrame, method: str =
     h, w = F.col("height"), F.col("width")
     at = [*keys, "trow", "tcol"]
     values = [c for c in ("v", "re", "im") if c in src.columns]
+    if keep_outside and method == "nearest":
+        # one pass: a target outside has no row and column, meets no cell and so is missing; its key in the join is
+        # its own place, negative, so that no two share it
+        placed = targets.join(shape, list(keys), "left")
+        within = F.coalesce((F.col("x") >= -0.5) & (F.col("x") <= w - 0.5) & (F.col("y") >= -0.5) & (F.col("y") <= h - 0.5), F.lit(False))
+        at_cell = lambda c, most, own: F.when(within, F.least(F.greatest(F.floor(F.col(c) + 0.5), F.lit(0)), most - 1)).otherwise(-1 - F.col(own)).cast("int")
+        one = placed.select(*at, at_cell("y", h, "trow").alias("row"), at_cell("x", w, "tcol").alias("col"))
+        return one.join(src.select(*keys, "row", "col", *values), [*keys, "row", "col"], "left").select(*at, *values)
     if keep_outside:
         placed = targets.join(shape, list(keys), "left")
         within = F.coalesce((F.col("x") >= -0.5) & (F.col("x") <= w - 0.5) & (F.col("y") >= -0.5) & (F.col("y") <= h - 0.5), F.lit(False))

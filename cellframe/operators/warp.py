@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from cellframe.functions.geometry import Crs, affine_inverse, bind, reproject
 from cellframe.model import KEYS
 from cellframe.operators.regrid import resample
+from cellframe.sources.shared import stored
 
 TERMS = ("a", "b", "c", "d", "e", "f")
+#: Target cells that a task works out.
+CELLS = 250_000
 
 
 def place(row: Column, col: Column) -> tuple[Column, Column]:
@@ -58,11 +61,22 @@ def source_windows(grids: DataFrame, source_grids: DataFrame, crs: Crs, source_c
     return out.filter("r0 <= r1 and c0 <= c1")
 
 
+def cells_of(grids: DataFrame) -> int:
+    """Number of all cells of grids, a row each."""
+    return grids.agg(F.sum(F.col("height").cast("long") * F.col("width"))).first()[0] or 0
+
+
+def dealt(rows: DataFrame, cells: int) -> DataFrame:
+    """``rows`` in as many parts as keep all cores busy, and as leave a task at most CELLS of their ``cells``."""
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-cells // CELLS)), "row")
+
+
 def positions(grids: DataFrame, source_grids: DataFrame, crs: Crs, source_crs: Crs, keys=KEYS, allow_approximate: bool = False) -> DataFrame:
     """Every target cell (trow, tcol) with x and y in the source, counted from cell centres."""
-    # cells come out of the grid's own row: its terms need no join by key
+    # cells come out of the grid's own row: its terms need no join by key. A grid is one row, so its rows are dealt
+    # out before they become cells, or one task would work out every position
     rows = beside(grids, source_grids, keys).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    cells = dealt(rows, cells_of(grids)).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     out = moved(cells, F.col("row") + 0.5, F.col("col") + 0.5, crs, source_crs, allow_approximate)
     return out.select(*keys, F.col("row").alias("trow"), F.col("col").alias("tcol"), "x", "y")
 
@@ -86,6 +100,7 @@ def warp(
     target asks for is read: its bounds over all layers are literals, so that they reach the scan, and
     each layer's own are joined, a row a layer.
     """
+    grids, source_grids = stored(grids, "grids")[0], stored(source_grids, "source-grids")[0]  # a row a layer, asked for several times
     windows = source_windows(grids, source_grids, crs, source_crs, keys=keys, allow_approximate=allow_approximate)
     r0, r1, c0, c1 = windows.agg(F.min("r0"), F.max("r1"), F.min("c0"), F.max("c1")).first()
     read = cells.filter(F.col("row").between(r0, r1) & F.col("col").between(c0, c1)) if r0 is not None else cells.limit(0)
