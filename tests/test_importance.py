@@ -27,3 +27,12 @@ def test_only_the_feature_in_use_matters(spark):
     for s in (0, 1, 2):
         assert got[s, "a"] > 30  # two unlike values of y differ by 68 at the root of the mean square
         assert got[s, "b"] == pytest.approx(0, abs=3)
+
+
+def test_weights_do_not_deal_samples_out_by_site(spark):
+    from cellframe.operators import samples
+
+    rows = spark.createDataFrame([(k % 3, float(k)) for k in range(30)], "site int, y double")
+    out = samples.site_weights(rows)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.weight for r in out.collect()} == {1.0}
