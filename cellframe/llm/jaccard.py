@@ -234,8 +234,7 @@ def against_pivot(rule: Rule):
                     if apart <= 3 * (over - part) * union or need <= 0:
                         differ = np.setxor1d(p, q, assume_unique=True).view(np.int64)
                     if apart > 2 * (over - part) * union:
-                        beyond = np.setdiff1d(q, p, assume_unique=True)
-                        outside = beyond[: len(beyond) - max(need, 1) + 1].view(np.int64)
+                        outside = np.setdiff1d(q, p, assume_unique=True).view(np.int64)
                 for c, v in zip(out, (over * common >= part * union, len(q), common, differ, outside, sketch_of(q) if wide else None), strict=True):
                     c.append(v)
             types = (pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
@@ -339,7 +338,8 @@ def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     around = sets.groupBy("a", "times").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("any_asks"), F.collect_set("kind").alias("kinds"))
     sets = scratch.write(salted(sets, around.filter("any_asks and low != high").select("a", "times", "kinds")).drop("times"), "around")
     met = apart(sets.select("a", "label", "asks", F.explode("away").alias("e")), F.bool_or("asks").alias("asks")).select("a", "e", "times")
-    each = sets.select("a", "b", "label", "asks", "size", "w", "least", F.size("away").alias("n"), "kind", "kinds", "sketch", F.explode("away").alias("e")).join(met, ["a", "e"])
+    each = sets.select("a", "b", F.explode("away").alias("e")).join(met, ["a", "e"])
+    each = each.join(sets.withColumn("n", F.size("away")).drop("away"), ["a", "b"])
     by = Window.partitionBy("a", "b")
     each = each.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("times", "e")))
     each = each.withColumn("partner", F.explode("kinds"))
@@ -356,12 +356,23 @@ def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
 
 def far_pairs(far: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets far from one pivot, not yet under one label, that may link: they
-    share an element outside the pivot among the first few, in order of hash."""
-    each = far.select("a", "b", "label", "size", "common", "sketch", F.posexplode("outside").alias("place", "e"))
-    each = scratch.write(each.join(apart(each).select("a", "e"), ["a", "e"]), "beyond")
+    share an element outside the pivot among the first few, rarest around the pivot first, so
+    that what a whole family has brings nobody together. Any order would do: sets that meet nobody
+    by the first few in order of hash are left out before all elements are counted."""
+    n = F.col("size") - F.col("common")
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") * rule.part / 100) - F.col("common"))
+    first = far.select("a", "b", "label", F.explode(F.slice("outside", F.lit(1), (n - need + 1).cast("int"))).alias("e"))
+    alive = first.select("a", "b", "e").join(apart(first).select("a", "e"), ["a", "e"]).select("a", "b").distinct()
+    far = scratch.write(far.select("a", "b", "label", "size", "common", "sketch", "outside").join(alive, ["a", "b"], "left_semi"), "alive")
+    met = apart(far.select("a", "label", F.explode("outside").alias("e"))).select("a", "e", "times")
+    each = far.select("a", "b", F.explode("outside").alias("e")).join(met, ["a", "e"])
+    each = each.join(far.select("a", "b", "label", "size", "common", "sketch"), ["a", "b"])
+    by = Window.partitionBy("a", "b")
+    each = each.withColumn("place", n - F.count("*").over(by) + F.row_number().over(by.orderBy("times", "e")))
+    each = scratch.write(each.filter(F.col("place") <= n - need + 1).drop("times"), "beyond")
     t, s = (each.select("a", "e", *(F.col(c).alias(f"{x}_{c}") for c in ("b", "label", "size", "common", "place", "sketch"))) for x in "ts")
     # what is left to share outside the pivot, and what must be shared there
-    beyond = lambda x: F.col(f"{x}_size") - F.col(f"{x}_common") - F.col(f"{x}_place")
+    beyond = lambda x: F.col(f"{x}_size") - F.col(f"{x}_common") - F.col(f"{x}_place") + 1
     share = (F.col("s_size") + F.col("t_size")) * rule.part
     enough = (F.least(beyond("s"), beyond("t")) + F.least("s_common", "t_common")) * (100 + rule.part) >= share
     fits = (F.col("s_b") < F.col("t_b")) & (F.col("s_label") != F.col("t_label")) & size_fits(rule) & enough
@@ -414,7 +425,7 @@ def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
             best = scratch.write(rest.select("a", "b", "wide"), "rest")
             scratch.drop("best")
     scratch.drop(*scratch.paths.keys() & {"best", "rest"})
-    scratch.drop("found", "centred", "middle", "around", "shown", "beyond", "near-pairs", "far-pairs", "more")
+    scratch.drop("found", "centred", "middle", "around", "shown", "alive", "beyond", "near-pairs", "far-pairs", "more")
     return label
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellframe.llm import bpe, groups, jaccard, media, mixing, neighbours, pii, quality, sstable, substrings, suffixes, superkmers, webp
-from cellframe.llm.shared import shared_path
+from cellframe.llm.shared import Scratch, shared_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -155,6 +155,16 @@ def test_jaccard_families(spark, monkeypatch):
         assert sorted(tuple(r) for r in jaccard.classes(df, rule).collect()) == brute_classes(rows, rule)
 
 
+def test_far_sets_meet_by_rare_elements(spark):
+    """Sets far from a pivot that share what their whole family has, and else differ, aren't paired; two that link are."""
+    rule, scratch = jaccard.Rule(5, 80), Scratch(spark)
+    rows = [(0, b, b, 100, 0, [*range(60), *range(1000 * b, 1000 * b + 40)], [0, 0, 0, 0]) for b in range(1, 41)]
+    rows += [(0, b, b, 100, 0, [*range(60), *range(10**6, 10**6 + 36), *range(1000 * b, 1000 * b + 4)], [0, 0, 0, 0]) for b in (50, 51)]
+    far = spark.createDataFrame(rows, "a long, b long, label long, size long, common long, outside array<long>, sketch array<long>")
+    found = jaccard.far_pairs(far, rule, scratch).select("a", "b").distinct().collect()
+    assert [tuple(r) for r in found] == [(50, 51)]
+
+
 def brute_classes(rows, rule):
     lower = {i: i + 32 for i in range(65, 91)}
     sets = {}
