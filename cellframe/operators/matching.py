@@ -208,16 +208,25 @@ def shared_products(products: DataFrame) -> DataFrame:
     return products.groupBy("file_id").agg(F.max("bytes").alias("bytes"), F.array_sort(F.collect_set("site")).alias("consumers"))
 
 
-def select_granules(specs: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Granules that a spec (site, product, code, part) names by product and code or by a part of
-    the file name, and those refused for want of a date or footprint."""
-    by_code = catalogue.join(specs.filter("code is not null").select("site", "product", "code"), ["product", "code"])
+def granule_choices(specs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Granules that a spec (site, product, code, part) names by product and code or by a part of the
+    file name, once for each spec that does, with ``date`` and the ``reason`` if they are refused for want of a date or footprint.
+
+    Specs are a list that people write, and are broadcast: by equal product, a task would read all granules of it.
+    """
+    by_code = catalogue.join(F.broadcast(specs.filter("code is not null").select("site", "product", "code")), ["product", "code"])
     parts = specs.filter("part is not null").select("site", "part", F.col("product").alias("_p"))
-    by_part = catalogue.join(parts, F.col("name").contains(F.col("part")) & (F.col("product") == F.col("_p"))).drop("part", "_p")
+    by_part = catalogue.join(F.broadcast(parts), F.col("name").contains(F.col("part")) & (F.col("product") == F.col("_p"))).drop("part", "_p")
     both = by_code.unionByName(by_part.select(*by_code.columns)).withColumn("date", F.coalesce("begin", "single"))
-    fine = F.col("date").isNotNull() & F.col("footprint").isNotNull()
-    reason = F.when(F.col("date").isNull(), "undated").otherwise("no_footprint")
-    return both.filter(fine).distinct(), both.filter(~fine).select("site", "name", reason.alias("reason")).distinct()
+    return both.withColumn("reason", F.when(F.col("date").isNull(), "undated").when(F.col("footprint").isNull(), "no_footprint"))
+
+
+def select_granules(specs: DataFrame, catalogue: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Granules of granule_choices(), and those refused, each once. With ``keep``, the first have these columns alone,
+    and are made distinct by them, so that outlines nobody asks for aren't dealt out."""
+    both = granule_choices(specs, catalogue)
+    fine = both.filter("reason is null").drop("reason")
+    return (fine.select(*keep) if keep else fine).distinct(), both.filter("reason is not null").select("site", "name", "reason").distinct()
 
 
 def newest_versions(products: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def match_bridge(spark: SparkSession, d: str) -> DataFrame:
 def select_granules(spark: SparkSession, d: str) -> DataFrame:
     cat = products(spark, d).select(F.col("scene").alias("name"), F.lit("SD").alias("product"), F.lit("X").alias("code"), F.col("ref").alias("begin"), F.col("sec").alias("single"), F.col("ring").alias("footprint"))
     specs = spark.createDataFrame([(0, "SD", None, "camp0"), (1, "SD", None, "camp1"), (2, "SD", "ZZ", None)], "site int, product string, code string, part string")
-    return matching.select_granules(specs, cat)[0].select("site", "name", "date").distinct()
+    return matching.select_granules(specs, cat, ["site", "name", "date"])[0]
 
 
 @query("""WITH a AS (SELECT 'survey' AS kind, o_orderstatus AS product, CAST(o_orderdate AS DATE) AS first, NULL AS line, CAST(NULL AS DATE) AS second, NULL AS days FROM orders),

@@ -157,3 +157,17 @@ def test_points_in_holes_and_off_the_grid(spark):
     grid = spark.createDataFrame([("a", x - 0.5, y + 1.5, 1.0, -1.0, 3, 3)], "site string, left double, top double, dx double, dy double, height int, width int")
     cells = spark.createDataFrame([("a", 1, 0, 7.0), ("a", 0, 0, None)], "site string, row int, col int, v double")
     assert rows(matching.point_values(points, grid, cells, Crs("WGS84", 12)), "id", "row", "col", "v") == [(1, 1, 0, 7.0), (2, 0, 0, None)]
+
+
+def test_granules_are_not_dealt_out_by_product_or_outline(spark):
+    """Each choice once, with its date and reason; specs are broadcast, and outlines not asked for don't travel."""
+    rows = [(f"camp{i % 3}_{i}", "SD", "K1", i if i % 4 else None, None, [1.0] if i % 5 else None) for i in range(40)]
+    cat = spark.createDataFrame(rows, "name string, product string, code string, begin int, single int, footprint array<double>")
+    specs = spark.createDataFrame([(0, "SD", None, "camp0"), (0, "SD", "K1", None), (1, "VH", "K1", None)], "site int, product string, code string, part string")
+    taken, refused = matching.select_granules(specs, cat.union(cat), ["site", "name", "date"])
+    assert sorted(map(tuple, taken.collect())) == sorted((0, n, b) for n, _, _, b, _, f in rows if b is not None and f)
+    assert sorted(map(tuple, refused.collect())) == sorted((0, n, "undated" if b is None else "no_footprint") for n, _, _, b, _, f in rows if b is None or not f)
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    exchanged = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanged and not any("footprint" in x for x in exchanged)
