@@ -228,9 +228,4 @@ def granule_choices(spark: SparkSession, d: str) -> DataFrame:
         F.when(version % 4 > 0, F.col("ref")).alias("begin"), F.when((version % 4 == 0) & (size % 3 > 0), F.col("sec")).alias("single"), F.when(size % 5 > 0, F.col("ring")).alias("footprint"),
     )
     specs = spark.createDataFrame([(0, "SD", None, "camp0"), (1, "VH", None, "camp1"), (2, "SD", "K1", None), (3, "VH", "K2", None)], "site int, product string, code string, part string")
-    fine, refused = matching.select_granules(specs, cat)
-    taken = fine.select("site", "name", "date").distinct().withColumn("reason", F.lit(None).cast("string"))
-    dated = F.coalesce("begin", "single")
-    dates = cat.select("name", "product", dated.alias("date"), F.when(dated.isNull(), "undated").when(F.col("footprint").isNull(), "no_footprint").alias("reason"), "code")
-    named = refused.join(specs.select("site", "product", F.col("code").alias("_code"), "part"), "site").join(dates, ["name", "reason", "product"]).filter(F.coalesce(F.col("_code") == F.col("code"), F.lit(True)))
-    return taken.unionByName(named.select("site", "name", "date", "reason").distinct())
+    return matching.granule_choices(specs, cat).select("site", "name", "date", "reason").distinct()
