@@ -206,15 +206,18 @@ GAP = " + ".join(f"bit_count(s_sketch[{i}] ^ t_sketch[{i}])" for i in range(4))
 
 
 def against_pivot(rule: Rule):
-    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, outside, sketch); x and y
+    """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, first, sketch); x and y
     are the texts of a and b, which take half the room of their sets.
 
     For ``wide`` pairs, ``differ`` is what b differs in from the pivot a, given unless b is far
-    from it; ``outside`` what b has beyond a, as far as a search needs it, given unless b is near.
-    Distance here is one minus similarity, which obeys the triangle inequality. Let T be the
+    from it; ``first`` begins what b has beyond a, given unless b is near. Distance here is one
+    minus similarity, which obeys the triangle inequality. Let T be the
     largest distance of a link. Links of a set within 2 T of a lie within 3 T: both have
-    ``differ``. Two sets beyond 2 T both have ``outside``. A set that has so much of a that a
+    ``differ``. Two sets beyond 2 T both have ``first``. A set that has so much of a that a
     link may lie within a alone gets both. ``sketch`` is that of sketch_of() for b.
+
+    ``first`` has as many elements, least first, as sets that link must share one of; of each
+    32 bits are kept, which bring together more sets than all 64 would, and never fewer.
     """
     over, part = 100, rule.part
 
@@ -227,18 +230,37 @@ def against_pivot(rule: Rule):
                 p = pivots[at]
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 union = len(p) + len(q) - common
-                differ = outside = None
+                differ = begin = None
                 if wide:
                     apart = over * (union - common)
                     need = rule.shared(len(q)) - common
                     if apart <= 3 * (over - part) * union or need <= 0:
                         differ = np.setxor1d(p, q, assume_unique=True).view(np.int64)
                     if apart > 2 * (over - part) * union:
-                        outside = np.setdiff1d(q, p, assume_unique=True).view(np.int64)
-                for c, v in zip(out, (over * common >= part * union, len(q), common, differ, outside, sketch_of(q) if wide else None), strict=True):
+                        outside = np.setdiff1d(q, p, assume_unique=True)
+                        begin = (outside[: len(outside) - max(1, need) + 1] >> U(32)).astype(np.uint32).view(np.int32)
+                for c, v in zip(out, (over * common >= part * union, len(q), common, differ, begin, sketch_of(q) if wide else None), strict=True):
                     c.append(v)
-            types = (pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "common", "differ", "outside", "sketch"])
+            types = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "linked", "size", "common", "differ", "first", "sketch"])
+
+    return of
+
+
+def beyond_pivot(rule: Rule):
+    """From (a, b, label, x, y) to (a, b, label, size, common, sketch, outside): what b has beyond a."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            _, first, which = np.unique(np.asarray(batch.column(0)), return_index=True, return_inverse=True)
+            pivots = each_set(rule, batch.column(3).take(pa.array(first)))
+            for at, q in zip(which.tolist(), each_set(rule, batch.column(4)), strict=True):
+                outside = np.setdiff1d(q, pivots[at], assume_unique=True)
+                for c, v in zip(out, (len(q), len(q) - len(outside), sketch_of(q), outside.view(np.int64)), strict=True):
+                    c.append(v)
+            types = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["a", "b", "label", "size", "common", "sketch", "outside"])
 
     return of
 
@@ -252,8 +274,8 @@ def salted(rows: DataFrame, of_pivot: DataFrame) -> DataFrame:
     return dealt.join(spread, ["a", "salt"]).drop("salt")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
-    """against_pivot() of pairs (a, b, wide); ``pivots`` has the texts of all a, ``texts`` of all b.
+def with_texts(pairs: DataFrame, texts: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the texts x of a and y of b; ``pivots`` has the texts of all a, ``texts`` of all b.
 
     A pivot with many pairs is met in several tasks: its text is repeated for each PER_SALT of them.
     """
@@ -263,20 +285,24 @@ def compared(pairs: DataFrame, texts: DataFrame, pivots: DataFrame, rule: Rule)
     with_b = with_b.withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(0)) + 1)).drop("salts")
     spread = pivots.select(F.col("row").alias("a"), F.col("raw").alias("x")).join(salts, "a")
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), "salts"))).drop("salts")
-    with_both = with_b.join(spread, ["a", "salt"])
-    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, outside array<long>, sketch array<long>"
-    return with_both.select("a", "b", "wide", "x", "y").mapInArrow(against_pivot(rule), schema)
+    return with_b.join(spread, ["a", "salt"]).select(*pairs.columns, "x", "y")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
+    """against_pivot() of pairs (a, b, wide)."""
+    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, first array<int>, sketch array<long>"
+    return with_texts(pairs.select("a", "b", "wide"), texts, pivots).mapInArrow(against_pivot(rule), schema)
 
 
-def compared_in_parts(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """compared() of all pairs, in PARTS by b; the shuffles of a part are gone when the next begins."""
+def compared_in_parts(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """compared() of all pairs, in PARTS by b, and the texts of all a; the shuffles of a part are gone when
+    the next begins."""
     pivot = pairs.select(F.col("a").alias("row")).distinct()
     pivots = scratch.write(texts.join(pivot.hint("shuffle_hash"), "row", "left_semi"), "pivots")
     for part in range(PARTS):
         mine = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)) == part  # noqa: B023, E731
         found = scratch.add(compared(pairs.filter(mine("b")), texts.filter(mine("row")), pivots, rule), "found")
-    scratch.drop("pivots")
-    return found
+    return found, pivots
 
 
 def recentre(rule: Rule):
@@ -354,16 +380,21 @@ def near_pairs(centred: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     return met_pairs(t.join(s, ["a", "e", "kind", "partner"]), fits, rule)
 
 
+def meeting(far: DataFrame) -> DataFrame:
+    """(a, b, label) of those sets of ``far`` (a, b, label, first) that meet one of another label around
+    their pivot. A pivot and an element of it are one number here, as a few more that meet do no harm."""
+    first = far.select("a", "b", "label", F.explode("first").alias("e")).select("a", "b", "label", F.xxhash64("a", "e").alias("e"))
+    met = first.groupBy("e").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    return first.join(met.select("e"), "e", "left_semi").select("a", "b", "label").distinct()
+
+
 def far_pairs(far: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets far from one pivot, not yet under one label, that may link: they
     share an element outside the pivot among the first few, rarest around the pivot first, so
-    that what a whole family has brings nobody together. Any order would do: sets that meet nobody
-    by the first few in order of hash are left out before all elements are counted."""
+    that what a whole family has brings nobody together. ``far`` is beyond_pivot(). Any order would do,
+    so only sets of meeting(), those that meet by the first few in order of hash, need be given."""
     n = F.col("size") - F.col("common")
     need = F.greatest(F.lit(1), F.ceil(F.col("size") * rule.part / 100) - F.col("common"))
-    first = far.select("a", "b", "label", F.explode(F.slice("outside", F.lit(1), (n - need + 1).cast("int"))).alias("e"))
-    alive = first.select("a", "b", "e").join(apart(first).select("a", "e"), ["a", "e"]).select("a", "b").distinct()
-    far = scratch.write(far.select("a", "b", "label", "size", "common", "sketch", "outside").join(alive, ["a", "b"], "left_semi"), "alive")
     met = apart(far.select("a", "label", F.explode("outside").alias("e"))).select("a", "e", "times")
     each = far.select("a", "b", F.explode("outside").alias("e")).join(met, ["a", "e"])
     each = each.join(far.select("a", "b", "label", "size", "common", "sketch"), ["a", "b"])
@@ -390,7 +421,7 @@ def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     changes that they share (near_pairs). Sets far from the pivot, that share little with it,
     meet by what they have beyond it (far_pairs). Only pairs under different labels are asked for.
     """
-    found = compared_in_parts(pairs, texts, rule, scratch)
+    found, pivots = compared_in_parts(pairs, texts, rule, scratch)
     links = found.filter("linked").select("a", "b")
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
     near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times", "sketch")
@@ -403,9 +434,16 @@ def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     label = components(links.union(by_centre.select("middle", "b")))
     of = label.select(F.col("v").alias("b"), "label")
     placed = salted(centred, middle.select("a", "times", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    lonely = found.filter("outside is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
-    far = found.filter("outside is not null").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs").union(scratch.write(far_pairs(far, rule, scratch), "far-pairs"))
+    lonely = found.filter("first is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
+    far = found.filter("first is not null").select("a", "b", "first").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs")
+    scratch.drop("centred", "middle", "around", "shown")
+    some = scratch.write(meeting(far), "meeting")
+    # their sets are made from the texts again, which take less room than all that is outside pivots
+    schema = "a long, b long, label long, size long, common long, sketch array<long>, outside array<long>"
+    alive = scratch.write(with_texts(some, texts, pivots).mapInArrow(beyond_pivot(rule), schema), "alive")
+    more = more.union(scratch.write(far_pairs(alive, rule, scratch), "far-pairs"))
+    scratch.drop("found", "pivots", "meeting", "alive", "beyond")
     more = more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.write(more.withColumn("wide", F.lit(False)), "more")
     # of two labels the likeliest pair first; most of the others are then under one label
@@ -425,7 +463,7 @@ def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
             best = scratch.write(rest.select("a", "b", "wide"), "rest")
             scratch.drop("best")
     scratch.drop(*scratch.paths.keys() & {"best", "rest"})
-    scratch.drop("found", "centred", "middle", "around", "shown", "alive", "beyond", "near-pairs", "far-pairs", "more")
+    scratch.drop("near-pairs", "far-pairs", "more")
     return label
 
 

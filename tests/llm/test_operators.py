@@ -165,6 +165,22 @@ def test_far_sets_meet_by_rare_elements(spark):
     assert [tuple(r) for r in found] == [(50, 51)]
 
 
+def test_far_sets_are_kept_by_their_beginnings(spark):
+    """What is kept of a set far from its pivot is a prefix, and sets that share nothing in it are left out."""
+    rule, rng = jaccard.Rule(5, 80), random.Random(3)
+    pivot, shared = words(rng, 100, 10**6), words(rng, 100, 10**6).split()
+    near = [" ".join([*shared[:-1], f"own{i}"]) for i in range(2)]
+    y = [*near, *(words(rng, 100, 10**6) for _ in range(30))]
+    rows = [(0, b, True, pivot.encode(), t.encode()) for b, t in enumerate(y, 1)]
+    pairs = spark.createDataFrame(rows, "a long, b long, wide boolean, x binary, y binary")
+    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, first array<int>, sketch array<long>"
+    far = pairs.mapInArrow(jaccard.against_pivot(rule), schema).withColumn("label", F.col("b"))
+    assert all(len(r.first) == r.size - -(-r.size * 80 // 100) + 1 for r in far.collect())
+    assert sorted(r.b for r in jaccard.meeting(far).collect()) == [1, 2]
+    again = pairs.select("a", "b", F.col("b").alias("label"), "x", "y").mapInArrow(jaccard.beyond_pivot(rule), "a long, b long, label long, size long, common long, sketch array<long>, outside array<long>")
+    assert all(r.size - r.common == len(r.outside) == r.size for r in again.collect())
+
+
 def brute_classes(rows, rule):
     lower = {i: i + 32 for i in range(65, 91)}
     sets = {}
