@@ -28,10 +28,12 @@ def merge_attributes(attrs: DataFrame, scene=("scene",)) -> DataFrame:
 
 def layer_metadata(layers: DataFrame, shown: list[str]) -> DataFrame:
     """Selected attributes of each layer and, for one derived from another, of that one too."""
-    source = layers.select(F.col("path").alias("_p"), F.col("attrs").alias("_a"))
-    out = layers.join(source, F.col("derived_from") == F.col("_p"), "left")
-    keep = lambda m: F.map_filter(m, lambda k, v: k.isin(*shown))
-    return out.select("path", keep(F.col("attrs")).alias("own"), keep(F.col("_a")).alias("inherited"))
+    keep = F.map_filter("attrs", lambda k, v: k.isin(*shown))
+    few = layers.select("path", "derived_from", keep.alias("own"))
+    source = few.filter("path is not null").select(F.col("path").alias("_p"), F.col("own").alias("inherited"))
+    derived = few.filter("derived_from is not null").join(source, F.col("derived_from") == F.col("_p"), "left").select("path", "own", "inherited")
+    # layers derived from none take no part in the join, where their nulls would be one key and one task
+    return derived.union(few.filter("derived_from is null").select("path", "own", F.lit(None).cast(few.schema["own"].dataType)))
 
 
 def timeline(surveys: DataFrame, scenes: DataFrame) -> DataFrame:
