@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cellframe.sources import binary
 
 TILE = 128
+#: Bytes of lines that a task packs at once.
+PACKED = 4 << 20
 
 
 def scan_layer(spark: SparkSession, path: str, site: str | None = None, products: list[str] | None = None, leaves: list[str] | None = None) -> DataFrame:
@@ -31,21 +33,25 @@ def scan_fixed_width(spark: SparkSession, path: str, rows: int, cols: int, dtype
 
 def write_fixed_width(cells: DataFrame, path: str, name: Column, rows: int, cols: int, dtype: str = "<f4") -> None:
     """Dense binaries of (row, col, v), a file for each ``name``; cells that are absent or missing are
-    NaN. Lines of a file are packed one by one and meet sorted in one task, which writes them as they come."""
+    NaN. Lines of a file are packed a few at a time and meet sorted in one task, which writes them as they come."""
     import numpy as np
     import pyarrow as pa
     from pyarrow import fs
 
+    step = max(1, PACKED // (8 * cols))  # lines
+
     def pack(batches):
         for b in batches:
-            made = []
-            for line in b.column(2).to_pylist():
-                x = np.full(cols, np.nan)
-                for c in line:
-                    if c["v"] is not None:
-                        x[c["col"]] = c["v"]
-                made.append(x.astype(dtype).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["file", "row", "line"])
+            for first in range(0, b.num_rows, step):
+                some = b.slice(first, step)
+                line, cell = some.column(2), some.column(2).flatten()
+                r = np.repeat(np.arange(some.num_rows), np.diff(np.asarray(line.offsets)))
+                c, v = (cell.field(k).to_numpy(zero_copy_only=False) for k in ("col", "v"))
+                there = np.asarray(cell.field("v").is_valid())
+                x = np.full((some.num_rows, cols), np.nan)
+                x[r[there], c[there]] = v[there]
+                made = [y.tobytes() for y in x.astype(dtype)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(made, pa.binary())], names=["file", "row", "line"])
 
     def store(batches):
         place, root = fs.FileSystem.from_uri(path)

@@ -105,3 +105,15 @@ def test_matching_sends_no_outlines_through_the_driver(spark):
     out = matching.match_surveys(g, p)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.granule, r.scene) for r in out.collect()) == [(k, s) for k in range(1, 7) for s in ("bow", "box")]
+
+
+def test_fixed_width_lines_packed_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Two lines at once: holes, absent cells and lines, a batch of more lines than that."""
+    monkeypatch.setattr(rasters, "PACKED", 2 * 8 * 3)
+    cells = [(f, r, c, None if (r, c) == (1, 1) else float(100 * f + 10 * r + c)) for f in range(2) for r in range(5) for c in range(3) if (r, c) != (2, 0) and r != 3]
+    df = spark.createDataFrame(cells, "f int, row int, col int, v double").coalesce(1)
+    path = f"file://{tmp_path}/lines"
+    rasters.write_fixed_width(df, path, F.concat(F.lit("n"), "f"), 5, 3)
+    got = {(r.file, r.row, r.col): r.v for r in rasters.scan_fixed_width(spark, path, 5, 3, with_file=True).collect()}
+    known = {(f"n{f}", r, c): v for f, r, c, v in cells}
+    assert got == {(f"n{f}", r, c): known.get((f"n{f}", r, c)) for f in range(2) for r in range(5) for c in range(3)}
