@@ -36,3 +36,24 @@ def test_weights_do_not_deal_samples_out_by_site(spark):
     out = samples.site_weights(rows)
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.weight for r in out.collect()} == {1.0}
+
+
+def test_models_of_whole_features_need_no_medians(spark, monkeypatch):
+    """Predictions are those with medians; a missing feature, even of one site alone, brings the medians back."""
+    rows = spark.range(160).select((F.col("id") % 2).alias("site"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), F.col("id").cast("double").alias("y"))
+    how = {"numTrees": 2, "maxDepth": 3}
+    made, fit = [], learning.Fitted.__init__
+
+    def spy(self, *args, **kw):
+        fit(self, *args, **kw)
+        made.append(self.imputer is not None)
+
+    monkeypatch.setattr(learning.Fitted, "__init__", spy)
+    out = lambda df: sorted((r.site, r.y, r.p) for r in learning.leave_one_site_out(df, {"all": ["a", "b"]}, ("forest",), how).collect())
+    fast = out(rows)
+    assert made == [False, False]
+    monkeypatch.setattr(learning, "complete", lambda *_: False)
+    assert out(rows) == fast and made[2:] == [True, True]
+    monkeypatch.undo()
+    for gap in (F.lit(None).cast("double"), F.lit(float("nan"))):
+        assert not learning.complete(rows.withColumn("b", F.when(F.col("y") == 3, gap).otherwise(F.col("b"))), ["a", "b"])
