@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ LEVELS = 6
 PER_SALT = 2048
 #: Parts in which pairs are compared, one after another: shuffles hold one part's texts at a time.
 PARTS = 3
+#: Sets of which elements are counted for the order in which sets far from pivots meet, and how many elements,
+#: most frequent first, that count keeps. The order decides how many sets meet, never what links.
+SEEN, OFTEN = 20_000, 1 << 18
 U = np.uint64
 
 
@@ -86,15 +90,16 @@ def sets_of(rule: Rule, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 
 
 def describe(rule: Rule):
-    """From (row, raw) to (row, n, d1, d2): size of the set and a digest of it in two numbers."""
+    """From (row, raw) to (row, n, d1, d2, outline): size of the set, a digest of it in two numbers, and outline()."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, raw, offsets in tokens.chunks(b.column(1)):
                 shingle, at = sets_of(rule, raw, offsets)
-                digest = b"".join(hashlib.blake2b(shingle[x:y].tobytes(), digest_size=16).digest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-                d = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(d)), pa.array(np.diff(at).astype(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["row", "n", "d1", "d2"])
+                each = [shingle[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                d = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in each), np.int64).reshape(-1, 2)
+                columns = [b.column(0).slice(first, len(d)), pa.array(np.diff(at).astype(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([outline(x) for x in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "d1", "d2", "outline"])
 
     return of
 
@@ -201,11 +206,47 @@ def sketch_of(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+#: What against_pivot() gives.
+COMPARED = "a long, b long, linked boolean, size long, common long, differ array<long>, first array<int>, sketch array<long>"
 #: Bits in which the sketches of s and t differ.
 GAP = " + ".join(f"bit_count(s_sketch[{i}] ^ t_sketch[{i}])" for i in range(4))
 
 
-def against_pivot(rule: Rule):
+def outline(elements: np.ndarray) -> bytes:
+    """As sketch_of(), in at least four times as many cells as there are elements."""
+    cells = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_differences(x: bytes, y: bytes) -> int:
+    """Elements in which the sets of two outlines differ at least; the larger one is folded."""
+    size = min(len(x), len(y))
+    one, other = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(one ^ other).sum())
+
+
+def sifted(rule: Rule):
+    """From (a, b, wide, m, n, x, y), sizes and outlines of a and b, to (a, b, wide, ask, far).
+
+    ``far``: b is surely further than three times a link's distance from its wide pivot a. ``ask``:
+    texts must be compared, since b isn't, or since two sets that are alone with a signature may link.
+    """
+    apart, part = 100 - rule.part, rule.part
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ask, far = [], []
+            for wide, m, n, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                gap = max(abs(m - n), least_differences(x, y))
+                far.append(wide and 200 * gap > 3 * apart * (m + n + gap))
+                ask.append(not far[-1] if wide else gap * (100 + part) <= apart * (m + n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ask, pa.bool_()), pa.array(far, pa.bool_())], names=["a", "b", "wide", "ask", "far"])
+
+    return of
+
+
+def against_pivot(rule: Rule, often: Broadcast | None = None):
     """From (a, b, wide, x, y) to (a, b, linked, size, common, differ, first, sketch); x and y
     are the texts of a and b, which take half the room of their sets.
 
@@ -216,8 +257,9 @@ def against_pivot(rule: Rule):
     ``differ``. Two sets beyond 2 T both have ``first``. A set that has so much of a that a
     link may lie within a alone gets both. ``sketch`` is that of sketch_of() for b.
 
-    ``first`` has as many elements, least first, as sets that link must share one of; of each
-    32 bits are kept, which bring together more sets than all 64 would, and never fewer.
+    ``first`` has as many elements, those that aren't ``often`` (counted()) first, then least first, as sets
+    that link must share one of; of each 32 bits are kept, which bring together more sets than all 64
+    would, and never fewer.
     """
     over, part = 100, rule.part
 
@@ -237,7 +279,7 @@ def against_pivot(rule: Rule):
                     if apart <= 3 * (over - part) * union or need <= 0:
                         differ = np.setxor1d(p, q, assume_unique=True).view(np.int64)
                     if apart > 2 * (over - part) * union:
-                        outside = np.setdiff1d(q, p, assume_unique=True)
+                        outside = rarest_first(np.setdiff1d(q, p, assume_unique=True), often)
                         begin = (outside[: len(outside) - max(1, need) + 1] >> U(32)).astype(np.uint32).view(np.int32)
                 for c, v in zip(out, (over * common >= part * union, len(q), common, differ, begin, sketch_of(q) if wide else None), strict=True):
                     c.append(v)
@@ -247,6 +289,30 @@ def against_pivot(rule: Rule):
     return of
 
 
+def rarest_first(elements: np.ndarray, often: Broadcast | None) -> np.ndarray:
+    if often is None or not len(often.value[0]):
+        return elements
+    known, times = often.value
+    at = np.minimum(np.searchsorted(known, elements), len(known) - 1)
+    return elements[np.argsort(np.where(known[at] == elements, times[at], 0), kind="stable")]
+
+
+def counted(texts: DataFrame, rule: Rule) -> Broadcast:
+    """Elements that more than one of about SEEN of the sets of ``texts`` (row, raw) have, and how many have them."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in each_set(rule, batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["e"])
+
+    every = texts.count() // SEEN + 1
+    seen = texts.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("raw").mapInArrow(of, "e long")
+    rows = seen.groupBy("e").agg(F.count("*").alias("times")).filter("times > 1").orderBy(F.desc("times"), "e").limit(OFTEN).toArrow()
+    known, times = (np.asarray(rows.column(i)) for i in (0, 1))
+    order = np.argsort(known.view(U))
+    return texts.sparkSession.sparkContext.broadcast((known.view(U)[order], times[order]))
+
+
 def beyond_pivot(rule: Rule):
     """From (a, b, label, x, y) to (a, b, label, size, common, sketch, outside): what b has beyond a."""
 
@@ -290,19 +356,18 @@ def with_texts(pairs: DataFrame, texts: DataFrame, pivots: DataFrame) -> DataFra
 
 def compared(pairs: DataFrame, texts: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
     """against_pivot() of pairs (a, b, wide)."""
-    schema = "a long, b long, linked boolean, size long, common long, differ array<long>, first array<int>, sketch array<long>"
-    return with_texts(pairs.select("a", "b", "wide"), texts, pivots).mapInArrow(against_pivot(rule), schema)
+    return with_texts(pairs.select("a", "b", "wide"), texts, pivots).mapInArrow(against_pivot(rule), COMPARED).select("a", "b", "linked", "size", "differ", F.col("first").isNotNull().alias("far"), "sketch")
 
 
-def compared_in_parts(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """compared() of all pairs, in PARTS by b, and the texts of all a; the shuffles of a part are gone when
-    the next begins."""
+def compared_in_parts(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """compared() of all pairs, in PARTS by b; the shuffles of a part are gone when the next begins."""
     pivot = pairs.select(F.col("a").alias("row")).distinct()
     pivots = scratch.write(texts.join(pivot.hint("shuffle_hash"), "row", "left_semi"), "pivots")
     for part in range(PARTS):
         mine = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)) == part  # noqa: B023, E731
         found = scratch.add(compared(pairs.filter(mine("b")), texts.filter(mine("row")), pivots, rule), "found")
-    return found, pivots
+    scratch.drop("pivots")
+    return found
 
 
 def recentre(rule: Rule):
@@ -389,7 +454,7 @@ def meeting(far: DataFrame) -> DataFrame:
 
 
 def far_pairs(far: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of sets far from one pivot, not yet under one label, that may link: they
+    """Pairs (a, b) of sets far from pivots, not yet under one label, that may link: they
     share an element outside the pivot among the first few, rarest around the pivot first, so
     that what a whole family has brings nobody together. ``far`` is beyond_pivot(). Any order would do,
     so only sets of meeting(), those that meet by the first few in order of hash, need be given."""
@@ -410,18 +475,22 @@ def far_pairs(far: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     return met_pairs(t.join(s, ["a", "e"]), fits, rule)
 
 
-def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """v, label of the linked sets, from the pairs (a, b, wide) of pivots with the others and their
-    texts (row, raw).
+def find_links(texts: DataFrame, pairs: DataFrame, outlines: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """v, label of the linked sets, from the pairs (a, b, wide) of pivots with the others, their
+    texts (row, raw) and their outlines (row, n, outline).
 
-    Each pair is compared. Two sets around one pivot that both link with it need no more. What
+    Each pair is compared, by texts if the outlines leave it open. Two sets around one pivot that both link with it need no more. What
     else may link is found around the pivot's centre, where the many copies of one text that
     each have a few changes of their own are each away by their own changes alone: most
     of them are known to link by their distances from it, and the others meet only by
-    changes that they share (near_pairs). Sets far from the pivot, that share little with it,
-    meet by what they have beyond it (far_pairs). Only pairs under different labels are asked for.
+    changes that they share (near_pairs). Sets far from a pivot, that share little with it,
+    meet around the empty set, each once for all of its pivots (far_pairs). Only pairs under different
+    labels are asked for.
     """
-    found, pivots = compared_in_parts(pairs, texts, rule, scratch)
+    sized = lambda end, n, x: outlines.select(F.col("row").alias(end), F.col("n").alias(n), F.col("outline").alias(x))
+    kinds = pairs.join(sized("a", "m", "x"), "a").join(sized("b", "n", "y"), "b").select("a", "b", "wide", "m", "n", "x", "y")
+    kinds = scratch.write(kinds.mapInArrow(sifted(rule), "a long, b long, wide boolean, ask boolean, far boolean"), "sifted")
+    found = compared_in_parts(kinds.filter("ask"), texts, rule, scratch)
     links = found.filter("linked").select("a", "b")
     close = found.filter("differ is not null").groupBy("a").agg(F.count("*").alias("times"), F.bool_and("linked").alias("done")).filter("times > 1 and not done").drop("done")
     near = found.filter("differ is not null").join(close, "a").select("a", "b", "size", "differ", "times", "sketch")
@@ -434,16 +503,21 @@ def find_links(texts: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch)
     label = components(links.union(by_centre.select("middle", "b")))
     of = label.select(F.col("v").alias("b"), "label")
     placed = salted(centred, middle.select("a", "times", "least")).join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
-    lonely = found.filter("first is not null").groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
-    far = found.filter("first is not null").select("a", "b", "first").join(lonely.select("a"), "a", "left_semi").join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))
     more = scratch.write(near_pairs(placed, rule, scratch), "near-pairs")
     scratch.drop("centred", "middle", "around", "shown")
-    some = scratch.write(meeting(far), "meeting")
-    # their sets are made from the texts again, which take less room than all that is outside pivots
+    outer = kinds.filter("far").select("a", "b").union(found.filter("far").select("a", "b"))
+    lonely = outer.groupBy("a").agg(F.count("*").alias("times")).filter("times > 1")
+    outer = outer.join(lonely.select("a"), "a", "left_semi").select(F.col("b").alias("row")).distinct()
+    outer = scratch.write(texts.join(outer.hint("shuffle_hash"), "row", "left_semi"), "outer")
+    around_none = lambda rows, *also: rows.select(F.lit(0).cast("long").alias("a"), F.col("row").alias("b"), *also, F.lit(b"").alias("x"), F.col("raw").alias("y"))
+    first = around_none(outer, F.lit(True).alias("wide")).mapInArrow(against_pivot(rule, counted(outer, rule)), COMPARED).select("a", "b", "first")
+    some = scratch.write(meeting(first.join(of, "b", "left").withColumn("label", F.coalesce("label", "b"))), "meeting")
+    # only now whole sets, made from the texts again
     schema = "a long, b long, label long, size long, common long, sketch array<long>, outside array<long>"
-    alive = scratch.write(with_texts(some, texts, pivots).mapInArrow(beyond_pivot(rule), schema), "alive")
+    alive = around_none(outer.join(some.select(F.col("b").alias("row"), "label"), "row"), "label")
+    alive = scratch.write(alive.mapInArrow(beyond_pivot(rule), schema), "alive")
     more = more.union(scratch.write(far_pairs(alive, rule, scratch), "far-pairs"))
-    scratch.drop("found", "pivots", "meeting", "alive", "beyond")
+    scratch.drop("sifted", "found", "outer", "meeting", "alive", "beyond")
     more = more.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = scratch.write(more.withColumn("wide", F.lit(False)), "more")
     # of two labels the likeliest pair first; most of the others are then under one label
@@ -514,7 +588,7 @@ def by_row(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     empty. ``rows`` is read from files more than once and so must have lasting numbers."""
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = scratch.write(rows.mapInArrow(describe(rule), "row long, n long, d1 long, d2 long"), "set-digests")
+    sets = scratch.write(rows.mapInArrow(describe(rule), "row long, n long, d1 long, d2 long, outline binary"), "set-digests")
     same = ["n", "d1", "d2"]
     reps = scratch.write(sets.filter("n > 0").groupBy(*same).agg(F.min("row").alias("rep")), "representatives")
     # written, so that the texts' shuffle is gone when signatures are dealt out
@@ -525,7 +599,7 @@ def by_row(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     involved = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     texts = scratch.write(once.join(involved.hint("shuffle_hash"), "row", "left_semi"), "texts")
     scratch.drop("once")
-    label = find_links(texts, pairs, rule, scratch)
+    label = find_links(texts, pairs, sets.select("row", "n", "outline"), rule, scratch)
     scratch.drop("pairs", "texts")
     whole = reps.join(label, F.col("rep") == F.col("v"), "left").select(*same, F.coalesce("label", "rep").alias("label"))
-    return sets.join(whole, same, "left").select("row", F.col("n").alias("n_shingles"), "label")
+    return sets.drop("outline").join(whole, same, "left").select("row", F.col("n").alias("n_shingles"), "label")

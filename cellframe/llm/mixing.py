@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.llm.shared import cut, whole_text, written
+from cellframe.llm.shared import whole_text, written
 
 LEVELS = ("domain", "language", "source_leaf")
 #: Hex digits of an order hash that say its bucket: only one bucket a leaf is ever sorted.
@@ -97,8 +97,9 @@ def mix(
     column that has one of the new names is replaced; no other name clashes.
 
     The documents are scanned once and written with their leaves. Only sums go through a
-    shuffle: tokens by leaf and by bucket of the order hash. Rows are sorted in the one bucket
-    of each leaf in which its prefix ends.
+    shuffle: tokens by leaf and by bucket of the order hash, and documents only if the table of
+    leaves is too large for Spark to broadcast. Rows are sorted in the one bucket of each leaf in
+    which its prefix ends.
     """
     weights = WEIGHTS if weights is None else weights
     new = [*LEVELS, "n_tokens", "copies", "prefix_tokens", "taken"]
@@ -119,14 +120,15 @@ def mix(
     shared = allocate(leaves, float(int(total * budget_share)), epochs, weights)
     full_epochs = F.col("leaf_budget").cast("double") / F.greatest(F.col("tokens"), F.lit(1))
     shared = shared.withColumn("copies", F.when(F.col("tokens") > 0, F.floor(full_epochs)).otherwise(F.lit(0)).cast("int"))
-    shared = cut(shared.select(*LEVELS, "copies", (F.col("leaf_budget") - F.col("copies") * F.col("tokens")).alias("prefix")))
+    # a row a leaf, written, so that Spark knows the size before it plans joins with documents and moves no texts for a small one
+    shared = written(shared.select(*LEVELS, "copies", (F.col("leaf_budget") - F.col("copies") * F.col("tokens")).alias("prefix")), "shares")
     order = order_hash(seed, F.col("id"), F.col("copies"))
     bucket = F.substring(order, 1, BUCKET_DIGITS)
     sums = rows.select(*LEVELS, "id", "n_tokens").join(shared, list(LEVELS)).groupBy(*LEVELS, "prefix", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("tokens_in"))
     running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = sums.withColumn("ahead", F.coalesce(F.sum("tokens_in").over(running), F.lit(0)))
     edge = F.max_by(F.struct("bucket", "ahead"), F.when(F.col("ahead") < F.col("prefix"), F.col("bucket")))
-    leaf = shared.join(edges.groupBy(*LEVELS).agg(edge.alias("edge")), list(LEVELS))
+    leaf = written(shared.join(edges.groupBy(*LEVELS).agg(edge.alias("edge")), list(LEVELS)), "edges")
     placed = rows.join(leaf, list(LEVELS)).withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     at_edge = F.coalesce(F.col("bucket") == F.col("edge.bucket"), F.lit(False))
     before = F.coalesce(F.col("bucket") < F.col("edge.bucket"), F.lit(False))

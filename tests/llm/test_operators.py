@@ -181,6 +181,20 @@ def test_far_sets_are_kept_by_their_beginnings(spark):
     assert all(r.size - r.common == len(r.outside) == r.size for r in again.collect())
 
 
+def test_outlines_tell_far_sets(spark):
+    """Outlines never say more differences than there are; unrelated sets around a pivot are far without their texts."""
+    rng, rule = np.random.default_rng(4), jaccard.Rule(5, 80)
+    for n, m, common in ((1, 1, 0), (5, 900, 3), (200, 200, 190), (300, 280, 0), (3000, 2500, 1000)):
+        x = rng.integers(0, 2**63, n + m - common, dtype=np.uint64)
+        assert jaccard.least_differences(jaccard.outline(x[:n]), jaccard.outline(x[n - common :])) <= n + m - 2 * common
+    sets = [rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(2)]
+    sets.append(np.concatenate([sets[0][:290], sets[1][:10]]))
+    rows = [(0, b, wide, 300, 300, jaccard.outline(sets[0]), jaccard.outline(sets[b])) for b in (1, 2) for wide in (True, False)]
+    pairs = spark.createDataFrame(rows, "a long, b long, wide boolean, m long, n long, x binary, y binary")
+    got = pairs.mapInArrow(jaccard.sifted(rule), "a long, b long, wide boolean, ask boolean, far boolean").collect()
+    assert sorted((r.b, r.wide, r.ask, r.far) for r in got) == [(1, False, False, False), (1, True, False, True), (2, False, True, False), (2, True, True, False)]
+
+
 def brute_classes(rows, rule):
     lower = {i: i + 32 for i in range(65, 91)}
     sets = {}
@@ -441,3 +455,13 @@ def test_surrogates_keep_columns_of_any_name(spark):
     got = pii.replace(rows).collect()
     assert all(r[c] == "x" for r in got for c in own) and len(got) == 2
     assert {r.text is None for r in got} == {True, False} and all("Ann@" not in (r.text or "") for r in got)
+
+
+def test_mixing_moves_no_texts(spark, docs):
+    """The table of leaves is small, so documents are joined with it where they stand."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        plan = mixing.mix(docs.select("doc_id", "text", "lang", "source"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
