@@ -22,10 +22,11 @@ def payload_of(text: str | None) -> bytes:
 
 
 def to_media(payload: bytes) -> bytes:
-    """Images of 64 samples (green) a row, one after another if there are too many rows."""
+    """Images of 64 samples (green) a row, one after another if there are too many rows, with back-references
+    where they take less."""
     pixels = np.frombuffer(payload, np.uint8).astype(np.uint32).reshape(-1, WIDTH) << 8 | np.uint32(webp.BLACK)
     palette = np.count_nonzero(np.bincount(np.frombuffer(payload, np.uint8))) <= 16  # then several share a pixel
-    return b"".join(webp.encode(pixels[i : i + webp.SIDE], palette=palette) for i in range(0, len(pixels), webp.SIDE))
+    return b"".join(webp.encode(pixels[i : i + webp.SIDE], palette=palette, copies=True) for i in range(0, len(pixels), webp.SIDE))
 
 
 def images(media: bytes) -> list[np.ndarray]:

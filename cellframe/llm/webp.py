@@ -8,6 +8,7 @@ arrays, 0xAARRGGBB.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 from collections import Counter
@@ -29,8 +30,11 @@ NEAR = (
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+NEARBY = np.array(NEAR)
 PREDICT, CROSS, GREEN, PALETTE = range(4)
 LENGTHS, DISTANCES, MAX_BITS, SIDE = 24, 40, 15, 1 << 14
+#: Bytes of the shortest back-reference that is looked for, and the greatest distance that has a symbol.
+LEAST, FARTHEST = 5, (1 << 20) - len(NEAR)
 CACHE_FACTOR, BLACK = 0x1E35A7BD, 0xFF000000
 
 
@@ -201,6 +205,106 @@ def of_value(value: int) -> tuple[int, int, int]:
     return 2 * n + 2 + (value >> n & 1), n, value & (1 << n) - 1
 
 
+#: Extra bits and least value of each symbol of lengths and distances.
+EXTRA = np.array([max(0, s - 2 >> 1) for s in range(DISTANCES)], np.int32)
+BASE = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << (s - 2 >> 1)) + 1 for s in range(DISTANCES)], np.int64)
+
+
+def symbols_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of lengths or distances, and what their extra bits hold."""
+    symbol = np.searchsorted(BASE, value, "right") - 1
+    return symbol, value - BASE[symbol]
+
+
+@functools.cache
+def near_codes(width: int) -> np.ndarray:
+    """Symbol numbers of the distances that the neighbourhood has, and 0 for others."""
+    code = np.zeros(8 * width + 10, np.int64)
+    for i, (dx, dy) in reversed(list(enumerate(NEAR, 1))):
+        if dx + dy * width > 0:
+            code[dx + dy * width] = i
+    return code
+
+
+def find_copies(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance symbol number of runs of bytes that stood before: at each place where
+    LEAST bytes are those of a place before, the last such, for as long as the same distance holds."""
+    none = np.zeros(0, np.int64)
+    if len(values) <= LEAST:
+        return none, none, none
+    n = len(values) - LEAST + 1
+    key = np.zeros(n, np.uint64)
+    for i in range(LEAST):
+        key |= values[i : i + n].astype(np.uint64) << np.uint64(24 + 8 * i)
+    key = np.sort(key | np.arange(n, dtype=np.uint64))
+    place = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+    same = np.flatnonzero(key[1:] >> np.uint64(24) == key[:-1] >> np.uint64(24))
+    back = np.zeros(n, np.int64)
+    back[place[same + 1]] = place[same + 1] - place[same]
+    back[back > FARTHEST] = 0
+    ends = np.append(np.flatnonzero(back[1:] != back[:-1]), n - 1)
+    at = np.flatnonzero(back)
+    if not len(at):
+        return none, none, none
+    size = np.minimum(ends[np.searchsorted(ends, at)] - at + LEAST, 4096)
+    follow, i, taken = np.searchsorted(at, at + size).tolist(), 0, []
+    while i < len(at):
+        taken.append(i)
+        i = follow[i]
+    at, size, back = at[taken], size[taken], back[at[taken]]
+    code = near_codes(width)
+    near = code[np.minimum(back, len(code) - 1)]
+    return at, size, np.where(near > 0, near, back + len(NEAR))
+
+
+def bits_of(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take at least."""
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+def write_green(w: Writer, pixels: np.ndarray, width: int) -> list[np.ndarray]:
+    """write_pixels() of pixels that differ in green alone, with back-references where they take less."""
+    green = (pixels >> 8 & 255).astype(np.uint8)
+    size = 256 + LENGTHS
+    plain = np.bincount(green, minlength=size)
+    at, many, code = find_copies(green, width)
+    which, rest = symbols_of(many)
+    far, far_rest = symbols_of(code)
+    covered = np.zeros(len(green) + 1, np.int32)
+    covered[at] += 1
+    np.subtract.at(covered, at + many, 1)
+    covered = np.cumsum(covered[:-1])
+    literal = covered == 0
+    counts = np.bincount(green[literal], minlength=size) + np.bincount(256 + which, minlength=size)
+    far_counts = np.bincount(far, minlength=DISTANCES)
+    if bits_of(counts) + bits_of(far_counts) + int((EXTRA[which] + EXTRA[far]).sum()) + 4 * np.count_nonzero(far_counts) >= bits_of(plain):
+        at, many, which, far, counts, far_counts = at[:0], many[:0], which[:0], far[:0], plain, np.zeros(DISTANCES, np.int64)
+        rest, far_rest, literal = rest[:0], far_rest[:0], np.ones(len(green), bool)
+    lengths = [code_lengths(counts)]
+    for c in (pixels[0] >> 16 & 255, pixels[0] & 255, pixels[0] >> 24):
+        lengths.append(np.zeros(256, np.int64))
+        lengths[-1][c] = 1
+    lengths.append(code_lengths(far_counts))
+    for x in lengths:
+        write_code(w, x)
+    codes = [(canonical(x).astype(np.uint64), x if np.count_nonzero(x) > 1 else np.zeros_like(x)) for x in (lengths[0], lengths[4])]
+    symbol = green.astype(np.int64)
+    symbol[at] = 256 + which
+    keep = literal.copy()
+    keep[at] = True
+    long = codes[0][1][symbol]
+    value = codes[0][0][symbol]
+    value[long == 0] = 0
+    for part, bits in ((rest, EXTRA[which]), (codes[1][0][far], codes[1][1][far]), (far_rest, EXTRA[far])):
+        value[at] |= np.where(bits > 0, part.astype(np.uint64) << long[at].astype(np.uint64), np.uint64(0))
+        long[at] += bits
+    value, long = value[keep], long[keep]
+    start = np.cumsum(long) - long
+    within = (np.arange(int(long.sum())) - np.repeat(start, long)).astype(np.uint64)
+    return [w.array(), (np.repeat(value, long) >> within & np.uint64(1)).astype(np.uint8)]
+
+
 def read_green_only(bits: Bits, code: Code, n: int) -> np.ndarray:
     """``n`` symbols of one code in a row: lengths are looked up at every bit, then followed."""
     if code.only is not None:
@@ -238,6 +342,68 @@ def read_green_only(bits: Bits, code: Code, n: int) -> np.ndarray:
     return code.symbol[window[at]].astype(np.uint32)
 
 
+def read_green_copies(bits: Bits, green: Code, far: Code, n: int, width: int) -> np.ndarray:
+    """As read_green_only(), with back-references; ``bits`` has nothing else after these pixels."""
+    first = bits.at >> 3
+    raw = np.frombuffer(bits.data + bytes(48), np.uint8, offset=first)
+    eight = np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw, 0, (1,))
+    at_bit = lambda at: eight[at >> 3] >> (at & 7).astype(np.uint64)
+    low = lambda value, n: (value & (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+    table = lambda code: (code.symbol, code.length) if code.only is None else (np.array([code.only]), np.zeros(1, np.uint8))
+    (symbol, length), (far_symbol, far_length) = table(green), table(far)
+    end = (len(raw) - 56) * 8
+    four = eight[: end >> 3].astype(np.uint32)
+    window = np.empty((len(four), 8), np.uint16)
+    for i in range(8):
+        window[:, i] = four >> np.uint32(i) & np.uint32((1 << green.bits) - 1)
+    window = window.ravel()
+    step = length[window].astype(np.int32)
+    copy = np.flatnonzero(symbol[window] >= 256).astype(np.int32)
+    step[copy] += EXTRA[symbol[window[copy]] - 256]
+    which = (at_bit(copy + step[copy]) & np.uint64((1 << far.bits) - 1)).astype(np.int32)
+    step[copy] += far_length[which] + EXTRA[far_symbol[which]]
+    # steps of 1, 2, 4 and 8 symbols from every bit on
+    steps, bit = [step], np.arange(len(step), dtype=np.int32)
+    for _ in range(3):
+        steps.append(steps[-1] + steps[-1].take(bit + steps[-1], mode="clip"))
+    jump, at, places = memoryview(steps[3]), bits.at & 7, []
+    while at < end and len(places) * 8 < n:
+        places.append(at)
+        at += jump[at]
+    at = np.array(places, np.int32)
+    for x in steps[2::-1]:
+        at = np.stack([at, at + x.take(at, mode="clip")], 1).ravel()
+    at = at[at < end]
+    found = symbol[window[at]].astype(np.int64)
+    many = np.ones(len(at), np.int64)
+    copies = np.flatnonzero(found >= 256)
+    here, what = at[copies], found[copies] - 256
+    here = here + length[window[here]]
+    many[copies] = BASE[what] + low(at_bit(here), EXTRA[what])
+    here = here + EXTRA[what]
+    which = (at_bit(here) & np.uint64((1 << far.bits) - 1)).astype(np.int32)
+    what = far_symbol[which].astype(np.int64)
+    distance = BASE[what] + low(at_bit(here + far_length[which]), EXTRA[what])
+    near = np.maximum(1, NEARBY @ (1, width))
+    distance = np.where(distance > len(NEAR), distance - len(NEAR), near[np.minimum(distance, len(NEAR)) - 1])
+    start = np.cumsum(many) - many
+    used = int(np.searchsorted(start, n))
+    if not used or start[used - 1] + many[used - 1] < n:
+        raise ValueError("the image is cut short")
+    bits.at = first * 8 + int(at[used - 1] + step[at[used - 1]])
+    out = np.zeros(n, np.uint8)
+    plain = found[:used] < 256
+    out[start[:used][plain]] = found[:used][plain]
+    copies = copies[: np.searchsorted(copies, used)]
+    if (distance[: len(copies)] > start[copies]).any():
+        raise ValueError("a back-reference points before the image")
+    pixels = bytearray(out)
+    for i, size, d in zip(start[copies].tolist(), np.minimum(many[copies], n - start[copies]).tolist(), distance[: len(copies)].tolist(), strict=True):
+        piece = pixels[i - d : min(i, i - d + size)]
+        pixels[i : i + size] = piece if d >= size else (piece * (size // d + 1))[:size]
+    return np.frombuffer(pixels, np.uint8).astype(np.uint32)
+
+
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, meta, meta_bits = 1, None, 0
@@ -250,9 +416,12 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + LENGTHS + cache_size, 256, 256, 256, DISTANCES)
     codes = [[read_code(bits, size) for size in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and all(c.only is not None for c in codes[0][1:4]) and codes[0][0].used.max(initial=0) < 256:
+    if groups == 1 and not cache_bits and all(c.only is not None for c in codes[0][1:4]):
         r, b, a = (c.only for c in codes[0][1:4])
-        return read_green_only(bits, codes[0][0], n) << 8 | (a << 24 | r << 16 | b)
+        if codes[0][0].used.max(initial=0) < 256:
+            return read_green_only(bits, codes[0][0], n) << 8 | (a << 24 | r << 16 | b)
+        if main and codes[0][0].only is None:
+            return read_green_copies(bits, codes[0][0], codes[0][4], n, width) << 8 | (a << 24 | r << 16 | b)
     out, cache, shift, late = [0] * n, [0] * cache_size, 32 - cache_bits, 0
     green, red, blue, alpha, far = codes[0]
     i = 0
@@ -294,6 +463,8 @@ def write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bi
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)
+    if copies and main and not cache_bits and not ((pixels ^ pixels[0]) & 0xFFFF00FF).any():
+        return write_green(w, pixels, width)
     size = 256 + LENGTHS + (1 << cache_bits if cache_bits else 0)
     channels = [pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255, pixels >> 24]
     if not cache_bits and not copies:

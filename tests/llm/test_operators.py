@@ -316,6 +316,24 @@ def test_webp_round_trips(how):
             assert (webp.decode(webp.encode(pixels, **how, **more)) == pixels).all()
 
 
+def test_media_have_back_references(monkeypatch):
+    """Texts with repeats are written with back-references, near and far, and read back."""
+    rng = random.Random(2)
+    line = words(rng, 30, 10**6)
+    for text in (line * 9, "a" * 9000, "\n".join(words(rng, 12, 900) for _ in range(400)), line + words(rng, 3000, 10**6) + line, "ab" * 700, "x", line):
+        payload = media.payload_of(text)
+        stored = media.to_media(payload)
+        assert b"".join((x >> 8 & 255).astype(np.uint8).tobytes() for x in media.images(stored)) == payload
+    repeated = media.payload_of(words(rng, 400, 10**6) * 2)
+    pixels = np.frombuffer(repeated, np.uint8).astype(np.uint32).reshape(-1, 64) << 8 | np.uint32(webp.BLACK)
+    stored = media.to_media(repeated)
+    assert len(stored) < 0.6 * len(webp.encode(pixels))
+    seen = []
+    monkeypatch.setattr(webp, "read_green_copies", lambda *x: seen.append(x) or np.zeros(x[3], np.uint32))
+    webp.decode(stored)
+    assert seen
+
+
 def test_media_columns(docs, empty):
     for r in media.read(media.store(docs)).collect():
         want = (r.text or "").encode()
