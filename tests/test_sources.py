@@ -117,3 +117,25 @@ def test_fixed_width_lines_packed_a_few_at_a_time(spark, tmp_path, monkeypatch):
     got = {(r.file, r.row, r.col): r.v for r in rasters.scan_fixed_width(spark, path, 5, 3, with_file=True).collect()}
     known = {(f"n{f}", r, c): v for f, r, c, v in cells}
     assert got == {(f"n{f}", r, c): known.get((f"n{f}", r, c)) for f in range(2) for r in range(5) for c in range(3)}
+
+
+def test_outlines_that_repeat_are_compared_once(spark, monkeypatch):
+    """Records of repeated outlines meet by pairs of outlines, with the rows that tiles and days give; equal scenes give a row once."""
+    rng = random.Random(5)
+    day = lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(60))
+    shapes = [[(x, y), (x + 3.0, y), (x + 3.0, y + 2.0), (x, y + 2.0)] if k % 2 else [(x, y), (x + 3.0, y + 2.0), (x + 3.0, y), (x, y + 2.0)] for k in range(12) for x, y in [(float(k % 5 * 2 - 4), float(k % 3 * 3 - 3))]]
+    granules = [(rng.randrange(2), k, d := day(), rng.choice([None, d, d + dt.timedelta(9)]), rng.choice(shapes)) for k in range(250)] + [(0, 999, None, None, shapes[0]), (0, 998, day(), day(), None)]
+    products = [(rng.randrange(2), f"s{k // 2}", rng.choice([day(), None]), day(), rng.choice(shapes)) for k in range(250)]
+    products += products[:20]
+    kind = "ring array<struct<x:double,y:double>>"
+    g = spark.createDataFrame(granules, f"site int, granule int, begin date, end date, {kind}")
+    p = spark.createDataFrame(products, f"site int, scene string, ref date, sec date, {kind}")
+    taken, whole = [], matching._by_outline
+    monkeypatch.setattr(matching, "_by_outline", lambda *a: (taken.append(1), whole(*a))[1])
+    monkeypatch.setattr(matching, "GROUP", 4)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got, once = rows(matching.match_surveys(g, p)), rows(matching.match_scenes(g, p))
+    assert len(taken) == 2
+    monkeypatch.setattr(matching, "_by_outline", lambda left, right, a, b, days, also: matching._by_tile(left, right, days, also))
+    assert got == rows(matching.match_surveys(g, p)) and len(got) > 1000
+    assert once == sorted(set(got)) == rows(matching.match_scenes(g, p)) and len(once) < len(got)
